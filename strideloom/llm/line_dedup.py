@@ -97,10 +97,7 @@ def dedup_lines(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     at = docs["doc_id"].eqNullSafe(drop["_d"]) & (F.xxhash64(docs["text"]) == drop["_t"])
     t = docs.join(drop.hint("shuffle_hash"), at, "left").withColumn("text", text)
-    # the lines between one dropped line and the next are a slice, so a text takes time in proportion to its lines
-    kept = """flatten(transform(sequence(0, size(drop)), (x, i) -> slice(_l,
-        if(i = 0, 0, drop[i - 1] + 1) + 1,
-        if(i = size(drop), size(_l), drop[i]) - if(i = 0, 0, drop[i - 1] + 1))))"""
+    kept = "transform(array_except(sequence(0, size(_l) - 1), drop), i -> _l[i])"  # time in proportion to the lines
     t = t.withColumn("_l", F.split("text", "\n", -1))
     t = t.withColumn("n_lines", F.size("_l").cast("long")).withColumn("n_dropped", F.coalesce(F.size("drop"), F.lit(0)).cast("long"))
     t = t.withColumn("text", F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(F.expr(kept), "\n")))

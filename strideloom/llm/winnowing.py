@@ -29,8 +29,9 @@ def with_fingerprint(df: DataFrame, text: str, out: str, k: int = K, window: int
     """
     if window & (window - 1):
         raise ValueError("window must be a power of 2")
-    gram = f"xxhash64(slice(_h, {{i}} + 1, {k}))"
-    packed = f"shiftleft(shiftrightunsigned({gram.format(i='i')}, 33), 32) | ({LOW}L - i)"
+    # get() takes an element in constant time and gives null past the end, which the hash skips; slice() would copy the array
+    gram = lambda i: "xxhash64(" + ", ".join(f"get(_h, {i} + {j})" for j in range(k)) + ")"
+    packed = f"shiftleft(shiftrightunsigned({gram('i')}, 33), 32) | ({LOW}L - i)"
     blank = F.btrim(F.col(text), F.lit(BLANKS))
     df = df.withColumn("_w", F.when(blank != "", F.split(F.lower(blank), SPLIT, -1)).otherwise(F.array().cast("array<string>")))
     df = df.withColumn("_h", F.expr("transform(_w, x -> xxhash64(x))")).drop("_w")
@@ -42,7 +43,7 @@ def with_fingerprint(df: DataFrame, text: str, out: str, k: int = K, window: int
         step *= 2
     df = df.withColumn("_m", F.expr("if(_all is null, array_distinct(_m), array(_all))"))
     at = f"cast({LOW}L - (v & {LOW}L) as int)"
-    chosen = f"transform(_m, v -> named_struct('hash', {gram.format(i=at)}, 'pos', {at}))"
+    chosen = f"transform(_m, v -> named_struct('hash', {gram(at)}, 'pos', {at}))"
     return df.withColumn(out, F.expr(chosen)).drop("_h", "_m", "_all")
 
 
