@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from strideloom.llm.bag_minhash import op10_bag_minhash
 from strideloom.llm.hilbert_shards import op3_hilbert_shards
+from strideloom.llm.language_crf import op6_language_crf
 from strideloom.llm.license_scan import op8_license_digests, op8_sql
 from strideloom.llm.line_dedup import OP7_SQL, op7_line_dedup
 from strideloom.llm.mixing import OP4_SQL, op4_source_mix
+from strideloom.llm.piece_codec import op5_piece_codec
 from strideloom.llm.winnowing import op2_winnowing
 
 QUERIES = {
     "op2_winnowing": op2_winnowing,
     "op3_hilbert_shards": op3_hilbert_shards,
     "op4_source_mix": op4_source_mix,
+    "op5_piece_codec": op5_piece_codec,
+    "op6_language_crf": op6_language_crf,
     "op7_line_dedup": op7_line_dedup,
     "op8_license_digests": op8_license_digests,
+    "op10_bag_minhash": op10_bag_minhash,
 }
 SQL = {"op4_source_mix": OP4_SQL, "op7_line_dedup": OP7_SQL, "op8_license_digests": op8_sql()}
