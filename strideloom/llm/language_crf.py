@@ -215,14 +215,14 @@ def label(docs: DataFrame, crf: Crf, spans: bool = False) -> DataFrame:
     stay; an empty table gives no rows. Texts are scored whole, in groups of bounded size.
     """
     docs = docs.drop("lang_pred", "score", "spans")
-    shipped = docs.sparkSession.sparkContext.broadcast(crf)  # SPACE x languages weights
+    shipped = docs.sparkSession.sparkContext.broadcast((crf.langs, crf.weights, crf.moves, crf.lexicon))  # SPACE x languages weights
     run_type = T.StructType().add("first", T.IntegerType()).add("words", T.IntegerType()).add("lang", T.StringType())
     more = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(run_type))]
     schema = T.StructType([*docs.schema.fields, *more[: 3 if spans else 2]])
     kind = pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32()), ("lang", pa.string())]))
 
     def run(batches):
-        model = shipped.value
+        model = Crf(*shipped.value)
         k, index = len(model.langs), {}
         scores = np.zeros((0, k))
 

@@ -9,6 +9,7 @@ from strideloom.llm.license_scan import op8_license_digests, op8_sql
 from strideloom.llm.line_dedup import OP7_SQL, op7_line_dedup
 from strideloom.llm.mixing import OP4_SQL, op4_source_mix
 from strideloom.llm.piece_codec import op5_piece_codec
+from strideloom.llm.suffix_dedup import op9_suffix_dedup
 from strideloom.llm.winnowing import op2_winnowing
 
 QUERIES = {
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_language_crf": op6_language_crf,
     "op7_line_dedup": op7_line_dedup,
     "op8_license_digests": op8_license_digests,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_bag_minhash": op10_bag_minhash,
 }
 SQL = {"op4_source_mix": OP4_SQL, "op7_line_dedup": OP7_SQL, "op8_license_digests": op8_sql()}
