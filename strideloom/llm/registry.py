@@ -8,11 +8,13 @@ from strideloom.llm.language_crf import op6_language_crf
 from strideloom.llm.license_scan import op8_license_digests, op8_sql
 from strideloom.llm.line_dedup import OP7_SQL, op7_line_dedup
 from strideloom.llm.mixing import OP4_SQL, op4_source_mix
+from strideloom.llm.permutation_index import op1_permutation_index
 from strideloom.llm.piece_codec import op5_piece_codec
 from strideloom.llm.suffix_dedup import op9_suffix_dedup
 from strideloom.llm.winnowing import op2_winnowing
 
 QUERIES = {
+    "op1_permutation_index": op1_permutation_index,
     "op2_winnowing": op2_winnowing,
     "op3_hilbert_shards": op3_hilbert_shards,
     "op4_source_mix": op4_source_mix,
