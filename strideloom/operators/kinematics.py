@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from strideloom.functions import angles
 from strideloom.schemas import JOINTS, SIDES, STRIKE_METRICS
 
-SERIES = Window.partitionBy("video", "side").orderBy("frame")
+
+def series() -> WindowSpec:
+    return Window.partitionBy("video", "side").orderBy("frame")
 
 
 def by_side(pose: DataFrame) -> DataFrame:
@@ -20,18 +22,20 @@ def by_side(pose: DataFrame) -> DataFrame:
     return pose.select("video", "frame", F.explode(sides).alias("s")).select("video", "frame", "s.*")
 
 
-def gradient(x: Column, w=SERIES) -> Column:
+def gradient(x: Column, w: WindowSpec | None = None) -> Column:
     """Slope with unit spacing: central inside, one-sided at the ends; null for a single sample."""
+    w = w or series()
     before, after = F.lag(x).over(w), F.lead(x).over(w)
     return F.when(before.isNull(), after - x).when(after.isNull(), x - before).otherwise((after - before) / 2)
 
 
-def clamped_lag(x: Column, n: int, w=SERIES) -> Column:
+def clamped_lag(x: Column, n: int, w: WindowSpec | None = None) -> Column:
     """The value n rows before, or the first."""
+    w = w or series()
     return F.coalesce(F.lag(x, n).over(w), F.first(x).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def approach_angle(w=SERIES) -> Column:
+def approach_angle(w: WindowSpec | None = None) -> Column:
     """Direction of the ankle from three rows before to one row before, clamped at the first row."""
     move = lambda c: clamped_lag(F.col(c), 1, w) - clamped_lag(F.col(c), 3, w)
     return F.atan2(move("ankle_y"), move("ankle_x"))
@@ -48,7 +52,7 @@ def frame_kinematics(pose: DataFrame) -> DataFrame:
         "ankle_x_vel": gradient(F.col("ankle_x")), "ankle_y_vel": gradient(F.col("ankle_y")),
         "shin_velocity": gradient(F.col("knee_x") - F.col("ankle_x")),
         "ankle_approach_angle": approach_angle(),
-        "idx": F.row_number().over(SERIES) - 1,
+        "idx": F.row_number().over(series()) - 1,
         "n": F.count(F.lit(1)).over(Window.partitionBy("video", "side"))})
     return t.withColumns({
         "ankle_velocity_pre_strike": clamped_lag(F.col("ankle_y_vel"), 2),

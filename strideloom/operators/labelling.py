@@ -2,28 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from strideloom.functions import labels
 from strideloom.operators.ranges import range_join
 
 KEYS = ["video", "side"]
-SERIES = Window.partitionBy(*KEYS).orderBy("frame")
-EARLIER = SERIES.rangeBetween(Window.unboundedPreceding, -1)
 #: Shortest and longest duration of a cycle: quartiles 19 and 27 less and plus 1.5 interquartile ranges.
 Q1, Q3 = 19, 27
 SHORTEST, LONGEST = max(1, Q1 - 3 * (Q3 - Q1) // 2), Q3 + 3 * (Q3 - Q1) // 2
 STEPS = 40
 
 
+def series() -> WindowSpec:
+    return Window.partitionBy(*KEYS).orderBy("frame")
+
+
 def label_fsm(keys: DataFrame) -> DataFrame:
     """label_keys (video, side, frame, key, strike_key, overstride_key) to strikes.
 
     u notes the toe-off frame, a later one replaces it; d ends the swing and resets it, and makes a strike if its strike
     key is h, m or f; c ends the series. So the last u since the last d counts, over all d, kept or not.
     """
-    upto = SERIES.rowsBetween(Window.unboundedPreceding, -1)
+    upto = series().rowsBetween(Window.unboundedPreceding, -1)
     last = lambda k: F.max(F.when(F.col("key") == k, F.col("frame"))).over(upto)
     t = keys.withColumns({"_u": last("u"), "_d": last("d"), "_c": last("c")}).filter("key = 'd' and _c is null")
     t = t.withColumn("u_frame", F.when(F.col("_u") > F.coalesce("_d", F.lit(-1)), F.col("_u")))
@@ -33,7 +35,7 @@ def label_fsm(keys: DataFrame) -> DataFrame:
 
 def legacy_cycles(keys: DataFrame) -> DataFrame:
     """Cycles (video, side, u_frame, frame) that hold exactly one u before their d; others are left out."""
-    upto = SERIES.rowsBetween(Window.unboundedPreceding, -1)
+    upto = series().rowsBetween(Window.unboundedPreceding, -1)
     t = keys.filter("key in ('u', 'd')").withColumn("_g", F.coalesce(F.sum((F.col("key") == "d").cast("int")).over(upto), F.lit(0)))
     t = t.groupBy(*KEYS, "_g").agg(
         F.count_if(F.col("key") == "u").alias("us"), F.max(F.when(F.col("key") == "u", F.col("frame"))).alias("u_frame"),
@@ -43,7 +45,7 @@ def legacy_cycles(keys: DataFrame) -> DataFrame:
 
 def prev_strike(strikes: DataFrame) -> DataFrame:
     """strikes with ``prev_frame``, the last strike of a strictly smaller frame: equal frames do not precede each other."""
-    return strikes.withColumn("prev_frame", F.max("frame").over(EARLIER))
+    return strikes.withColumn("prev_frame", F.max("frame").over(series().rangeBetween(Window.unboundedPreceding, -1)))
 
 
 def labelled(strikes: DataFrame) -> DataFrame:
@@ -60,7 +62,7 @@ def gait_cycles(strikes: DataFrame, shortest: int = SHORTEST, longest: int = LON
 
 def contact_intervals(strikes: DataFrame) -> DataFrame:
     """(video, side, lo, hi, label, seq): 0 from toe-off to strike, 1 from the strike before to toe-off; a later seq overwrites."""
-    t = prev_strike(labelled(strikes)).withColumn("_n", F.row_number().over(SERIES))
+    t = prev_strike(labelled(strikes)).withColumn("_n", F.row_number().over(series()))
     both = F.array(
         F.struct(F.col("u_frame").alias("lo"), F.col("frame").alias("hi"), F.lit(0).alias("label"), (F.col("_n") * 2).alias("seq")),
         F.struct(F.col("prev_frame").alias("lo"), F.col("u_frame").alias("hi"), F.lit(1).alias("label"), (F.col("_n") * 2 + 1).alias("seq")))
