@@ -65,7 +65,8 @@ def quantised(df: DataFrame, dims: dict[str, Column], bits: int) -> DataFrame:
     bounds = df.agg(*(F.percentile_approx(f"_v{i}", cuts, ACCURACY).alias(f"b{i}") for i in range(len(dims)))).first()
 
     def cell(i: int) -> Column:
-        over = [(F.col(f"_v{i}") > F.lit(float(b))).cast("int") for b in sorted(set(bounds[i] or []))]
+        # equal cuts all count, so that a column of few values spreads over the whole range of cells
+        over = [(F.col(f"_v{i}") > F.lit(float(b))).cast("int") for b in bounds[i] or []]
         return F.coalesce(reduce(lambda a, b: a + b, over, F.lit(0)), F.lit(0)).alias(f"_c{i}")
 
     return df.select("*", *(cell(i) for i in range(len(dims)))).drop(*(f"_v{i}" for i in range(len(dims))))
