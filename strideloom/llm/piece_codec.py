@@ -61,6 +61,8 @@ class Codec:
         new = list(new)
         # the library puts one marker before any text, so the first marker of a chunk is left to it
         at = dict(zip(new, self.sp.encode([c[1:].replace(MARK, " ") for c in new], num_threads=1)))
+        if MARK in at:  # nothing is left of a marker alone, and the library puts none before an empty text
+            at[MARK] = self.sp.encode("x ")[len(self.sp.encode("x")) :]
         self.table |= at
         out = [list(chain.from_iterable(map(self.table.__getitem__, chunks))) for chunks in parted]
         for c in new:
