@@ -44,6 +44,17 @@ def _slices(sizes: np.ndarray, most: int):
         yield start, len(sizes)
 
 
+def later(keys: tuple[np.ndarray, ...], doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether an earlier (doc, at) has the same keys; the same place met twice is not earlier than itself."""
+    order = np.lexsort((at, doc, *keys))
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([k[order[1:]] != k[order[:-1]] for k in keys])
+    first = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    out = np.empty(len(order), bool)
+    out[order] = (doc[order] != doc[first]) | (at[order] != at[first])
+    return out
+
+
 def found_anchors(texts: DataFrame) -> DataFrame:
     """texts(doc, tag, bytes) to (h, ctx, doc, at, sure), an anchor's gram and context hash and its place.
 
@@ -64,9 +75,7 @@ def found_anchors(texts: DataFrame) -> DataFrame:
                     continue
                 d, p, h, c = map(np.concatenate, zip(*got))
                 doc, at = docs[i:j][d], (tags[i:j][d] << 32) | p
-                order = np.lexsort((at, doc, c, h))
-                sure = np.zeros(len(h), bool)
-                sure[order[1:]] = (h[order[1:]] == h[order[:-1]]) & (c[order[1:]] == c[order[:-1]])
+                sure = later((h, c), doc, at)
                 h = np.where(sure, mixed(doc.view(np.uint64) ^ mixed(at.view(np.uint64))), h)
                 c[sure] = 0
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), c.view(np.int64), doc, at, sure)], names=["h", "ctx", "doc", "at", "sure"])
@@ -172,9 +181,7 @@ def repeats(shared: np.ndarray, lengths: np.ndarray, left: np.ndarray, left_len:
             continue
         group = np.cumsum(shared < LENGTH - o)[here]
         key = mixed(mixed(group.astype(np.uint64)) + tail[here])
-        order = np.lexsort((at[here], doc[here], key))
-        again = np.zeros(len(here), bool)
-        again[order[1:]] = key[order[1:]] == key[order[:-1]]
+        again = later((key,), doc[here], at[here])
         docs.append(doc[here[again]])
         starts.append(at[here[again]] - o)
     return (np.concatenate(docs), np.concatenate(starts)) if docs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
