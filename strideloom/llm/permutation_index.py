@@ -37,25 +37,27 @@ def packed(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a).tobytes()
 
 
-def post(near: np.ndarray, pivots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Inverted files of the pivots: bounds of each one's postings, and their rows and ranks."""
+def post(near: np.ndarray, pivots: int) -> np.ndarray:
+    """Inverted files: row p is the file of pivot p, with prefix - rank for each vector that has it among its nearest, else 0.
+
+    The files are dense, as each vector is in half of them; one byte an entry.
+    """
     n, prefix = near.shape
-    order = np.argsort(near.ravel(), kind="stable")
-    bounds = np.searchsorted(near.ravel()[order], np.arange(pivots + 1))
-    return bounds.astype(np.int64), (order // prefix).astype(np.int32), (order % prefix).astype(np.int16)
+    files = np.zeros((pivots, n), np.uint8)
+    files[near, np.arange(n)[:, None]] = prefix - np.arange(prefix)
+    return files
 
 
-def footrule_order(near: np.ndarray, bounds: np.ndarray, rows: np.ndarray, ranks: np.ndarray, n: int, prefix: int) -> np.ndarray:
+def footrule_order(near: np.ndarray, files: np.ndarray) -> np.ndarray:
     """Rows by footrule distance to a query with these nearest pivots, equals by number.
 
     With ranks beyond the prefix taken as ``prefix`` the distance is a constant less twice the sum of prefix - max(rank, rank') over
-    the pivots that both have, so only the query's pivots' postings are read.
+    the pivots that both have, so only the query's pivots' files are read.
     """
-    shared = np.zeros(n, np.int32)
-    for rank, p in enumerate(near):
-        s = slice(bounds[p], bounds[p + 1])
-        shared[rows[s]] += prefix - np.maximum(ranks[s], rank)
-    return np.argsort(-shared, kind="stable")
+    prefix = len(near)
+    both = np.minimum(files[near], (prefix - np.arange(prefix)).astype(np.uint8)[:, None])
+    shared = both.sum(0, dtype=np.uint16)  # at most PREFIX^2, and 255^2 fits
+    return np.argsort(np.uint16(65535) - shared, kind="stable")
 
 
 def distinct_vectors(vectors: DataFrame, copies: int) -> DataFrame:
@@ -67,7 +69,7 @@ def distinct_vectors(vectors: DataFrame, copies: int) -> DataFrame:
 
 
 def build_index(vectors: DataFrame, pivots: np.ndarray, norm: float) -> tuple[DataFrame, int]:
-    """Blocks of distinct vectors (block, ids, vectors, bounds, rows, ranks), staged, and their number. Every vector is in one."""
+    """Blocks of distinct vectors (block, ids, vectors, files), staged, and their number. Every vector is in one."""
     count = vectors.count()
     blocks = max(1, -(-count // BLOCK))
     prefix = min(PREFIX, len(pivots))
@@ -79,9 +81,9 @@ def build_index(vectors: DataFrame, pivots: np.ndarray, norm: float) -> tuple[Da
         x = np.array(t.column("v").to_pylist(), np.float64)
         files = post(nearest_pivots(lifted(x, norm), pivots, prefix), len(pivots))
         return pa.table({"block": t.column("block").slice(0, 1), "ids": pa.array([t.column("ids").to_pylist()], pa.list_(pa.list_(pa.int64()))),
-                         **{k: pa.array([packed(a)], pa.binary()) for k, a in zip(("vectors", "bounds", "rows", "ranks"), (x, *files))}})
+                         "vectors": pa.array([packed(x)], pa.binary()), "files": pa.array([packed(files)], pa.binary())})
 
-    packed_blocks = dealt.groupBy("block").applyInArrow(pack, "block int, ids array<array<long>>, vectors binary, bounds binary, rows binary, ranks binary")
+    packed_blocks = dealt.groupBy("block").applyInArrow(pack, "block int, ids array<array<long>>, vectors binary, files binary")
     return stage(packed_blocks, "index"), blocks
 
 
@@ -116,15 +118,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, rerank: float = RERAN
     def find(t):
         out = []
         for row in range(t.num_rows):
-            one = {c: t.column(c)[row].as_py() for c in ("ids", "queries", "vectors", "bounds", "rows", "ranks")}
+            one = {c: t.column(c)[row].as_py() for c in ("ids", "queries", "vectors", "files")}
             ids, n = one["ids"], len(one["ids"])
             x = np.frombuffer(one["vectors"], np.float64).reshape(n, -1)
-            files = (np.frombuffer(one["bounds"], np.int64), np.frombuffer(one["rows"], np.int32), np.frombuffer(one["ranks"], np.int16))
+            files = np.frombuffer(one["files"], np.uint8).reshape(-1, n)
             q = np.array([y["v"] for y in one["queries"]], np.float64)
             near = nearest_pivots(np.column_stack([q, np.zeros(len(q))]), pivots, prefix)
             most = max(LEAST, int(np.ceil(rerank * n)))
             for y, v, p in zip(one["queries"], q, near):
-                rows = footrule_order(p, *files, n, prefix)[:most]
+                rows = footrule_order(p, files)[:most]
                 score = x[rows] @ v
                 best = np.lexsort((rows, -score))[: k + 1]
                 found = sorted((-float(score[b]), i) for b in best for i in ids[rows[b]])[: k + 1]
