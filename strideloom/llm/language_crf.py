@@ -17,6 +17,8 @@ from strideloom.llm.hashing import mixed
 
 #: Labelled documents of each language that the model is fitted on, those of least hash of doc_id.
 SAMPLE_PER_LANG = 250
+#: Languages learned at most, and how many times the sample is sorted to find it.
+LANGS, SPARE = 200, 8
 #: Training sequences, words in each, and the longest span of one document in them.
 SEQUENCES, STEPS, SPAN = 4000, 24, 16
 SPACE = 1 << 17
@@ -195,13 +197,17 @@ def held_out() -> Column:
 
 
 def fitted(docs: DataFrame) -> Crf:
-    """The model of the bounded sample: SAMPLE_PER_LANG labelled documents of each language that are not held out.
+    """The model of the bounded sample: SAMPLE_PER_LANG labelled documents of each of the LANGS most frequent languages, of those not held out.
 
-    The limit for each language is applied within partitions before rows move.
+    Of a language with many documents only those whose hash is below a threshold, about SPARE times the sample, are
+    sorted, so that what one task reads does not grow with the table.
     """
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    sample = rows.select("doc_id", "text", "lang").withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= SAMPLE_PER_LANG)
+    part = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) * F.lit(2.0**-53)
+    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "text", "lang")
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_size")).orderBy(F.desc("_size"), "lang").limit(LANGS)
+    near = rows.join(F.broadcast(sizes), "lang").filter(part * F.col("_size") <= SPARE * SAMPLE_PER_LANG)
+    first = Window.partitionBy("lang").orderBy(part, "doc_id", F.xxhash64("text"))
+    sample = near.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= SAMPLE_PER_LANG)
     got = sorted(sample.select("lang", "doc_id", "text").collect())
     return fit([r["text"] for r in got], [r["lang"] for r in got])
 
