@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strideloom.llm.common import BLANKS, shuffle_partitions, table, with_rank
@@ -10,6 +10,8 @@ from strideloom.llm.common import BLANKS, shuffle_partitions, table, with_rank
 K, WINDOW = 5, 8
 SPLIT = r"[\x20\x09-\x0D]+"
 LOW = 0xFFFFFFFF
+#: Buckets of consecutive ids for each shuffle partition.
+BUCKETS = 4
 #: Stands for a null doc_id: after all others in descending order.
 NO_ID = -(2**63)
 
@@ -65,25 +67,32 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     counts as below all others; null text as empty. Repeated rows of a doc_id are one document to the one
     before it (the text of least hash), and each gives a row. A single document is its own next.
 
-    Ids alone are range-sorted to find each one's next. Texts move once by their id, with the
-    fingerprint, and again at most half as the piece that the document before needs.
+    Ids alone are range-sorted and cut into buckets of consecutive ids. A text moves once, to its bucket; the highest
+    of a bucket moves to the bucket above as well, so that each document meets its next one where it is.
     """
     base = docs.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("k"), F.coalesce("text", F.lit("")).alias("text"))
-    base = base.withColumn("th", F.xxhash64("text"))
-    ring = base.groupBy("k").agg(F.min("th").alias("th"), F.max(F.expr("char_length(text) div 2")).alias("need"))
-    ring, n = with_rank(ring, [F.col("k").desc()], "ring")
-    later = ring.select((F.expr(f"(_rank + {max(n, 1)}L - 1L) % {max(n, 1)}L")).alias("_rank"), F.col("k").alias("next_k"), F.col("th").alias("next_th"))
-    links = ring.join(later, "_rank").select(F.col("k").alias("target"), "need", "next_k", "next_th")
-
-    base = with_fingerprint(base, "text", "fp").repartition(shuffle_partitions(docs.sparkSession), "k")
-    piece = base.join(links, (F.col("k") == F.col("next_k")) & (F.col("th") == F.col("next_th")))
-    piece = piece.select("target", F.struct(F.expr("substring(text, 1, cast(need as int))").alias("piece"), F.col("fp").alias("next_fp")).alias("v"))
-    piece = piece.groupBy("target").agg(F.first("v").alias("v"))
-    t = base.join(piece, F.col("k") == F.col("target"))
-    half = F.expr("cast(char_length(text) div 2 as int)")
-    t = t.withColumn("half", half).withColumn("edited", F.expr("concat(substring(text, 1, char_length(text) - half), substring(v.piece, 1, half))"))
+    ring, n = with_rank(base.select("k").distinct(), [F.col("k")], "ring")
+    rows = max(1, -(-n // (BUCKETS * shuffle_partitions(docs.sparkSession))))
+    last = ring.filter((F.col("_rank") % rows == rows - 1) | (F.col("_rank") == n - 1)).orderBy("_rank")
+    tops = [r["k"] for r in last.select("k").collect()]  # one for each bucket
+    if not tops:
+        tops = [0]
+    cuts = f"array({', '.join(f'{t}L' if t != NO_ID else '(-9223372036854775807L - 1L)' for t in tops)})"
+    own = F.expr(f"size(filter({cuts}, c -> c < k))")
+    above = F.expr(f"if(array_contains({cuts}, k), array(array_position({cuts}, k) % {len(tops)}), array())")
+    places = F.concat(F.array(F.struct(own.cast("long").alias("bucket"), F.lit(1).alias("mine"))), F.transform(above, lambda b: F.struct(b.cast("long").alias("bucket"), F.lit(0).alias("mine"))))
+    t = base.withColumn("_p", F.explode(places)).select("doc_id", "k", "text", "_p.bucket", "_p.mine")
+    t = with_fingerprint(t.repartition(shuffle_partitions(docs.sparkSession), "bucket").withColumn("th", F.xxhash64("text")), "text", "fp")
+
+    # ascending, so the next document is the row before; of a repeated doc_id all rows take what comes before the first
+    order = ("bucket", "mine", "k")
+    before = F.lag(F.struct("text", "fp")).over(Window.partitionBy("bucket").orderBy("mine", "k", F.desc("th")))
+    t = t.withColumn("_before", before)
+    t = t.withColumn("v", F.first("_before").over(Window.partitionBy(*order).orderBy(F.desc("th")))).filter("mine = 1").drop("_before")
+    t = t.withColumn("half", F.expr("cast(char_length(text) div 2 as int)"))
+    t = t.withColumn("edited", F.expr("concat(substring(text, 1, char_length(text) - half), substring(v.text, 1, half))"))
     t = with_fingerprint(t, "edited", "edited_fp")
-    near = (likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("v.next_fp")).alias("near_next"))
+    near = (likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("v.fp")).alias("near_next"))
     return t.select("doc_id", "text", "edited", "fp", "edited_fp", *near)
 
 
