@@ -21,6 +21,10 @@ SPLIT = r"[\x20\x09-\x0D]+"
 GROUP_WORDS = 400_000
 #: Pairs that one copy of a representative's shingles is compared with.
 PAIRS_PER_COPY = 128
+#: Rounds of comparison with centres before the search by rare shingles.
+STARS = 2
+#: Ratio of neighbouring size classes, and hash classes in which shingles are counted to tell rare from common ones.
+SIZE_STEP, CLASSES = 1.06, 1 << 18
 
 
 def word_hashes(text: Column) -> Column:
@@ -137,7 +141,11 @@ def banded(texts: DataFrame) -> DataFrame:
 
 
 def bag_sets(texts: DataFrame) -> DataFrame:
-    """texts(id, words) to (id, bag): each shingle's copies told apart by number, so that sets of them meet as the multisets do."""
+    """texts(id, words) to (id, bag): each shingle's copies told apart by number, so that sets of them meet as the multisets do.
+
+    A bag has the upper 32 bits of its 64-bit hashes: two texts of 1,000 shingles have one alike by chance in 4,000 pairs,
+    which moves their similarity by 0.0006.
+    """
 
     def run(batches):
         for batch in batches:
@@ -147,10 +155,11 @@ def bag_sets(texts: DataFrame) -> DataFrame:
                 copy = np.arange(len(each)) - np.repeat(np.cumsum(w) - w, w)
                 key = np.where(copy == 0, s[each], mixed(s[each] ^ mixed(copy.astype(np.uint64))))
                 ends = np.cumsum(np.bincount(d[each], minlength=j - i))
-                lists = pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), key.view(np.int64))
+                short = (key >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                lists = pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), short)
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), lists], names=["id", "bag"])
 
-    return texts.mapInArrow(run, "id long, bag array<long>")
+    return texts.mapInArrow(run, "id long, bag array<int>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
@@ -158,54 +167,129 @@ def verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
 
     A bag that many pairs need is copied once for each PAIRS_PER_COPY of them, so no task gets all its pairs.
     """
-    of_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("bag").alias("bag_b")), "b")
-    copies = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PAIRS_PER_COPY).cast("int").alias("copies"))
-    keyed = pairs.join(copies, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int").alias("copy"))
-    of_b = keyed.join(of_b.select("a", "b", "bag_b"), ["a", "b"])
-    of_a = sets.join(copies.withColumnRenamed("a", "id"), "id")
+    copies = stage(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PAIRS_PER_COPY).cast("int").alias("copies"), F.count(F.lit(1)).alias("n")), "copies")
+    keyed = lookup_join(pairs, copies, ["a"], "n", pairs.count()).select("a", "b", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int").alias("copy"))
+    of_b = keyed.join(sets.select(F.col("id").alias("b"), F.col("bag").alias("bag_b")), "b")
+    of_a = sets.join(copies.select(F.col("a").alias("id"), "copies"), "id")
     of_a = of_a.select(F.col("id").alias("a"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.col("bag").alias("bag_a"))
     both = F.size(F.array_intersect("bag_a", "bag_b"))
     t = of_b.join(of_a, ["a", "copy"]).select("a", "b", (both / (F.size("bag_a") + F.size("bag_b") - both)).alias("similarity"))
     return t.filter(F.col("similarity") >= similar)
 
 
-def linked(buckets: DataFrame, sets: DataFrame, similar: float) -> tuple[DataFrame, DataFrame]:
-    """buckets(bucket, id): the verified links (a, b, similarity) that make the classes, and (node, root) of those in one.
+def live(members: DataFrame) -> DataFrame:
+    """members(bucket, id, label) of the buckets that hold several labels, with the number ``n`` of the bucket's members."""
+    spread = members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"))
+    spread = stage(spread.filter("lo <> hi").select("bucket", "n"), "live")
+    return stage(lookup_join(members, spread, ["bucket"], "n", members.count()), "members")
+
+
+def to_centres(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each bucket's centre and its other members of another label.
+
+    The centre is the member whose buckets have most members: near a group's origin, since edits take a copy out of
+    buckets. Members that share a label with others come last, so each round has a centre for those not yet joined.
+    """
+    sizes = members.groupBy("id").agg(F.sum("n").alias("score"))
+    total = members.count()
+    kin = members.select("id", "label").distinct().groupBy("label").agg(F.count(F.lit(1)).alias("kin"))
+    scored = sizes.join(members.select("id", "label").distinct(), "id")
+    scored = stage(lookup_join(scored, kin, ["label"], "kin", sizes.count()), "scored")
+    rank = F.struct((F.col("kin") == 1).alias("lone"), "score", "id")
+    of = members.join(scored.select("id", "score", "kin"), "id").groupBy("bucket").agg(F.max_by(F.struct("id", "label"), rank).alias("c"), F.first("n").alias("n"))
+    met = lookup_join(members.drop("n"), of, ["bucket"], "n", total).filter("id <> c.id and label <> c.label")
+    return met.select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct()
+
+
+def prefixes(sets: DataFrame, counts: np.ndarray, similar: float) -> DataFrame:
+    """sets(id, label, bag) to (key, id, label, side): two bags of the wanted similarity have a key in common, on opposite sides or both on side 2.
+
+    Of two sets of a and b elements that share o = similar (a + b) / (1 + similar) or more, the rarest a - o + 1 of one and the
+    rarest b - o + 1 of the other share one, in any common order of the elements. The order is by ``counts`` of hash
+    classes, so common elements are seldom among them. Sizes fall into classes of SIZE_STEP; a set has a prefix for each
+    class that its partners can be of, and keys are of an element and both classes; side 0 is the lesser class, 1 the
+    greater, 2 either of two alike.
+    """
+    step = np.log(SIZE_STEP)
 
-    A bucket's members are compared with a centre, not with each other. Members that a link has joined
-    are settled; while a bucket holds several classes, some of its members, 1, then 4, then 16, ... of the greatest
-    and the least class, become centres for the members of other classes and then leave it. So every
-    candidate pair is compared unless its members are already in one class: no link between classes is lost,
-    and a group of n near copies takes about n comparisons.
+    def run(batches):
+        for batch in batches:
+            keys, sides, sizes = [], [], np.zeros(batch.num_rows, np.int64)
+            for i, bag in enumerate(batch.column("bag")):
+                bag = bag.values.to_numpy(zero_copy_only=False)
+                a = len(bag)
+                if not a:
+                    continue
+                bag = bag[np.lexsort((bag, counts[bag.astype(np.int64) % len(counts)]))].view(np.uint32).astype(np.uint64)
+                own = int(np.floor(np.log(a) / step + 1e-9))
+                for j in range(max(0, int(np.floor(np.log(max(1, similar * a)) / step - 1e-6))), int(np.floor(np.log(a / similar) / step + 1e-6)) + 1):
+                    least = max(similar * a, SIZE_STEP**j * (1 - 1e-9))
+                    overlap = int(np.ceil(similar * (a + least) / (1 + similar) - 1e-6))
+                    keys.append(mixed(mixed(bag[: max(1, a - overlap + 1)]) ^ np.uint64(min(own, j) * 65536 + max(own, j))).view(np.int64))
+                    sides.append(np.full(len(keys[-1]), 2 if own == j else int(own > j), np.int8))
+                    sizes[i] += len(keys[-1])
+            if keys:
+                ids, labels = (np.repeat(batch.column(c).to_numpy(), sizes) for c in ("id", "label"))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(ids), pa.array(labels), pa.array(np.concatenate(sides))], names=["key", "id", "label", "side"])
+
+    return sets.mapInArrow(run, "key long, id long, label long, side byte")
+
+
+def rare_pairs(members: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """Pairs (a, b) of different labels among the members of live buckets, all that can be of the wanted similarity.
+
+    A key's most frequent label is not paired with itself, so a key that a whole class has costs no more than its members
+    for each outsider.
+    """
+    of = stage(members.select("id", "label").distinct(), "of")
+    bags = stage(sets.join(of, "id"), "bags")
+    found = bags.select(F.explode("bag").alias("s")).groupBy(F.pmod("s", F.lit(CLASSES)).alias("c")).count().collect()  # CLASSES rows at most
+    counts = np.zeros(CLASSES, np.int64)
+    for c, n in found:
+        counts[c] = n
+    posts = stage(prefixes(bags.select("id", "label", "bag"), counts, similar), "posts")
+    keys = posts.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"))
+    shared = stage(lookup_join(posts, stage(keys.filter("lo <> hi").select("key", "n"), "keys"), ["key"], "n", posts.count()), "shared")
+    each = shared.groupBy("key", "label").agg(F.count(F.lit(1)).alias("of")).groupBy("key").agg(F.max_by("label", "of").alias("most"), F.sum("of").alias("n"))
+    shared = lookup_join(shared.drop("n"), each, ["key"], "n", shared.count()).drop("n")
+    other = shared.filter("label <> most").select("key", F.col("id").alias("x"), F.col("label").alias("x_label"), F.col("side").alias("x_side"))
+    facing = (F.col("x_side") != F.col("side")) | (F.col("side") == 2)
+    met = other.join(shared.select("key", "id", "label", "side"), (other["key"] == shared["key"]) & (F.col("x_label") != F.col("label")) & facing)
+    return met.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
+
+
+def hubs(links: DataFrame) -> DataFrame:
+    """links(a, b) to (id, hub): of each node and its neighbours the one of most links. One hub means one class; the reverse need not hold."""
+    both = stage(links.select(F.col("a").alias("id"), F.col("b").alias("hub")).union(links.select("b", "a")), "both")
+    degree = both.groupBy(F.col("id").alias("hub")).agg(F.count(F.lit(1)).alias("n"))
+    near = lookup_join(both, degree, ["hub"], "n", both.count()).select("id", "hub", "n")
+    every = near.unionByName(degree.select(F.col("hub").alias("id"), "hub", "n"))
+    return stage(every.groupBy("id").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub")), "hubs")
+
+
+def linked(buckets: DataFrame, sets: DataFrame, similar: float) -> DataFrame | None:
+    """buckets(bucket, id) to (node, root) of the classes that verified links make; None if there is no link.
+
+    Members of a bucket are first compared with a centre, STARS times, which joins most of a group of copies at the
+    cost of its size. Buckets that still hold several classes give up their members to an exact search for pairs of
+    different classes by their rarest shingles. So every candidate pair is compared, or shown to be too unlike,
+    unless it is in one class already: no link between classes is lost, and no group's pairs are listed.
     """
-    members = stage(buckets.withColumn("label", F.col("id")), "members")
-    seen, links, names, width = None, [], None, 1
-    while True:
-        live = members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi")
-        live = stage(live.select("bucket", "n"), "live")
-        total = members.count()
-        if live.isEmpty():
+    members, links, seen = buckets.withColumn("label", F.col("id")), [], None
+    for step in range(STARS + 1):
+        members = live(members)
+        if members.isEmpty():
             break
-        members = stage(lookup_join(members, live, ["bucket"], "n", total).drop("n"), "members")
-        by = [F.col("bucket"), F.pmod(F.xxhash64("id"), F.lit(width)).alias("part")]
-        ends = members.groupBy(*by).agg(F.max_by("id", F.struct("label", "id")).alias("x"), F.min_by("id", F.struct("label", "id")).alias("y"))
-        centres = stage(ends.select("bucket", F.explode(F.array("x", "y")).alias("centre")).distinct(), "centres")
-        per = centres.groupBy("bucket").agg(F.collect_list("centre").alias("centres")).join(live, "bucket")  # 2 width at most
-        of = members.select("id", "label").distinct().withColumnsRenamed({"id": "a", "label": "of_a"})
-        met = lookup_join(members, per, ["bucket"], "n", total).select("id", "label", F.explode("centres").alias("a")).filter("a <> id").distinct()
-        heavy = met.groupBy("a").agg(F.count(F.lit(1)).alias("n")).join(of, "a")
-        pairs = lookup_join(met, heavy, ["a"], "n", total).filter("of_a <> label")
-        pairs = pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+        pairs = to_centres(members) if step < STARS else rare_pairs(members, sets, similar)
         pairs = stage(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
         seen = pairs if seen is None else seen.unionByName(pairs)
-        new = stage(verified(pairs, sets, similar), "links")
-        links.append(new)
-        members = members.join(centres.withColumnRenamed("centre", "id"), ["bucket", "id"], "left_anti")
+        new = stage(verified(pairs, sets, similar).select("a", "b"), "links")
+        members = members.drop("n")
         if not new.isEmpty():
-            names = components(reduce(DataFrame.unionByName, links).select("a", "b"))
-            members = members.join(names.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("root", "label").alias("label"))
-        members, width = stage(members, "members"), width * 4
-    return links, names
+            links.append(new)
+            if step < STARS:
+                members = members.join(hubs(reduce(DataFrame.unionByName, links)), "id", "left").select("bucket", "id", F.coalesce("hub", "id").alias("label"))
+    return components(reduce(DataFrame.unionByName, links)) if links else None
 
 
 def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -230,7 +314,7 @@ def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     wanted = buckets.select("id").distinct()
     kept = docs.select(F.col("doc_id").alias("id"), text.alias("text")).join(wanted, "id", "left_semi")
     sets = stage(bag_sets(kept.select("id", word_hashes(F.col("text")).alias("words"))).dropDuplicates(["id"]), "sets")
-    _, names = linked(buckets, sets, similar)
+    names = linked(buckets, sets, similar)
     if names is not None:
         first = first.join(names.withColumnRenamed("node", "rep"), "rep", "left")
     else:
