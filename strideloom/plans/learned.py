@@ -10,14 +10,11 @@ from strideloom.plans import bindings as b
 from strideloom.plans.queries import FEATURES, ID, QUERIES, rounded, cycle_tensor, strike_window
 from strideloom.schemas import STRIKE_METRICS
 
-#: Epochs of the query; the trainer's default is the full number.
-QUERY_EPOCHS = 10
-
 
 def _contact(spark, d):
     cycles, test = cycle_tensor(spark, d), b.test_videos(spark)
     model = contact_lstm.ContactLstm(len(FEATURES))
-    model.fit(*contact_lstm.tensors(sets.train_split(cycles, test), FEATURES), epochs=QUERY_EPOCHS)
+    model.fit(*contact_lstm.tensors(sets.train_split(cycles, test), FEATURES), epochs=contact_lstm.EPOCHS)
     return contact_lstm.predict(sets.test_split(cycles, test), model, FEATURES)
 
 

@@ -3,8 +3,11 @@
 import pytest
 from parity import connect, rows
 
+from strideloom.ml import contact_lstm
+from strideloom.operators import sets
+from strideloom.plans import bindings
 from strideloom.plans.learned import LEARNED
-from strideloom.plans.queries import QUERIES
+from strideloom.plans.queries import FEATURES, QUERIES, cycle_tensor
 from strideloom.plans.sql import SQL
 
 SF = "/root/testdata/sf0.001"
@@ -27,6 +30,19 @@ def test_learned(spark, name):
     assert "pred" in t.columns and t.count() > 0
 
 
+def test_contact_lstm_trains_in_full(spark):
+    """The query's logits are those of a fit of the reference's 100 epochs."""
+    cycles, test = cycle_tensor(spark, SF), bindings.test_videos(spark)
+    model = contact_lstm.ContactLstm(len(FEATURES))
+    model.fit(*contact_lstm.tensors(sets.train_split(cycles, test), FEATURES), epochs=100)
+    key = lambda r: (r.video, r.side, r.start_frame, r.t)
+    want = sorted(contact_lstm.predict(sets.test_split(cycles, test), model, FEATURES).collect(), key=key)
+    got = sorted(LEARNED["contact_lstm_infer"](spark, SF).collect(), key=key)
+    assert want and [key(r) for r in got] == [key(r) for r in want]
+    assert [r.logit for r in got] == pytest.approx([r.logit for r in want], abs=1e-5)
+    assert [r.pred for r in got] == [r.pred for r in want]
+
+
 def test_row_counts(spark):
     """Regression counts at the smallest scale: emitted strikes, with toe-off, cycles kept."""
     s = QUERIES["label_fsm"](spark, SF)
