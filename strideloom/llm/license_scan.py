@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strideloom.llm.common import table
-from strideloom.llm.license_texts import EQUIVALENTS, LICENSES
+from strideloom.llm.license_texts import BASIC_LICENSES, EQUIVALENTS, LICENSES
 
 #: Registries of so many rows at most are broadcast (a digest and a name each, under 2 MB).
 BROADCAST_ROWS = 10_000
@@ -66,7 +66,7 @@ def _sql_canonical(text: str) -> str:
 
 
 def op8_sql() -> str:
-    known = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in LICENSES.items())
+    known = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in BASIC_LICENSES.items())
     return f"""
 with known as (select min(license_id) as license_id, sha256({_sql_canonical('body')}) as digest
                from (values {known}) v(license_id, body) group by 2)

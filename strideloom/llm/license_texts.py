@@ -1,5 +1,7 @@
 """Public licence texts and spellings that licence matching takes as equal."""
 
+from pathlib import Path
+
 _MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy
 of this software and associated documentation files (the "Software"), to deal
 in the Software without restriction, including without limitation the rights
@@ -70,8 +72,8 @@ subject to the following restrictions:
    misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution."""
 
-# Licence texts without their copyright lines, with and without their titles.
-LICENSES = {
+# Licence texts without their copyright lines, with and without their titles; all that the SQL knows.
+BASIC_LICENSES = {
     "MIT": _MIT,
     "MIT (titled)": f"MIT License\n\n{_MIT}",
     "MIT-0": f"{_MIT_GRANT}.\n\n{_MIT_WARRANTY}",
@@ -85,6 +87,43 @@ LICENSES = {
     "Apache-2.0 (line)": "Licensed under the Apache License, Version 2.0.",
 }
 
+_TITLES = {
+    "MIT": ["The MIT License", "The MIT License (MIT)"],
+    "MIT-0": ["MIT No Attribution"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The 2-Clause BSD License", "The BSD 2-Clause License", "Simplified BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The 3-Clause BSD License", "The BSD 3-Clause License", "New BSD License", "BSD License"],
+    "Zlib": ["The zlib License"],
+    "Unlicense": ["The Unlicense", "Unlicense"],
+}
+_LINES = {
+    "GPL-3.0 (line)": "This work is licensed under the GNU General Public License, version 3.",
+    "CC-BY-NC-4.0 (line)": "Licensed under CC BY-NC 4.0.",
+}
+_END = "END OF TERMS AND CONDITIONS"
+
+
+def _full_texts() -> dict[str, str]:
+    """The texts of ``licenses/``, named by SPDX id, and those with an appendix after their terms without it as well."""
+    out = {}
+    for f in sorted((Path(__file__).parent / "licenses").glob("*.txt")):
+        name, text = f.stem, f.read_text(encoding="utf-8")
+        out[name] = text
+        terms, end, after = text.partition(_END)
+        if after.strip():
+            out |= {f"{name} (terms)": terms + end, f"{name} (terms without end mark)": terms}
+    return out
+
+
+def _titled(texts: dict[str, str]) -> dict[str, str]:
+    return {f"{k} ({title})": f"{title}\n\n{texts[k]}" for k, titles in _TITLES.items() for title in titles}
+
+
+# All known texts.
+LICENSES = BASIC_LICENSES | _LINES | _full_texts()
+LICENSES |= _titled(LICENSES)
+
 # Spellings taken as equal, as runs of lower-case words.
 EQUIVALENTS = [
     ("acknowledgement", "acknowledgment"),

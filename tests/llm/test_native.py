@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from strideloom.llm import hilbert_shards, license_scan, line_dedup, mixing, reg
 from strideloom.llm.common import lookup_join, with_rank
 from strideloom.llm.license_texts import LICENSES
 
+FULL = Path(license_scan.__file__).parent / "licenses"
+
 DOC = "doc_id long, text string, lang string, source string, n_chars long, extra string, size string, rank int"
 BLANK = " \t\n\x0b\x0c\r"
 
@@ -193,6 +196,20 @@ def test_license_registry_in_any_form(spark):
     assert len({r.digest for r in known}) == len(LICENSES)
 
 
+def test_full_and_titled_licenses(spark):
+    """Whole texts of common licences, as other packages and Debian carry them, and usual titles."""
+    texts = {"Apache-2.0": 200, "GPL-2.0": 330, "GPL-3.0": 670, "LGPL-2.1": 490, "LGPL-3.0": 160, "MPL-2.0": 370, "CC0-1.0": 120, "CC-BY-SA-4.0": 420, "Unlicense": 24}
+    rows = []
+    for i, (name, lines) in enumerate(texts.items()):
+        text = (FULL / f"{name}.txt").read_text(encoding="utf-8")
+        assert len(text.splitlines()) >= lines, name
+        rows.append((i, text, name))
+    rows += [(100, "BSD 3-Clause License\n\nCopyright (c) 2020, X\n\n" + LICENSES["BSD-3-Clause"], "BSD-3-Clause"), (101, "ISC License\n\nCopyright (c) 2020 X\n\n" + LICENSES["ISC"], "ISC")]
+    rows += [(102, "Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"), (103, (FULL / "GPL-3.0.txt").read_text() + " and more", None)]
+    got = {r.doc_id: r.license_id for r in license_scan.scan(docs(spark, [(i, t, None) for i, t, _ in rows]), license_scan.known_licenses(spark)).collect()}
+    assert {i: g and g.split(" (")[0] for i, g in got.items()} == {i: name for i, _, name in rows}
+
+
 # fingerprints
 
 def brute_fingerprint(spark, texts, k=winnowing.K, window=winnowing.WINDOW):
