@@ -13,7 +13,22 @@ from strideloom.llm.license_texts import BASIC_LICENSES, EQUIVALENTS, LICENSES
 #: Registries of so many rows at most are broadcast (a digest and a name each, under 2 MB).
 BROADCAST_ROWS = 10_000
 #: A line that names a holder or a year, or reserves all rights; not prose that speaks of a copyright notice.
+#: For ``canonical`` and the SQL; ``whole`` has NOTICE.
 COPYRIGHT_LINE = r"(^|\n)[ \t*#/]*(?:copyright[ \t]*(?:\(c\)|©|[0-9]|:|<|\[|\{)|\(c\)[ \t]|©|all rights reserved)[^\n]*"
+#: Words after "copyright" in prose, where a line of a licence may break before it.
+_PROSE = (
+    r"(?:notices?|holders?|holder\(s\)|owners?|licen[cs]es?|laws?|statements?|interests?|protection|treat(?:y|ies)|permissions?|disclaimers?|information|rights?|material|claims?|status|"
+    r"works?|infringement|ownership|doctrines?|resulting|including|each|and|or|in|on|to|if|is|are|of|for|as|that|the (?:software|library|program|work))\b")
+#: Words of a licence that may follow a copyright notice on its line.
+_OPENING = (
+    r"\b(?:permission (?:is|to)|redistributions? (?:and|of|in)|(?:this|the) (?:software|program|library|work|file|source|code|package|product|document|font software|license) (?:is|are|may|can|comes|shall|must)|"
+    r"(?:licensed|released|distributed|available|provided) under|everyone is|you (?:may|must|should|shall|can|are)|use of this|no part of|this is free|subject to|in no event|version [0-9])\b").replace(" ", r"[ \t]+")
+_MARK = r"(?:\(c\)|©|[0-9]{4}|:|<|\[|\{)"
+#: A copyright notice of lower-case text: a short line that names a holder or a year, up to licence words that follow on it; amid a line only if they do.
+NOTICE = (
+    rf"(^|\n)[ \t*#/;!%-]*(?:(?:some[ \t]+)?(?:portions|parts)[ \t]+(?:of[ \t]+this[ \t]+\w+[ \t]+)?(?:are[ \t]+)?)?"
+    rf"(?:copyright(?:[ \t]*{_MARK}|[ \t]+(?!{_PROSE})[\p{{L}}\p{{N}}])|\(c\)[ \t]*[0-9]{{4}}|©|all[ \t]+rights[ \t]+reserved)[^\n]{{0,200}}?(?=\n|\z|{_OPENING})"
+    rf"|\bcopyright[ \t]*{_MARK}[^\n]{{0,200}}?(?={_OPENING})")
 
 
 def canonical(text: Column) -> Column:
@@ -27,8 +42,16 @@ def canonical(text: Column) -> Column:
     return F.btrim(F.regexp_replace(t, " +", " "))
 
 
+def whole(text: Column) -> Column:
+    """What licences are matched by: like ``canonical``, but letters and digits of all scripts stay, and of copyright notices no more and no less goes than they are."""
+    t = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), NOTICE, "$1")
+    t = F.concat(F.lit(" "), F.regexp_replace(t, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+    t = reduce(lambda c, x: F.replace(c, F.lit(f" {x[0]} "), F.lit(f" {x[1]} ")), [*EQUIVALENTS, ("https", "http")], t)
+    return F.btrim(F.regexp_replace(t, " +", " "))
+
+
 def digest(text: Column) -> Column:
-    return F.sha2(canonical(text).cast("binary"), 256)
+    return F.sha2(whole(text).cast("binary"), 256)
 
 
 def known_licenses(spark: SparkSession) -> DataFrame:
@@ -38,17 +61,17 @@ def known_licenses(spark: SparkSession) -> DataFrame:
 
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """docs with ``canonical_sha256`` and ``license_id``, null where the entire text is no known licence.
+    """docs with ``canonical_sha256``, of the form that the SQL has, and ``license_id``, null where the entire text is no known licence.
 
     A digest known by several names gives the first of them. Only ids and digests would move if the
     registry were too large to broadcast. Null and blank texts match nothing, unless the registry has the
     empty digest. Repeated rows stay; an empty table gives no rows.
     """
-    known = known.groupBy("digest").agg(F.min("license_id").alias("license_id")).withColumnRenamed("digest", "canonical_sha256")
+    known = known.groupBy("digest").agg(F.min("license_id").alias("license_id")).withColumnRenamed("digest", "_whole")
     if known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         known = F.broadcast(known)
-    t = docs.drop("canonical_sha256", "license_id").withColumn("canonical_sha256", digest(F.col("text")))
-    return t.join(known, "canonical_sha256", "left")
+    t = docs.drop("canonical_sha256", "license_id").withColumn("canonical_sha256", F.sha2(canonical(F.col("text")).cast("binary"), 256))
+    return t.withColumn("_whole", digest(F.col("text"))).join(known, "_whole", "left").drop("_whole")
 
 
 def op8_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:

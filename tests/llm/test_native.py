@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from pathlib import Path
 
@@ -210,6 +211,35 @@ def test_full_and_titled_licenses(spark):
     assert {i: g and g.split(" (")[0] for i, g in got.items()} == {i: name for i, _, name in rows}
 
 
+def license_ids(spark, texts):
+    got = license_scan.scan(docs(spark, [(i, t, None) for i, t in enumerate(texts)]), license_scan.known_licenses(spark)).collect()
+    return [(g := r.license_id) and g.split(" (")[0] for r in sorted(got, key=lambda r: r.doc_id)]
+
+
+def test_license_notices(spark):
+    mit, bsd = LICENSES["MIT"], LICENSES["BSD-3-Clause"]
+    one = " ".join(mit.split())
+    notices = ["Copyright Google LLC", "Copyright The Foo Authors 2020", "Portions Copyright (c) 2019 X, Inc.", "Copyright (c) 2020 X, Inc. and Y. All rights reserved.", "(c) 2020 X", "# Copyright: X"]
+    assert license_ids(spark, [f"{n}\n\n{t}" for n in notices for t in (mit, bsd)]) == ["MIT", "BSD-3-Clause"] * len(notices)
+    assert license_ids(spark, ["Copyright (c) 2020 X. " + one, "MIT License Copyright (c) 2020 X " + one, "Copyright Google LLC. All rights reserved. " + one]) == ["MIT"] * 3
+    more = ["Это другой текст", "其他条款适用", "Copyright (c) 2020 X. You may not use this at all.", "Copyright (c) 2020 X. " + "Other terms. " * 30, "copyright notice to come"]
+    assert license_ids(spark, [f"{mit}\n\n{m}" for m in more]) == [None] * len(more)
+    known = license_scan.known_licenses(spark).collect()
+    empty = hashlib.sha256(b"").hexdigest()
+    assert not any(r.digest == empty for r in known)
+    forms = [r.w for r in spark.createDataFrame([("Это текст",), ("其他条款",)], "t string").select(license_scan.whole(F.col("t")).alias("w")).collect()]
+    assert forms == ["это текст", "其他条款"]
+
+
+def test_license_of_rewrapped_text(spark):
+    """A text's lines may break anywhere, and be one."""
+    names = [n for n in LICENSES if "\n" in LICENSES[n] and not re.search(r"copyright[ \t]*(\(c\)|©|\[)", LICENSES[n], re.I)]
+    assert len(names) > 30
+    for width in (37, 61, 80, 10**6):
+        wrapped = ["\n".join(textwrap.wrap(LICENSES[n], width, break_long_words=False, break_on_hyphens=False)) for n in names]
+        assert license_ids(spark, wrapped) == [n.split(" (")[0] for n in names], width
+
+
 # fingerprints
 
 def brute_fingerprint(spark, texts, k=winnowing.K, window=winnowing.WINDOW):
