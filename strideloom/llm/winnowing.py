@@ -9,6 +9,12 @@ from strideloom.llm.common import BLANKS, shuffle_partitions, table, with_rank
 
 K, WINDOW = 5, 8
 SPLIT = r"[\x20\x09-\x0D]+"
+#: Words of more characters, and letters of scripts written without blanks, are cut into single characters.
+LONGEST = 32
+UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsBopomofo}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}])"
+LONG = rf"[^\x20\x09-\x0D]{{{LONGEST + 1}}}"
+#: Each character of a long word: its first one, and then those that follow a match.
+OF_LONG = rf"(?:\G(?!^)|(?={LONG}))([^\x20\x09-\x0D])"
 LOW = 0xFFFFFFFF
 #: Buckets of consecutive ids for each shuffle partition.
 BUCKETS = 4
@@ -16,11 +22,17 @@ BUCKETS = 4
 NO_ID = -(2**63)
 
 
+def spaced(text: Column) -> Column:
+    """text with blanks around each character of a run without white space."""
+    cut = F.regexp_replace(F.regexp_replace(text, UNSPACED, " $1 "), OF_LONG, "$1 ")
+    return F.when(text.rlike(f"{UNSPACED}|{LONG}"), F.btrim(cut, F.lit(BLANKS))).otherwise(text)
+
+
 def with_fingerprint(df: DataFrame, text: str, out: str, k: int = K, window: int = WINDOW) -> DataFrame:
     """df with ``out``: array<struct<hash, pos>> of the text's winnowed k-grams, in order of position.
 
-    A gram is k consecutive words (lower case, parted by white space), its hash that of its words' hashes,
-    its position the number of its first word. Of each ``window`` consecutive grams the one with the least
+    A gram is k consecutive words (lower case, parted by white space; a character of a script without blanks or of a
+    word of over LONGEST characters is a word), its hash that of its words' hashes, its position the number of its first word. Of each ``window`` consecutive grams the one with the least
     hash is kept, the rightmost of equals. So two texts that share k + window - 1 words in a row share a
     fingerprint, and its positions say where. A text of fewer than k words is one gram, one of fewer
     grams than the window one window; a null or blank text has no fingerprint.
@@ -35,7 +47,7 @@ def with_fingerprint(df: DataFrame, text: str, out: str, k: int = K, window: int
     gram = lambda i: "xxhash64(" + ", ".join(f"get(_h, {i} + {j})" for j in range(k)) + ")"
     packed = f"shiftleft(shiftrightunsigned({gram('i')}, 33), 32) | ({LOW}L - i)"
     blank = F.btrim(F.col(text), F.lit(BLANKS))
-    df = df.withColumn("_w", F.when(blank != "", F.split(F.lower(blank), SPLIT, -1)).otherwise(F.array().cast("array<string>")))
+    df = df.withColumn("_w", F.when(blank != "", F.split(spaced(F.lower(blank)), SPLIT, -1)).otherwise(F.array().cast("array<string>")))
     df = df.withColumn("_h", F.expr("transform(_w, x -> xxhash64(x))")).drop("_w")
     df = df.withColumn("_m", F.expr(f"if(size(_h) = 0, array(), transform(sequence(0, greatest(size(_h) - {k}, 0)), i -> {packed}))"))
     df = df.withColumn("_all", F.expr(f"if(size(_m) between 1 and {window - 1}, array_min(_m), null)"))

@@ -281,6 +281,23 @@ def test_shared_run_of_words_is_found(spark):
     assert all(a & b for a in fps for b in fps)
 
 
+def test_text_without_blanks(spark):
+    """Half of a text is found again, and a short shared run, in scripts without blanks, base64 and minified code."""
+    rng = random.Random(6)
+    kinds = {"han": [chr(c) for c in range(0x4E00, 0x8E00)], "kana": [chr(c) for c in range(0x3041, 0x3090)], "thai": [chr(c) for c in range(0x0E01, 0x0E2F)], "base64": list("abcdefghijklmnopqrstuvwxyz0123456789+/"), "code": list("abcdefxyz01(){};=+.,[]")}
+    run = winnowing.K + winnowing.WINDOW - 1
+    for kind, letters in kinds.items():
+        a, b = ("".join(rng.choices(letters, k=4000)) for _ in range(2))
+        got = {r.doc_id: r for r in winnowing.edited_fingerprints(docs(spark, [(2, a, None), (1, b, None)])).collect()}
+        assert got[2].near_edited > 0.25 and got[1].near_edited > 0.25, kind
+        part = "".join(rng.choices(letters, k=run))
+        rows = [(i, "".join(rng.choices(letters, k=40)) + part + "".join(rng.choices(letters, k=40))) for i in range(5)]
+        fps = [{x.hash for x in r.fp} for r in winnowing.with_fingerprint(spark.createDataFrame(rows, "i long, text string"), "text", "fp").collect()]
+        assert all(x & y for x in fps for y in fps), kind
+    cut = [r.w for r in spark.createDataFrame([("ab 中文x " + "y" * 33 + " " + "z" * 32 + " end",)], "t string").select(F.split(winnowing.spaced(F.col("t")), winnowing.SPLIT).alias("w")).collect()]
+    assert cut == [["ab", "中", "文", "x", *["y"] * 33, "z" * 32, "end"]]
+
+
 def test_edited(spark):
     rows = [(9, "nine über words of text here now", None), (5, "five", None), (5, "five", None), (2, None, None), (None, "null id's text", None)]
     got = {r.doc_id: r for r in winnowing.edited_fingerprints(docs(spark, rows)).collect()}
