@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideloom.llm.common import BLANKS, key128, lookup_join, stage, table
+from strideloom.llm.common import BLANKS, key128, stage, table
 from strideloom.llm.components import components
 from strideloom.llm.hashing import MIX, mixed, uniform
 
@@ -19,12 +17,12 @@ BANDS, ROWS = 24, 6
 SPLIT = r"[\x20\x09-\x0D]+"
 #: Words worked on at once in a task.
 GROUP_WORDS = 400_000
-#: Pairs that one copy of a representative's shingles is compared with.
-PAIRS_PER_COPY = 128
-#: Rounds of comparison with centres before the search by rare shingles.
-STARS = 2
+#: Rounds of comparison with centres; members outside a bucket's largest class that are compared with all of the bucket.
+STARS, FEW = 2, 32
 #: Ratio of neighbouring size classes, and hash classes in which shingles are counted to tell rare from common ones.
 SIZE_STEP, CLASSES = 1.06, 1 << 18
+#: Rows in which those counts come to the driver.
+COUNT_ROWS = 64
 
 
 def word_hashes(text: Column) -> Column:
@@ -61,10 +59,12 @@ def bags(words: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def signatures(s: np.ndarray, d: np.ndarray, w: np.ndarray, docs: int, size: int) -> np.ndarray:
     """BagMinHash: docs x size arrival times; two bags agree in a slot with the probability of their weighted Jaccard index.
 
-    Each element has a Poisson process for each of the weight intervals (0, 1], (1, 2], (2, 4], (4, 8], ... that
-    its weight reaches, of a rate in proportion to the interval's width. A point has a time, a slot and a weight
-    within the interval, and counts if that weight is no more than the element's. Processes depend on
-    the element alone, so bags share the points below the lesser weight. A slot keeps its first time.
+    Weights are discretised at the whole numbers. Each element has a Poisson process for each of the weight intervals
+    (0, 1], (1, 2], (2, 4], (4, 8], ... that its weight reaches, of a rate in proportion to the interval's width. A process
+    is a tree: after its first point it is split at the middle weight into two of half the rate. The point goes to either
+    half by chance; the other half draws its own first point from there on. Halves above the element's weight are
+    not followed, and what reaches a single step of weight is a plain process whose points count. Draws depend on the element and
+    the path alone, so bags share all points below the lesser weight. A slot keeps its first time.
 
     Points beyond the time at which all of a document's slots are likely full are never drawn: an element costs
     about one draw. A document with an empty slot is drawn again up to a later time.
@@ -74,29 +74,45 @@ def signatures(s: np.ndarray, d: np.ndarray, w: np.ndarray, docs: int, size: int
     todo = weight > 0
     horizon = np.full(docs, np.inf)
     horizon[todo] = size * (np.log(size) + 3) / weight[todo]
+
+    def drawn(state: np.ndarray, time: np.ndarray, width: np.ndarray):
+        """The next point of each process: state, time, slot."""
+        state = mixed(state)
+        time = time - np.log(uniform(state)) * size / width
+        state = mixed(state)
+        return state, time, (state % np.uint64(size)).astype(np.int64)
+
     while todo.any():
         mine = todo[d]
-        parts, low, level = [], 0, 0
+        roots, low, level = [], 0, 0
         s0, d0, w0 = s[mine], d[mine], w[mine]
         while len(s0):
-            parts.append((s0, d0, w0, np.full(len(s0), low), np.full(len(s0), level)))
+            roots.append((mixed(s0 ^ np.uint64(level * int(MIX[1]) % 2**64)), d0, w0, np.full(len(s0), low), np.full(len(s0), max(low, 1))))
             low, level = (low * 2 or 1), level + 1
             more = w0 > low
             s0, d0, w0 = s0[more], d0[more], w0[more]
-        e, doc, wt, base, lv = map(np.concatenate, zip(*parts))
-        width = np.maximum(base, 1)
-        state = mixed(e ^ (lv.astype(np.uint64) * MIX[1]))
-        time = np.zeros(len(e))
-        while len(e):
-            state = mixed(state)
-            time = time - np.log(uniform(state)) * size / width
+        state, doc, top, base, width = map(np.concatenate, zip(*roots))
+        state, time, slot = drawn(state, np.zeros(len(doc)), width)
+        while len(doc):
             live = time <= horizon[doc]
-            e, doc, wt, base, width, state, time = (x[live] for x in (e, doc, wt, base, width, state, time))
-            state = mixed(state)
-            slot = (state % np.uint64(size)).astype(np.int64)
-            state = mixed(state)
-            inside = base + np.floor(uniform(state) * width) + 1 <= wt
-            np.minimum.at(out.reshape(-1), doc[inside] * size + slot[inside], time[inside])
+            state, doc, top, base, width, time, slot = (x[live] for x in (state, doc, top, base, width, time, slot))
+            step = width == 1
+            np.minimum.at(out.reshape(-1), doc[step] * size + slot[step], time[step])
+            again = (*drawn(state[step], time[step], width[step]), doc[step], top[step], base[step], width[step])
+            state, doc, top, base, half, time, slot = (x[~step] for x in (state, doc, top, base, width // 2, time, slot))
+            if not len(doc):
+                state, time, slot, doc, top, base, width = again
+                continue
+            upper = (state >> np.uint64(40)) & np.uint64(1)  # the half that has the point
+            parts = [again]
+            for side in (0, 1):
+                seed = mixed(state ^ MIX[side + 1])
+                new = drawn(seed, time, half)
+                kept = upper == side
+                both = np.where(kept, seed, new[0]), np.where(kept, time, new[1]), np.where(kept, slot, new[2])
+                reached = base + side * half < top
+                parts.append(tuple(x[reached] for x in (*both, doc, top, base + side * half, half)))
+            state, time, slot, doc, top, base, width = map(np.concatenate, zip(*parts))
         open_slots = ~np.isfinite(out).all(1) & todo
         horizon[open_slots] *= 2
         todo = open_slots
@@ -125,7 +141,7 @@ def _word_groups(batch: pa.RecordBatch):
 
 
 def banded(texts: DataFrame) -> DataFrame:
-    """texts(id, words) to (id, bands): BANDS hashes of ROWS slots each; none for a text without words."""
+    """texts(id, t1, t2, words) to (id, t1, t2, size, bands): number of shingles and BANDS hashes of ROWS slots each; none for a text without words."""
 
     def run(batches):
         for batch in batches:
@@ -134,10 +150,12 @@ def banded(texts: DataFrame) -> DataFrame:
                 h = np.broadcast_to(mixed(np.arange(BANDS, dtype=np.uint64)), (j - i, BANDS)).copy()
                 for r in range(ROWS):
                     h = mixed(h ^ sig[:, :, r])
-                lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(np.where(lengths > 0, BANDS, 0))]).astype(np.int32), h[lengths > 0].view(np.int64).ravel())
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), lists], names=["id", "bands"])
+                ends = np.concatenate([[0], np.cumsum(np.where(lengths > 0, BANDS, 0))]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(ends, h[lengths > 0].view(np.int64).ravel())
+                sizes = np.where(lengths > 0, np.maximum(lengths - SHINGLE + 1, 1), 0).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in ("id", "t1", "t2")), pa.array(sizes), lists], names=["id", "t1", "t2", "size", "bands"])
 
-    return texts.mapInArrow(run, "id long, bands array<long>")
+    return texts.mapInArrow(run, "id long, t1 long, t2 long, size int, bands array<long>")
 
 
 def bag_sets(texts: DataFrame) -> DataFrame:
@@ -163,42 +181,55 @@ def bag_sets(texts: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
-    """Distinct pairs (a, b) with ``similarity``, the Jaccard index of their multisets, if it is ``similar`` or more.
+    """The pairs (a, b) that share a band, with ``similarity``, the Jaccard index of their multisets, if it is ``similar`` or more.
 
-    A bag that many pairs need is copied once for each PAIRS_PER_COPY of them, so no task gets all its pairs.
+    ``pairs`` and ``sets`` are staged, so both joins are plain shuffled ones whose skewed partitions Spark splits at run
+    time: a bag that many pairs need is read by as many tasks.
     """
-    copies = stage(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PAIRS_PER_COPY).cast("int").alias("copies"), F.count(F.lit(1)).alias("n")), "copies")
-    keyed = lookup_join(pairs, copies, ["a"], "n", pairs.count()).select("a", "b", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int").alias("copy"))
-    of_b = keyed.join(sets.select(F.col("id").alias("b"), F.col("bag").alias("bag_b")), "b")
-    of_a = sets.join(copies.select(F.col("a").alias("id"), "copies"), "id")
-    of_a = of_a.select(F.col("id").alias("a"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.col("bag").alias("bag_a"))
+    bag = lambda x: sets.select(F.col("id").alias(x), F.col("bag").alias(f"bag_{x}"), F.col("bands").alias(f"bands_{x}"))
     both = F.size(F.array_intersect("bag_a", "bag_b"))
-    t = of_b.join(of_a, ["a", "copy"]).select("a", "b", (both / (F.size("bag_a") + F.size("bag_b") - both)).alias("similarity"))
+    t = pairs.join(bag("b"), "b").join(bag("a"), "a").filter(F.arrays_overlap("bands_a", "bands_b"))
+    t = t.select("a", "b", (both / (F.size("bag_a") + F.size("bag_b") - both)).alias("similarity"))
     return t.filter(F.col("similarity") >= similar)
 
 
+def can_be(size: Column, other: Column, similar: float) -> Column:
+    """Whether multisets of these sizes can be so similar."""
+    return (size >= other * (similar - 1e-9)) & (other >= size * (similar - 1e-9))
+
+
+def pair(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
 def live(members: DataFrame) -> DataFrame:
-    """members(bucket, id, label) of the buckets that hold several labels, with the number ``n`` of the bucket's members."""
-    spread = members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"))
-    spread = stage(spread.filter("lo <> hi").select("bucket", "n"), "live")
-    return stage(lookup_join(members, spread, ["bucket"], "n", members.count()), "members")
+    """members(bucket, id, size, label) of the buckets that hold several labels, with the bucket's most frequent label ``most``, its members ``n`` and ``others`` of other labels."""
+    each = members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"))
+    spread = each.groupBy("bucket").agg(F.max_by("label", F.struct("k", "label")).alias("most"), F.sum("k").alias("n"), (F.sum("k") - F.max("k")).alias("others"))
+    return stage(members.join(stage(spread.filter("others > 0"), "live"), "bucket"), "members")
 
 
-def to_centres(members: DataFrame) -> DataFrame:
+def to_centres(members: DataFrame, similar: float) -> DataFrame:
     """Pairs (a, b) of each bucket's centre and its other members of another label.
 
     The centre is the member whose buckets have most members: near a group's origin, since edits take a copy out of
     buckets. Members that share a label with others come last, so each round has a centre for those not yet joined.
     """
-    sizes = members.groupBy("id").agg(F.sum("n").alias("score"))
-    total = members.count()
-    kin = members.select("id", "label").distinct().groupBy("label").agg(F.count(F.lit(1)).alias("kin"))
-    scored = sizes.join(members.select("id", "label").distinct(), "id")
-    scored = stage(lookup_join(scored, kin, ["label"], "kin", sizes.count()), "scored")
-    rank = F.struct((F.col("kin") == 1).alias("lone"), "score", "id")
-    of = members.join(scored.select("id", "score", "kin"), "id").groupBy("bucket").agg(F.max_by(F.struct("id", "label"), rank).alias("c"), F.first("n").alias("n"))
-    met = lookup_join(members.drop("n"), of, ["bucket"], "n", total).filter("id <> c.id and label <> c.label")
-    return met.select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct()
+    of = members.groupBy("id", "label", "size").agg(F.sum("n").alias("score"))
+    kin = members.groupBy("label", "id").agg(F.lit(1).alias("one")).groupBy("label").agg((F.count("one") == 1).alias("lone"))
+    scored = stage(of.join(stage(kin, "kin"), "label"), "scored")
+    rank = F.struct("lone", "score", "id")
+    at = members.join(scored.select("id", "lone", "score"), "id")
+    centres = stage(at.groupBy("bucket").agg(F.max_by(F.struct("id", "label", "size"), rank).alias("c")), "centres")
+    met = members.join(centres, "bucket").filter("id <> c.id and label <> c.label").filter(can_be(F.col("size"), F.col("c.size"), similar))
+    return met.select(*pair("id", "c.id")).distinct()
+
+
+def across(members: DataFrame, similar: float) -> DataFrame:
+    """Pairs (a, b) of different labels in a bucket, of which one at least is not of the bucket's most frequent label."""
+    other = members.filter("label <> most").select("bucket", F.col("id").alias("x"), F.col("label").alias("x_label"), F.col("size").alias("x_size"))
+    met = other.join(members, "bucket").filter("label <> x_label and (label = most or x < id)").filter(can_be(F.col("size"), F.col("x_size"), similar))
+    return met.select(*pair("x", "id")).distinct()
 
 
 def prefixes(sets: DataFrame, counts: np.ndarray, similar: float) -> DataFrame:
@@ -235,100 +266,120 @@ def prefixes(sets: DataFrame, counts: np.ndarray, similar: float) -> DataFrame:
     return sets.mapInArrow(run, "key long, id long, label long, side byte")
 
 
+def class_counts(bags: DataFrame) -> np.ndarray:
+    """How many shingles of the bags fall into each of CLASSES hash classes; a few rows of bytes come to the driver, 1 MB in all."""
+
+    def pack(key, t):
+        part = np.zeros(CLASSES // COUNT_ROWS, np.uint32)
+        part[t.column("c").to_numpy() % len(part)] = np.minimum(t.column("n").to_numpy(), 2**32 - 1)
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([part.tobytes()], pa.binary())})
+
+    each = bags.select(F.explode("bag").alias("s")).groupBy(F.pmod("s", F.lit(CLASSES)).alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    rows = each.groupBy((F.col("c") / (CLASSES // COUNT_ROWS)).cast("int").alias("part")).applyInArrow(pack, "part int, counts binary")
+    counts = np.zeros((COUNT_ROWS, CLASSES // COUNT_ROWS), np.uint32)
+    for part, x in rows.collect():
+        counts[part] = np.frombuffer(x, np.uint32)
+    return counts.ravel()
+
+
 def rare_pairs(members: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
-    """Pairs (a, b) of different labels among the members of live buckets, all that can be of the wanted similarity.
+    """Pairs (a, b) of different labels among the members, all that can be of the wanted similarity: an exact search by rare shingles.
 
     A key's most frequent label is not paired with itself, so a key that a whole class has costs no more than its members
     for each outsider.
     """
-    of = stage(members.select("id", "label").distinct(), "of")
-    bags = stage(sets.join(of, "id"), "bags")
-    found = bags.select(F.explode("bag").alias("s")).groupBy(F.pmod("s", F.lit(CLASSES)).alias("c")).count().collect()  # CLASSES rows at most
-    counts = np.zeros(CLASSES, np.int64)
-    for c, n in found:
-        counts[c] = n
-    posts = stage(prefixes(bags.select("id", "label", "bag"), counts, similar), "posts")
-    keys = posts.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"))
-    shared = stage(lookup_join(posts, stage(keys.filter("lo <> hi").select("key", "n"), "keys"), ["key"], "n", posts.count()), "shared")
-    each = shared.groupBy("key", "label").agg(F.count(F.lit(1)).alias("of")).groupBy("key").agg(F.max_by("label", "of").alias("most"), F.sum("of").alias("n"))
-    shared = lookup_join(shared.drop("n"), each, ["key"], "n", shared.count()).drop("n")
+    of = members.select("id", "label").distinct()
+    bags = stage(sets.select("id", "bag").join(of, "id"), "bags")
+    posts = stage(prefixes(bags.select("id", "label", "bag"), class_counts(bags), similar), "posts")
+    each = posts.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("key")
+    keys = each.agg(F.max_by("label", F.struct("k", "label")).alias("most"), (F.sum("k") - F.max("k")).alias("others")).filter("others > 0")
+    shared = stage(posts.join(stage(keys.select("key", "most"), "keys"), "key"), "shared")
     other = shared.filter("label <> most").select("key", F.col("id").alias("x"), F.col("label").alias("x_label"), F.col("side").alias("x_side"))
     facing = (F.col("x_side") != F.col("side")) | (F.col("side") == 2)
-    met = other.join(shared.select("key", "id", "label", "side"), (other["key"] == shared["key"]) & (F.col("x_label") != F.col("label")) & facing)
-    return met.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
+    met = other.join(shared, "key").filter("label <> x_label and (label = most or x < id)").filter(facing)
+    return met.select(*pair("x", "id")).distinct()
 
 
 def hubs(links: DataFrame) -> DataFrame:
     """links(a, b) to (id, hub): of each node and its neighbours the one of most links. One hub means one class; the reverse need not hold."""
-    both = stage(links.select(F.col("a").alias("id"), F.col("b").alias("hub")).union(links.select("b", "a")), "both")
-    degree = both.groupBy(F.col("id").alias("hub")).agg(F.count(F.lit(1)).alias("n"))
-    near = lookup_join(both, degree, ["hub"], "n", both.count()).select("id", "hub", "n")
-    every = near.unionByName(degree.select(F.col("hub").alias("id"), "hub", "n"))
+    both = links.select(F.col("a").alias("id"), F.col("b").alias("hub")).union(links.select("b", "a"))
+    degree = stage(both.groupBy(F.col("id").alias("hub")).agg(F.count(F.lit(1)).alias("n")), "degree")
+    every = both.join(degree, "hub").select("id", "hub", "n").unionByName(degree.select(F.col("hub").alias("id"), "hub", "n"))
     return stage(every.groupBy("id").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub")), "hubs")
 
 
-def linked(buckets: DataFrame, sets: DataFrame, similar: float) -> DataFrame | None:
-    """buckets(bucket, id) to (node, root) of the classes that verified links make; None if there is no link.
+def linked(members: DataFrame, sets: DataFrame, similar: float) -> DataFrame | None:
+    """members(bucket, id, size) to (node, root) of the classes that verified links make; None if there is no link.
 
-    Members of a bucket are first compared with a centre, STARS times, which joins most of a group of copies at the
-    cost of its size. Buckets that still hold several classes give up their members to an exact search for pairs of
-    different classes by their rarest shingles. So every candidate pair is compared, or shown to be too unlike,
-    unless it is in one class already: no link between classes is lost, and no group's pairs are listed.
+    A link joins two texts that share a bucket and whose similarity is ``similar`` or more. Members of a bucket are first
+    compared with a centre, STARS times, which joins most of a group of copies at the cost of its size. In buckets
+    that still hold several classes, members outside the largest are compared with all others if they are FEW at most, so
+    that the cost is still in proportion to the bucket. Other buckets give up their members to an exact search by
+    rare shingles, whose finds must share a bucket as well. So every candidate pair is compared, or shown to be too
+    unlike, or in one class already: no link between classes is lost, and no group's pairs are listed.
     """
-    members, links, seen = buckets.withColumn("label", F.col("id")), [], None
-    for step in range(STARS + 1):
-        members = live(members)
-        if members.isEmpty():
-            break
-        pairs = to_centres(members) if step < STARS else rare_pairs(members, sets, similar)
+    members, links, seen = members.withColumn("label", F.col("id")), None, None
+
+    def compared(pairs: DataFrame) -> None:
+        nonlocal links, seen
         pairs = stage(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
-        seen = pairs if seen is None else seen.unionByName(pairs)
         new = stage(verified(pairs, sets, similar).select("a", "b"), "links")
-        members = members.drop("n")
-        if not new.isEmpty():
-            links.append(new)
-            if step < STARS:
-                members = members.join(hubs(reduce(DataFrame.unionByName, links)), "id", "left").select("bucket", "id", F.coalesce("hub", "id").alias("label"))
-    return components(reduce(DataFrame.unionByName, links)) if links else None
+        seen = pairs if seen is None else seen.unionByName(pairs)
+        links = new if links is None else links.unionByName(new)
+
+    for _ in range(STARS):
+        members = live(members.select("bucket", "id", "size", "label"))
+        compared(to_centres(members, similar))
+        joined = members.select("bucket", "id", "size", F.col("label").alias("own")).join(hubs(links), "id", "left")
+        members = joined.select("bucket", "id", "size", F.coalesce("hub", "own").alias("label"))
+    members = live(members)
+    pairs = across(members.filter(F.col("others") <= FEW), similar)
+    many = members.filter(F.col("others") > FEW)
+    if not many.isEmpty():
+        pairs = pairs.unionByName(rare_pairs(many, sets, similar)).distinct()
+    compared(pairs)
+    return None if links.isEmpty() else components(links)
 
 
 def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """Each row's doc_id, ``rep`` (the first doc_id with the same text) and ``class_id`` (the least doc_id of its class).
 
-    Classes are the components of links between texts whose multisets of SHINGLE-word shingles have a Jaccard
-    index of ``similar`` or more. Words are parted by white space; a text of fewer words is one shingle. Equal texts
+    Classes are the components of links between texts that share a band and whose multisets of SHINGLE-word shingles have a
+    Jaccard index of ``similar`` or more. Words are parted by white space; a text of fewer words is one shingle. Equal texts
     are one class; so are texts equal but for white space. Texts without words are linked to their equals only.
-    Null text counts as empty. Null doc_ids take no part: class_id and rep are null. Repeated rows fare alike.
+    Null text counts as empty. Null doc_ids take no part: class_id and rep are null. Repeated rows fare alike; the text of
+    a doc_id whose rows have different ones is that of least hash. An empty table gives no rows; other columns are not read.
 
     Texts are reduced to one of each (by 128-bit hash) before any comparison.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.select("doc_id", *(k.alias(n) for k, n in zip(key128(text), ("t1", "t2"))))
-    first = keyed.filter("doc_id is not null").groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    first = stage(first, "texts")
-    words = docs.select(F.col("doc_id").alias("id"), word_hashes(text).alias("words")).filter("id is not null")
-    bands = banded(words).select("id", F.posexplode("bands").alias("band", "hash"))
-    bands = stage(bands.join(first.select(F.col("rep").alias("id")), "id", "left_semi").select("id", F.xxhash64("band", "hash").alias("bucket")).distinct(), "bands")
-    shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    buckets = stage(lookup_join(bands, shared, ["bucket"], "n", bands.count()).select("bucket", "id"), "buckets")
-    wanted = buckets.select("id").distinct()
-    kept = docs.select(F.col("doc_id").alias("id"), text.alias("text")).join(wanted, "id", "left_semi")
-    sets = stage(bag_sets(kept.select("id", word_hashes(F.col("text")).alias("words"))).dropDuplicates(["id"]), "sets")
-    names = linked(buckets, sets, similar)
+    hashed = [k.alias(n) for k, n in zip(key128(text), ("t1", "t2"))]
+    keyed = docs.select("doc_id", *hashed)
+    own = stage(keyed.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("t1", "t2")).alias("t")).select("doc_id", "t.t1", "t.t2"), "own")
+    first = stage(own.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep")), "texts")
+    of_rep = first.select(F.col("rep").alias("id"), "t1", "t2")
+    words = docs.filter("doc_id is not null").select(F.col("doc_id").alias("id"), *hashed, word_hashes(text).alias("words"))
+    bands = stage(banded(words).join(of_rep, ["id", "t1", "t2"], "left_semi").dropDuplicates(["id"]), "bands")
+    every = bands.select("id", "size", F.explode("bands").alias("bucket"))
+    shared = stage(every.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket"), "shared")
+    members = stage(every.join(shared, "bucket"), "buckets")
+    wanted = of_rep.join(members.select("id").distinct(), "id", "left_semi")
+    kept = docs.select(F.col("doc_id").alias("id"), *hashed, word_hashes(text).alias("words")).join(wanted, ["id", "t1", "t2"], "left_semi")
+    sets = bag_sets(kept.select("id", "words")).dropDuplicates(["id"])
+    sets = stage(sets.join(bands.select("id", "bands"), "id"), "sets")
+    names = linked(members, sets, similar)
     if names is not None:
         first = first.join(names.withColumnRenamed("node", "rep"), "rep", "left")
     else:
         first = first.withColumn("root", F.lit(None).cast("long"))
-    first = stage(first.select("t1", "t2", "rep", F.coalesce("root", "rep").alias("class_id"), "n"), "classes")
-    keyed = stage(keyed, "keyed")
-    out = lookup_join(keyed.filter("doc_id is not null"), first, ["t1", "t2"], "n", keyed.count()).select("doc_id", "rep", "class_id")
-    lone = keyed.filter("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("rep"), F.lit(None).cast("long").alias("class_id"))
-    return out.unionByName(lone)
+    first = stage(first.select("t1", "t2", "rep", F.coalesce("root", "rep").alias("class_id")), "classes")
+    classed = stage(own.join(first, ["t1", "t2"]).select("doc_id", "rep", "class_id"), "classed")
+    return docs.select("doc_id").join(classed, "doc_id", "left")
 
 
 def near_deduped(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """The rows of docs of the least doc_id of each class; rows without a doc_id stay."""
-    keep = near_classes(docs.select("doc_id", "text"), similar).filter("doc_id = class_id").select("doc_id").distinct()
+    keep = stage(near_classes(docs.select("doc_id", "text"), similar).filter("doc_id = class_id").select("doc_id").distinct(), "kept")
     return docs.filter("doc_id is null").unionByName(docs.join(keep, "doc_id", "left_semi"))
 
 
