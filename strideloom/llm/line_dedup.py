@@ -2,52 +2,69 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideloom.llm.common import BLANKS, key128, lookup_join, stage, table
+from strideloom.llm.common import BLANKS, key128, new_path, shuffle_partitions, stage, table
 
 MIN_CHARS = 10
-BATCHES = 4
+#: Batches at least, and documents of a batch about.
+BATCHES, BATCH_DOCS = 4, 20_000_000
 FANOUT = 3
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Where each bucket of a table is one sorted file, a merge join may read it as it lies.
+ORDERED_SCAN = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
 
 class LineRuns:
-    """Runs (h1, h2, owner), sorted by hash and disjoint: level k holds up to ``fanout`` runs of some fanout^k batches.
+    """Runs (h1, h2, owner), sorted by hash and disjoint: level k holds fewer than ``fanout`` runs of some fanout^k batches.
 
-    A run is a table in the shared folder. When a level is full its runs merge into one of the next level,
-    so each hash is rewritten once for each level, a logarithm of the number of batches.
+    A run is a table in the shared folder, bucketed and sorted by hash: merge joins of runs and of a batch need
+    neither a shuffle nor a sort. When a level is full its runs merge into one of the next level, so each hash is
+    rewritten once for each level, a logarithm of the number of batches.
     """
 
-    def __init__(self, fanout: int = FANOUT):
-        self.fanout, self.levels = fanout, []
-
-    def runs(self) -> list[DataFrame]:
-        return [r for level in self.levels for r in level]
-
-    def split(self, keys: DataFrame) -> tuple[DataFrame | None, DataFrame]:
-        """keys (h1, h2, ...), one row each: those found in the runs, with their ``owner``, and the rest."""
-        found, rest = [], keys
-        for r in self.runs():
-            found.append(keys.join(r.hint("merge"), ["h1", "h2"]))
-            rest = rest.join(r.hint("merge"), ["h1", "h2"], "left_anti")
-        return (reduce(DataFrame.unionByName, found) if found else None), rest
-
-    def add(self, new: DataFrame) -> None:
-        """``new``: h1, h2, owner; none of them in a run yet."""
-        sort = lambda df: stage(df.select("h1", "h2", "owner").repartition("h1", "h2").sortWithinPartitions("h1", "h2"), "run")
-        self._put(0, sort(new), sort)
-
-    def _put(self, k: int, run: DataFrame, sort) -> None:
+    def __init__(self, spark: SparkSession, fanout: int = FANOUT):
+        self.spark, self.fanout, self.levels, self.names = spark, fanout, [], []
+        self.buckets = shuffle_partitions(spark)
+
+    def written(self, df: DataFrame) -> DataFrame:
+        """df in buckets by h1 and h2, each one sorted file, as df is partitioned by them."""
+        name = f"strideloom_run_{uuid.uuid4().hex}"
+        write = df.write.format("parquet").option("compression", "zstd").option("path", new_path(self.spark, "run"))
+        write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").saveAsTable(name)
+        self.names.append(name)
+        return self.spark.table(name)
+
+    def looked_up(self, keys: DataFrame) -> DataFrame:
+        """keys (h1, h2, ...), one row each, with the ``owner`` that a run has for them, written; those of no run stay as a run of their own."""
+        owners = []
+        for i, run in enumerate(r for level in self.levels for r in level):
+            owners.append(f"_owner{i}")
+            keys = keys.join(run.withColumnRenamed("owner", owners[-1]).withColumn(f"_in{i}", F.lit(True)).hint("merge"), ["h1", "h2"], "left")
+        cols = [c for c in keys.columns if not c.startswith(("_owner", "_in"))]
+        known = reduce(lambda a, b: a | b, [F.coalesce(f"_in{i}", F.lit(False)) for i in range(len(owners))], F.lit(False))
+        return self.written(keys.select(*cols, F.coalesce(*owners, F.lit(None).cast("long")).alias("owner"), known.alias("known")))
+
+    def add(self, run: DataFrame) -> None:
+        """``run``: h1, h2, owner of a written table; none of its keys in a run yet."""
+        self._put(0, run.select("h1", "h2", "owner"))
+
+    def _put(self, k: int, run: DataFrame) -> None:
         if k == len(self.levels):
             self.levels.append([])
         self.levels[k].append(run)
         if len(self.levels[k]) >= self.fanout:
             full, self.levels[k] = self.levels[k], []
-            self._put(k + 1, sort(reduce(DataFrame.unionByName, full)), sort)
+            self._put(k + 1, self.written(reduce(DataFrame.unionByName, full).repartition(self.buckets, "h1", "h2")))
+
+    def forget(self) -> None:
+        """Drop the tables' names; their files stay in the shared folder."""
+        for name in self.names:
+            self.spark.sql(f"drop table if exists {name}")
 
 
 def line_keys(docs: DataFrame) -> DataFrame:
@@ -60,48 +77,61 @@ def line_keys(docs: DataFrame) -> DataFrame:
 def dropped_lines(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """doc_id, th, drop: the sorted positions of the lines that each text loses.
 
-    Batches are ranges of doc_id in ascending order, so a key's first batch holds its smallest document.
-    Each batch's keys are made distinct, looked up in the runs, and those not found are added.
+    Batches, ``batches`` or more and of BATCH_DOCS documents or so, are ranges of doc_id in ascending order, so a key's first
+    batch holds its smallest document. Each batch's keys are made distinct and looked up in the runs; those not found
+    are the next run.
     """
-    lines = stage(line_keys(docs), "lines")
-    rows, cuts = lines.agg(F.count(F.lit(1)), F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000)).first()
+    spark = docs.sparkSession
+    rows = docs.agg(F.count(F.lit(1))).first()[0]
+    batches = max(batches, -(-rows // BATCH_DOCS))
+    cuts = docs.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 10_000)).first()[0] if batches > 1 else None
     cuts = sorted(set(cuts or []))
-    batch = reduce(lambda a, c: a + (F.col("doc_id") > c).cast("int"), cuts, F.lit(0))
-    lines = lines.withColumn("batch", F.coalesce(batch, F.lit(len(cuts))))  # a null doc_id comes last
-    index, decided = LineRuns(), []
-    for b in range(len(cuts) + 1):
-        keys = lines.filter(F.col("batch") == b).groupBy("h1", "h2").agg(
-            F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("ids"))
-        keys = stage(keys, "keys")
-        old, new = index.split(keys)
-        twice = (F.col("least") != F.col("most")) | ((F.col("ids") > 0) & (F.col("ids") < F.col("n")))
-        decided.append(new.filter(twice).select("h1", "h2", F.col("least").alias("owner"), "n", F.lit(b).alias("batch")))
-        if old is not None:
-            decided.append(old.select("h1", "h2", "owner", "n", F.lit(b).alias("batch")))
-        if b < len(cuts):
-            index.add(new.select("h1", "h2", F.col("least").alias("owner")))
-    decided = stage(reduce(DataFrame.unionByName, decided), "decided")
-    hits = lookup_join(lines, decided, ["h1", "h2", "batch"], "n", rows).filter(~F.col("doc_id").eqNullSafe(F.col("owner")))
+    batch = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("doc_id"))) if cuts else F.lit(0)
+    batch = F.when(F.col("doc_id").isNull(), len(cuts)).otherwise(batch).cast("int")  # a null doc_id comes last
+    path = new_path(spark, "lines")
+    lines = line_keys(docs).withColumn("batch", batch)
+    lines.write.option("compression", "zstd").partitionBy("batch").parquet(path)
+    lines = spark.read.schema(lines.schema).parquet(path)
+    index, decided = LineRuns(spark), []
+    before = spark.conf.get(ORDERED_SCAN)
+    spark.conf.set(ORDERED_SCAN, "true")
+    try:
+        for b in range(len(cuts) + 1):
+            keys = lines.filter(F.col("batch") == b).groupBy("h1", "h2").agg(
+                F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("ids"))
+            several = (F.col("least") != F.col("most")) | ((F.col("ids") > 0) & (F.col("ids") < F.col("n")))
+            looked = index.looked_up(keys.select("h1", "h2", "least", F.coalesce(several, F.lit(False)).alias("several")))
+            owner = F.when(F.col("known"), F.col("owner")).otherwise(F.col("least"))
+            decided.append(looked.filter("known or several").select("h1", "h2", owner.alias("owner"), F.lit(b).alias("batch")))
+            if b < len(cuts):
+                index.add(looked.filter("not known").select("h1", "h2", F.col("least").alias("owner")))
+        decided = stage(reduce(DataFrame.unionByName, decided), "decided")
+    finally:
+        spark.conf.set(ORDERED_SCAN, before)
+    index.forget()
+    hits = lines.join(decided, ["h1", "h2", "batch"]).filter(~F.col("doc_id").eqNullSafe(F.col("owner")))
     return hits.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("pos")).alias("drop"))
 
 
 def dedup_lines(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """docs with ``text`` less its repeated lines, and n_lines, n_dropped.
+    """docs with ``text`` less its repeated lines, and n_lines, n_dropped, which replace columns of these names.
 
     A line's key is the line without [\\x20\\x09-\\x0D] at its ends, A-Z lower-cased. Keys of MIN_CHARS code points
     or more that several documents hold lose all their lines but those of the smallest doc_id; null ids come
     last and count as one document. Keys are compared by 128-bit hash. Null or empty text: one empty line.
-    Repeated rows of a document fare alike. An empty table gives no rows.
+    Repeated rows of a document fare alike; columns of any other name stay as they are. An empty table gives no rows.
     """
     drop = dropped_lines(docs.select("doc_id", "text"), batches).withColumnsRenamed({"doc_id": "_d", "th": "_t"})
-    text = F.coalesce(F.col("text"), F.lit(""))
-    at = docs["doc_id"].eqNullSafe(drop["_d"]) & (F.xxhash64(docs["text"]) == drop["_t"])
-    t = docs.join(drop.hint("shuffle_hash"), at, "left").withColumn("text", text)
-    kept = "transform(array_except(sequence(0, size(_l) - 1), drop), i -> _l[i])"  # time in proportion to the lines
-    t = t.withColumn("_l", F.split("text", "\n", -1))
-    t = t.withColumn("n_lines", F.size("_l").cast("long")).withColumn("n_dropped", F.coalesce(F.size("drop"), F.lit(0)).cast("long"))
-    t = t.withColumn("text", F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(F.expr(kept), "\n")))
-    return t.select(*docs.columns, "n_lines", "n_dropped")
+    others = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
+    kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    t = docs.select(F.struct(*others).alias("row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_h"), F.coalesce("text", F.lit("")).alias("_text"))
+    t = t.join(drop.hint("merge"), t["_id"].eqNullSafe(drop["_d"]) & (t["_h"] == drop["_t"]), "left").select("row", F.split("_text", "\n", -1).alias("lines"), "_text", "drop")
+    # time in proportion to the lines
+    less = F.array_join(F.expr("transform(array_except(sequence(0, size(lines) - 1), drop), i -> lines[i])"), "\n")
+    text = F.when(F.col("drop").isNull(), F.col("_text")).otherwise(less)
+    return t.select(
+        *(text.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in kept),
+        F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

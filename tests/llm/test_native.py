@@ -136,6 +136,18 @@ def test_mixed_documents_repeat(spark):
     assert {r.doc_id: r["count"] for r in got.groupBy("doc_id").count().collect()} == {i: n for i, n in m.items() if n}
 
 
+def test_mixed_documents_one_by_one(spark):
+    """Repeated rows, null ids, columns of clashing names: copies are those of each row."""
+    rows = [(None, "w " * 10, "a")] * 3 + [(7, "w " * 10, "a")] * 4 + [(8, None, "a"), (8, "", None)] + [(i, "w " * 30, "b") for i in range(20, 30)]
+    t = docs(spark, rows).withColumn("row", F.lit("r")).withColumn("size", F.lit("s"))
+    got = mixing.mixed_documents(t)
+    assert got.columns == t.columns and {(r.row, r["size"]) for r in got.collect()} == {("r", "s")}
+    copies = lambda r: -(-r.taken // r["size"]) if r["size"] else 1
+    want = sum(copies(r) for r in mixing.mix(t).collect())
+    assert got.count() == want
+    assert got.filter("source = 'a' and text <> ''").count() <= 2 * 7
+
+
 # line dedup
 
 def brute_lines(rows):
@@ -169,13 +181,42 @@ def test_line_dedup_of_nothing(spark):
     assert line_dedup.dedup_lines(docs(spark, [])).count() == 0
 
 
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    t = docs(spark, [(1, "one repeated line\nown", "s"), (2, "one repeated line", None)])
+    names = ["drop", "_l", "row", "lines", "th", "owner", "batch"]
+    t = t.withColumns({c: F.concat(F.lit(c), F.col("doc_id")) for c in names}).withColumns({"n_lines": F.lit("old"), "n_dropped": F.lit("old")})
+    got = line_dedup.dedup_lines(t)
+    assert sorted(got.columns) == sorted(t.columns)
+    rows = {r.doc_id: r for r in got.collect()}
+    assert (rows[1].n_lines, rows[1].n_dropped, rows[2].n_dropped, rows[2].text) == (2, 0, 1, "")
+    assert all(rows[i][c] == f"{c}{i}" for i in rows for c in names)
+
+
+def test_line_dedup_of_more_documents_than_a_batch(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BATCH_DOCS", 5)
+    rows = [(i, f"a common line {i % 7}\nnumber {i} alone", "s") for i in range(40)]
+    got = line_dedup.dedup_lines(docs(spark, rows))
+    assert sorted((str(r.doc_id), r.n_lines, r.n_dropped, r.text) for r in got.collect()) == brute_lines(rows)
+
+
 def test_runs_level_up(spark):
-    index = line_dedup.LineRuns(fanout=2)
+    """Lookups join runs as they lie: no shuffle of a run, and no sort."""
+    kind = "h1 long, h2 long, least long"
+    index = line_dedup.LineRuns(spark, fanout=2)
+    spark.conf.set(line_dedup.ORDERED_SCAN, "true")
     for i in range(5):
-        index.add(spark.createDataFrame([(i, i, i)], "h1 long, h2 long, owner long"))
-    assert [len(x) for x in index.levels] == [1, 0, 1] and sorted(r.owner for run in index.runs() for r in run.collect()) == list(range(5))
-    found, rest = index.split(spark.createDataFrame([(3, 3), (9, 9)], "h1 long, h2 long"))
-    assert [r.owner for r in found.collect()] == [3] and [r.h1 for r in rest.collect()] == [9]
+        looked = index.looked_up(spark.createDataFrame([(i, i, i), (0, 0, i)], kind).dropDuplicates(["h1", "h2"]))
+        index.add(looked.filter("not known").select("h1", "h2", F.col("least").alias("owner")))
+    runs = [r for level in index.levels for r in level]
+    assert [len(x) for x in index.levels] == [1, 0, 1] and sorted(r.owner for run in runs for r in run.collect()) == list(range(5))
+    looked = index.looked_up(spark.createDataFrame([(3, 3, 8), (9, 9, 9)], kind).groupBy("h1", "h2").agg(F.min("least").alias("least")))
+    assert {(r.h1, r.owner, r.known) for r in looked.collect()} == {(3, 3, True), (9, None, False)}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = looked.join(runs[0].hint("merge"), ["h1", "h2"])._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.unset(line_dedup.ORDERED_SCAN)
+    index.forget()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
 
 
 # licences
