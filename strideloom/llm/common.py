@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A key with more than 1/HOT_SHARE of the rows is hot, so there are fewer than HOT_SHARE such keys.
 HOT_SHARE = 512
+#: Rows of a table of short values that is broadcast (under 2 MB).
+BROADCAST_ROWS = 10_000
 #: Contract white space: [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -87,6 +89,11 @@ def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], rows: str, t
     return left.join(hot, keys).unionByName(kept.join(cold.hint("merge"), keys))
 
 
+def broadcast_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, to be broadcast if it has ``rows`` rows at most; df should be staged or cheap, as its rows are counted."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def key128(*cols: Column) -> list[Column]:
     """Two 64-bit hashes: equal keys by chance need about 2^64 distinct ones."""
     return [F.xxhash64(*cols), F.xxhash64(F.lit(0x5BD1E995), *cols)]

@@ -12,19 +12,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strideloom.llm.common import table
+from strideloom.llm.common import broadcast_small, stage, table
 from strideloom.llm.hashing import mixed
 
 #: Labelled documents of each language that the model is fitted on, those of least hash of doc_id.
 SAMPLE_PER_LANG = 250
-#: Languages learned at most, and how many times the sample is sorted to find it.
-LANGS, SPARE = 200, 8
+#: How many times the sample is sorted to find it.
+SPARE = 8
 #: Training sequences, words in each, and the longest span of one document in them.
 SEQUENCES, STEPS, SPAN = 4000, 24, 16
 SPACE = 1 << 17
 #: n-grams of up to GRAM characters anywhere in a word with its ends marked, of up to AFFIX at either end.
 GRAM, AFFIX = 3, 5
 EPOCHS, RATE, DECAY = 60, 0.08, 1e-4
+#: Entries of the arrays of pairs of labels in training.
+CHUNK = 2_000_000
 #: Words seen so often in the sample are in the lexicon.
 LEXICON_MIN = 3
 TABLE_WORDS, GROUP_WORDS, BLOCK = 200_000, 300_000, 16
@@ -126,6 +128,48 @@ def posteriors(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> np
     return norm(forth[row, col], 1)
 
 
+def loss_and_gradient(
+    weights: np.ndarray, moves: np.ndarray, words: np.ndarray, labels: np.ndarray, flat: np.ndarray, owner: np.ndarray, n: int
+) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean negative log likelihood a word of labelled sequences (both sequences x steps), and its gradient in weights and moves.
+
+    ``words`` are numbers below n; feature flat[i] is one of word owner[i]. Sequences are worked on in chunks, so that arrays of
+    pairs of labels have at most CHUNK entries.
+    """
+    k, steps = len(moves), words.shape[1]
+    scores = summed(weights, flat, owner, n)
+    a, top = np.exp(moves - moves.max()), moves.max()
+    loss, by_word, of_moves = 0.0, np.zeros((n, k)), np.zeros((k, k))
+    size = max(1, CHUNK // (k * k))
+    for i in range(0, len(words), size):
+        w, y = words[i : i + size], labels[i : i + size]
+        rows = np.arange(len(w))[:, None]
+        raw = scores[w]
+        high = raw.max(2, keepdims=True)
+        emit = np.exp(raw - high)
+        f, b, scale = [], [np.ones((len(w), k))], []
+        for t in range(steps):
+            x = emit[:, 0] if t == 0 else (f[-1] @ a) * emit[:, t]
+            scale.append(x.sum(1))
+            f.append(x / scale[-1][:, None])
+        for t in range(1, steps):
+            x = (b[-1] * emit[:, steps - t]) @ a.T
+            b.append(x / x.sum(1, keepdims=True))
+        b.reverse()
+        loss += np.log(scale).sum() + high.sum() + top * len(w) * (steps - 1)
+        loss -= raw[rows, np.arange(steps), y].sum() + moves[y[:, :-1], y[:, 1:]].sum()
+        p = np.stack(f, 1) * np.stack(b, 1)
+        p /= p.sum(2, keepdims=True)
+        for t in range(1, steps):
+            x = f[t - 1][:, :, None] * a * (emit[:, t] * b[t])[:, None, :]
+            of_moves += (x / x.sum((1, 2), keepdims=True)).sum(0)
+        np.add.at(of_moves, (y[:, :-1], y[:, 1:]), -1)
+        p[rows, np.arange(steps), y] -= 1
+        by_word += np.stack([np.bincount(w.ravel(), p[:, :, j].ravel(), n) for j in range(k)], 1)
+    of_weights = np.stack([np.bincount(flat, by_word[owner, j], len(weights)) for j in range(k)], 1)
+    return loss / words.size, of_weights / words.size, of_moves / words.size
+
+
 def fit(texts: list[str], langs: list[str], seed: int = 7) -> Crf:
     """Maximum likelihood on code-switched sequences: spans of sampled documents, joined at random, each word with its document's language."""
     names = sorted(set(langs))
@@ -133,7 +177,7 @@ def fit(texts: list[str], langs: list[str], seed: int = 7) -> Crf:
     parted = [words_of(t) for t in texts]
     kept = [(w, names.index(g)) for w, g in zip(parted, langs) if w]
     if not kept:
-        return Crf([], np.zeros((SPACE, 0)), np.zeros((0, 0)), frozenset())
+        return Crf([], np.zeros((SPACE, 0), np.float32), np.zeros((0, 0)), frozenset())
     counts: dict[str, int] = {}
     for w, _ in kept:
         for x in w:
@@ -158,37 +202,20 @@ def fit(texts: list[str], langs: list[str], seed: int = 7) -> Crf:
         for t, (w, g) in enumerate(line[:STEPS]):
             words[s, t], labels[s, t] = index.setdefault(w, len(index)), g
     flat, owner = features(list(index), lexicon)
+    seen, flat = np.unique(flat, return_inverse=True)  # the features that the sample has; all others keep weight 0
 
-    weights, moves = np.zeros((SPACE, k)), np.zeros((k, k))
+    weights, moves = np.zeros((len(seen), k)), np.zeros((k, k))
     state = [np.zeros_like(x) for x in (weights, weights, moves, moves)]
-    true_moves = np.zeros((k, k))
-    np.add.at(true_moves, (labels[:, :-1], labels[:, 1:]), 1)
-    total = words.size
     for epoch in range(1, EPOCHS + 1):
-        emit = summed(weights, flat, owner, len(index))[words]
-        emit = np.exp(emit - emit.max(2, keepdims=True))
-        a = np.exp(moves - moves.max())
-        f, b = [emit[:, 0] / emit[:, 0].sum(1, keepdims=True)], [np.ones((SEQUENCES, k))]
-        for t in range(1, STEPS):
-            x = (f[-1] @ a) * emit[:, t]
-            f.append(x / x.sum(1, keepdims=True))
-            x = (b[-1] * emit[:, STEPS - t]) @ a.T
-            b.append(x / x.sum(1, keepdims=True))
-        b.reverse()
-        p = np.stack(f, 1) * np.stack(b, 1)
-        p /= p.sum(2, keepdims=True)
-        pairs = np.zeros((k, k))
-        for t in range(1, STEPS):
-            x = f[t - 1][:, :, None] * a * (emit[:, t] * b[t])[:, None, :]
-            pairs += (x / x.sum((1, 2), keepdims=True)).sum(0)
-        p[np.arange(SEQUENCES)[:, None], np.arange(STEPS), labels] -= 1
-        by_word = np.stack([np.bincount(words.ravel(), p[:, :, i].ravel(), len(index)) for i in range(k)], 1)
-        grad = np.stack([np.bincount(flat, by_word[owner, i], SPACE) for i in range(k)], 1) / total + DECAY * weights
-        for x, g, m, v in ((weights, grad, *state[:2]), (moves, (pairs - true_moves) / total + DECAY * moves, *state[2:])):
+        _, *grads = loss_and_gradient(weights, moves, words, labels, flat, owner, len(index))
+        for x, g, m, v in ((weights, grads[0], *state[:2]), (moves, grads[1], *state[2:])):
+            g += DECAY * x
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             x -= RATE * (m / (1 - 0.9**epoch)) / (np.sqrt(v / (1 - 0.99**epoch)) + 1e-8)
-    return Crf(names, weights, moves, lexicon)
+    whole = np.zeros((SPACE, k), np.float32)
+    whole[seen] = weights
+    return Crf(names, whole, moves, lexicon)
 
 
 def held_out() -> Column:
@@ -197,34 +224,49 @@ def held_out() -> Column:
 
 
 def fitted(docs: DataFrame) -> Crf:
-    """The model of the bounded sample: SAMPLE_PER_LANG labelled documents of each of the LANGS most frequent languages, of those not held out.
+    """The model of the bounded sample: SAMPLE_PER_LANG labelled documents of each language, of those not held out.
 
     Of a language with many documents only those whose hash is below a threshold, about SPARE times the sample, are
-    sorted, so that what one task reads does not grow with the table.
+    sorted, so that what one task reads does not grow with the table. The sample meets in one task, which fits the model; only the
+    model (half a MB a language) comes to the driver.
     """
     part = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) * F.lit(2.0**-53)
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "text", "lang")
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_size")).orderBy(F.desc("_size"), "lang").limit(LANGS)
-    near = rows.join(F.broadcast(sizes), "lang").filter(part * F.col("_size") <= SPARE * SAMPLE_PER_LANG)
+    sizes = broadcast_small(stage(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_size")), "langs"))
+    near = rows.join(sizes, "lang").filter(part * F.col("_size") <= SPARE * SAMPLE_PER_LANG)
     first = Window.partitionBy("lang").orderBy(part, "doc_id", F.xxhash64("text"))
-    sample = near.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= SAMPLE_PER_LANG)
-    got = sorted(sample.select("lang", "doc_id", "text").collect())
-    return fit([r["text"] for r in got], [r["lang"] for r in got])
+    sample = near.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= SAMPLE_PER_LANG).select("lang", "doc_id", "text")
+
+    def run(batches):
+        got = sorted(r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("lang", "doc_id", "text"))))
+        crf = fit([r[2] for r in got], [r[0] for r in got])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([crf.langs], pa.list_(pa.string())), *(pa.array([x.tobytes()], pa.binary()) for x in (crf.weights, crf.moves)), pa.array([sorted(crf.lexicon)], pa.list_(pa.string()))],
+            names=["langs", "weights", "moves", "lexicon"])
+
+    one = sample.repartition(1).mapInArrow(run, "langs array<string>, weights binary, moves binary, lexicon array<string>").toArrow()
+    if not one.num_rows:
+        return fit([], [])
+    langs, lexicon = one.column("langs")[0].as_py(), one.column("lexicon")[0].as_py()
+    k = len(langs)
+    weights = np.frombuffer(one.column("weights")[0].as_buffer(), np.float32).reshape(SPACE, k)
+    return Crf(langs, weights, np.frombuffer(one.column("moves")[0].as_buffer(), np.float64).reshape(k, k), frozenset(lexicon))
 
 
 def label(docs: DataFrame, crf: Crf, spans: bool = False) -> DataFrame:
-    """docs with ``lang_pred`` and ``score``, and with ``spans`` their runs of words of one language.
+    """docs with ``lang_pred``, ``score`` and ``certainty``, and with ``spans`` their runs of words of one language.
 
     lang_pred is the language of greatest mean probability over the text's words, score that mean; ties go
-    to the first name. A null text or one without letters is ``und``, score 0, as are all texts when nothing was learned. spans
+    to the first name. certainty is the mean over the words of each one's greatest probability: high where several languages are
+    mixed but each word's is plain. A null text or one without letters is ``und``, score and certainty 0, as are all texts when nothing was learned. spans
     is an array of (first word, number of words, lang). Columns of these names are replaced; repeated rows
     stay; an empty table gives no rows. Texts are scored whole, in groups of bounded size.
     """
-    docs = docs.drop("lang_pred", "score", "spans")
-    shipped = docs.sparkSession.sparkContext.broadcast((crf.langs, crf.weights, crf.moves, crf.lexicon))  # SPACE x languages weights
+    docs = docs.drop("lang_pred", "score", "certainty", "spans")
+    shipped = docs.sparkSession.sparkContext.broadcast((crf.langs, crf.weights, crf.moves, crf.lexicon))  # half a MB a language, and the lexicon of the bounded sample
     run_type = T.StructType().add("first", T.IntegerType()).add("words", T.IntegerType()).add("lang", T.StringType())
-    more = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(run_type))]
-    schema = T.StructType([*docs.schema.fields, *more[: 3 if spans else 2]])
+    more = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("certainty", T.DoubleType()), T.StructField("spans", T.ArrayType(run_type))]
+    schema = T.StructType([*docs.schema.fields, *more[: 4 if spans else 3]])
     kind = pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32()), ("lang", pa.string())]))
 
     def run(batches):
@@ -250,16 +292,17 @@ def label(docs: DataFrame, crf: Crf, spans: bool = False) -> DataFrame:
             starts = np.concatenate([[0], np.cumsum(lengths)])[:-1]
             mean = np.add.reduceat(p, starts) / lengths[:, None]
             best, top = mean.argmax(1), np.clip(mean.max(1), 0, 1)
+            sure = np.clip(np.add.reduceat(p.max(1), starts) / lengths, 0, 1)
             runs = []
             for s, n in zip(starts, lengths) if spans else ():
                 y = p[s : s + n].argmax(1)
                 cut = np.concatenate([[0], np.flatnonzero(np.diff(y)) + 1, [n]])
                 runs.append([{"first": int(i), "words": int(j - i), "lang": model.langs[y[i]]} for i, j in zip(cut, cut[1:])])
-            return best, top, runs
+            return best, top, sure, runs
 
         for batch in batches:
             n = batch.num_rows
-            pred, score, runs = [UNKNOWN] * n, np.zeros(n), [[] for _ in range(n)]
+            pred, score, certain, runs = [UNKNOWN] * n, np.zeros(n), np.zeros(n), [[] for _ in range(n)]
             pending, lines, size = [], [], 0
             texts = batch.column("text")
             for i in range(n + 1):
@@ -271,12 +314,12 @@ def label(docs: DataFrame, crf: Crf, spans: bool = False) -> DataFrame:
                     lines.append(line)
                     size += len(line)
                 if pending and (size >= GROUP_WORDS or i == n):
-                    best, top, cut = group(lines)
-                    for j, g, s, r in zip(pending, best, top, cut or [[]] * len(lines)):
-                        pred[j], score[j], runs[j] = model.langs[g], s, r
+                    best, top, sure, cut = group(lines)
+                    for j, g, s, c, r in zip(pending, best, top, sure, cut or [[]] * len(lines)):
+                        pred[j], score[j], certain[j], runs[j] = model.langs[g], s, c, r
                     pending, lines, size = [], [], 0
-            more = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), *([pa.array(runs, kind)] if spans else [])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "lang_pred", "score", *(["spans"] if spans else [])])
+            more = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(certain, pa.float64()), *([pa.array(runs, kind)] if spans else [])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "lang_pred", "score", "certainty", *(["spans"] if spans else [])])
 
     return docs.mapInArrow(run, schema)
 

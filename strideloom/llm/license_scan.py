@@ -7,11 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideloom.llm.common import table
+from strideloom.llm.common import broadcast_small, table
 from strideloom.llm.license_texts import BASIC_LICENSES, EQUIVALENTS, LICENSES
 
-#: Registries of so many rows at most are broadcast (a digest and a name each, under 2 MB).
-BROADCAST_ROWS = 10_000
 #: A line that names a holder or a year, or reserves all rights; not prose that speaks of a copyright notice.
 #: For ``canonical`` and the SQL; ``whole`` has NOTICE.
 COPYRIGHT_LINE = r"(^|\n)[ \t*#/]*(?:copyright[ \t]*(?:\(c\)|©|[0-9]|:|<|\[|\{)|\(c\)[ \t]|©|all rights reserved)[^\n]*"
@@ -68,8 +66,7 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     empty digest. Repeated rows stay; an empty table gives no rows.
     """
     known = known.groupBy("digest").agg(F.min("license_id").alias("license_id")).withColumnRenamed("digest", "_whole")
-    if known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        known = F.broadcast(known)
+    known = broadcast_small(known)
     t = docs.drop("canonical_sha256", "license_id").withColumn("canonical_sha256", F.sha2(canonical(F.col("text")).cast("binary"), 256))
     return t.withColumn("_whole", digest(F.col("text"))).join(known, "_whole", "left").drop("_whole")
 
