@@ -12,34 +12,50 @@ from strideloom.llm.line_dedup import dedup_lines
 from strideloom.llm.mixing import mixed_documents
 from strideloom.llm.piece_codec import coded, default_model
 
-#: Least mean probability of a document's language.
-LEAST_SCORE = 0.5
+#: Least mean probability of the likeliest language of each of a document's words.
+LEAST_CERTAINTY = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the model knows: those without letters or with no language of LEAST_SCORE go."""
-    t = label(docs, fitted(docs)).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return t.select(*docs.columns)
+    """Documents in languages that the model knows: those without letters go, and those whose words' languages are uncertain (LEAST_CERTAINTY).
+
+    A document in several languages stays if its words' languages are plain. Null text counts as without letters; repeated
+    rows fare alike; an empty table gives no rows.
+    """
+    others = F.struct(*(c for c in docs.columns if c != "text")).alias("row")
+    t = label(docs.select("text", others), fitted(docs)).filter((F.col("lang_pred") != UNKNOWN) & (F.col("certainty") >= LEAST_CERTAINTY))
+    return t.select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that a smaller doc_id has."""
-    t = dedup_lines(docs)
-    return t.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    """Documents without the lines that a smaller doc_id has, with n_chars of the text that is left.
+
+    Null texts become empty; nulls, ties, repeated rows and other columns as in ``dedup_lines``; an empty table gives no rows.
+    """
+    return dedup_lines(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class, that of least doc_id."""
+    """One document of each near-duplicate class, that of least doc_id; rows that share that doc_id, and rows without one, all stay.
+
+    Texts without words, null ones among them, are a class of their equals. An empty table gives no rows; other columns stay.
+    """
     return near_deduped(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, as often as it does."""
+    """The documents that the mix takes, as often as it does.
+
+    Null and blank texts stay, once; a null source is a source of its own; repeated rows count one by one; an empty table gives no rows.
+    """
     return mixed_documents(docs)
 
 
 def piece_codec(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and the digest of their decoded text."""
+    """Token ids of each document, and the digest of their decoded text: doc_id, source, n_tokens, ids, decoded_sha256.
+
+    Null text has no ids; repeated rows stay; an empty table gives no rows.
+    """
     t = coded(docs.select("doc_id", "source", "text"), default_model())
     return t.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
