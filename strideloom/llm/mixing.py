@@ -33,8 +33,8 @@ def targets(sizes: DataFrame, share: float = SHARE, epochs: int = EPOCHS) -> Dat
     return out.withColumn("target", F.when(F.col("_full"), cap.cast("double")).otherwise(part)).drop("_level", "_full")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = "mix", carry: bool = False) -> DataFrame:
-    """doc_id, source, size, source_size, target and ``taken``: the words that the mix takes of each document; ``row``, all its columns, if ``carry``.
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = "mix", hashed: bool = False) -> DataFrame:
+    """doc_id, source, size, source_size, target and ``taken``: the words that the mix takes of each document; ``text_hash`` as well if ``hashed``.
 
     Sources sorted by code point, null last, take the weights in turn. Each source's documents stand in
     the order of a random key, the digest of seed and doc_id. Whole epochs are taken first; the rest of
@@ -46,8 +46,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     """
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORDS)), F.lit(0)).cast("long")
     key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
-    row = [F.struct(*docs.columns).alias("row")] if carry else []
-    rows = docs.select("doc_id", "source", size.alias("size"), key.alias("_key"), *row)
+    rows = docs.select("doc_id", "source", size.alias("size"), key.alias("_key"), *([F.xxhash64("text").alias("text_hash")] if hashed else []))
     order = ["source", "_key", "doc_id", "size"]
     t = with_range_parts(rows, [F.col(c).asc_nulls_last() for c in order], "mix")
 
@@ -67,20 +66,27 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     whole = F.when(F.col("source_size") > 0, F.expr("floor(target) div source_size")).otherwise(F.lit(0))
     left = budget - whole * F.col("source_size") - F.col("_ahead") - F.col("_in")
     taken = whole * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), left))
-    return t.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *(["row"] if carry else []))
+    return t.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *(["text_hash"] if hashed else []))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs that the mix takes, one copy for each epoch it takes of them.
 
     A document that the cut of its source's budget falls into is not split: it comes whole, so a source exceeds its target
-    by less than one document. A document without words takes no part of any budget; it stays, once. Rows are taken one by one, whatever
-    they share: rows travel whole with their keys in the range sort, so no join brings them back. Nulls as in ``mix``; columns of
-    any name stay; an empty table gives no rows.
+    by less than one document. A document without words takes no part of any budget; it stays, once. Rows alike in doc_id, source and
+    text share their copies evenly, the first ones taking one more. Texts move once, by the hash of doc_id, source and text. Nulls
+    as in ``mix``; columns of any name stay; an empty table gives no rows.
     """
-    m = mix(docs, carry=True)
-    copies = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(F.lit(1)).cast("int")
-    return m.select("row", copies.alias("n")).filter("n > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")
+    m = mix(docs, hashed=True)
+    taken = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(F.lit(1)).cast("int")
+    alike = m.groupBy("doc_id", "source", "text_hash").agg(F.sum(taken).cast("int").alias("copies"), F.count(F.lit(1)).cast("int").alias("rows"))
+    t = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("d"), F.col("source").alias("s"), F.xxhash64("text").alias("h"))
+    on = F.col("d").eqNullSafe(F.col("doc_id")) & F.col("s").eqNullSafe(F.col("source")) & (F.col("h") == F.col("text_hash"))
+    t = t.join(alike.filter("copies > 0").hint("merge"), on)
+    place = F.row_number().over(Window.partitionBy("doc_id", "source", "text_hash").orderBy(F.lit(0)))
+    t = t.withColumn("place", F.when(F.col("rows") > 1, place).otherwise(1))
+    n = F.expr("copies div rows + if(place <= copies % rows, 1, 0)").cast("int")
+    return t.select("row", n.alias("n")).filter("n > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")
 
 
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
