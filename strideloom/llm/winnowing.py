@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ LONG = rf"[^\x20\x09-\x0D]{{{LONGEST + 1}}}"
 #: Each character of a long word: its first one, and then those that follow a match.
 OF_LONG = rf"(?:\G(?!^)|(?={LONG}))([^\x20\x09-\x0D])"
 LOW = 0xFFFFFFFF
+#: Modulus and base of the rolling hash of a gram: values of 31 bits, products within a long.
+PRIME, BASE = (1 << 31) - 1, 1_103_515_245
 #: Buckets of consecutive ids for each shuffle partition.
 BUCKETS = 4
 #: Stands for a null doc_id: after all others in descending order.
@@ -28,28 +32,59 @@ def spaced(text: Column) -> Column:
     return F.when(text.rlike(f"{UNSPACED}|{LONG}"), F.btrim(cut, F.lit(BLANKS))).otherwise(text)
 
 
+def rolled(k: int) -> list[tuple[str, str]]:
+    """Steps (name, SQL) to ``_g<k>``, the rolling hash of the k words from each position on, of their hashes ``_g1``.
+
+    The value is sum of w[i + j] BASE^(k - 1 - j) modulo PRIME, the one that the recurrence
+    g[i + 1] = (g[i] - w[i] BASE^(k - 1)) BASE + w[i + k] rolls along. A column expression cannot carry a value from one
+    element to the next without copying the array, so each gram's value is made of those of the two shorter runs it
+    consists of, which its neighbours use too. Words past the end count as 0.
+    """
+    steps, made = [], {1}
+
+    def make(n: int) -> None:
+        if n in made:
+            return
+        head = 1 << (n.bit_length() - 1)
+        head = head // 2 if head == n else head
+        make(head)
+        make(n - head)
+        power = pow(BASE, n - head, PRIME)
+        steps.append((f"_g{n}", f"transform(_g{head}, (v, i) -> (v * {power}L + coalesce(get(_g{n - head}, i + {head}), 0L)) % {PRIME}L)"))
+        made.add(n)
+
+    make(k)
+    return steps
+
+
 def with_fingerprint(df: DataFrame, text: str, out: str, k: int = K, window: int = WINDOW) -> DataFrame:
     """df with ``out``: array<struct<hash, pos>> of the text's winnowed k-grams, in order of position.
 
     A gram is k consecutive words (lower case, parted by white space; a character of a script without blanks or of a
-    word of over LONGEST characters is a word), its hash that of its words' hashes, its position the number of its first word. Of each ``window`` consecutive grams the one with the least
+    word of over LONGEST characters is a word), its position the number of its first word. Of each ``window`` consecutive grams the one with the least
     hash is kept, the rightmost of equals. So two texts that share k + window - 1 words in a row share a
     fingerprint, and its positions say where. A text of fewer than k words is one gram, one of fewer
     grams than the window one window; a null or blank text has no fingerprint.
 
-    The window is a power of 2, as minima over 1, 2, 4, ... grams come from each other. Each long holds 31 bits of
-    the hash above the inverse of the position, so that ``least`` picks the rightmost of equals. Time and
+    Grams compete by their rolling hash; the fingerprint has a 64-bit hash of each chosen one.
+
+    The window is a power of 2, as minima over 1, 2, 4, ... grams come from each other. Each long holds the 31 bits of
+    the rolling hash above the inverse of the position, so that ``least`` picks the rightmost of equals. Time and
     memory are in proportion to the text.
     """
     if window & (window - 1):
         raise ValueError("window must be a power of 2")
     # get() takes an element in constant time and gives null past the end, which the hash skips; slice() would copy the array
     gram = lambda i: "xxhash64(" + ", ".join(f"get(_h, {i} + {j})" for j in range(k)) + ")"
-    packed = f"shiftleft(shiftrightunsigned({gram('i')}, 33), 32) | ({LOW}L - i)"
     blank = F.btrim(F.col(text), F.lit(BLANKS))
     df = df.withColumn("_w", F.when(blank != "", F.split(spaced(F.lower(blank)), SPLIT, -1)).otherwise(F.array().cast("array<string>")))
     df = df.withColumn("_h", F.expr("transform(_w, x -> xxhash64(x))")).drop("_w")
-    df = df.withColumn("_m", F.expr(f"if(size(_h) = 0, array(), transform(sequence(0, greatest(size(_h) - {k}, 0)), i -> {packed}))"))
+    df = df.withColumn("_g1", F.expr(f"transform(_h, x -> pmod(x, {PRIME}L))"))
+    steps = rolled(k)
+    for name, sql in steps:
+        df = df.withColumn(name, F.expr(sql))
+    df = df.withColumn("_m", F.expr(f"transform(slice(_g{k}, 1, greatest(size(_h) - {k} + 1, 1)), (v, i) -> shiftleft(v, 32) | ({LOW}L - i))"))
+    df = df.drop("_g1", *(name for name, _ in steps))
     df = df.withColumn("_all", F.expr(f"if(size(_m) between 1 and {window - 1}, array_min(_m), null)"))
     step = 1
     while step < window:
@@ -89,9 +124,14 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     tops = [r["k"] for r in last.select("k").collect()]  # one for each bucket
     if not tops:
         tops = [0]
-    cuts = f"array({', '.join(f'{t}L' if t != NO_ID else '(-9223372036854775807L - 1L)' for t in tops)})"
-    own = F.expr(f"size(filter({cuts}, c -> c < k))")
-    above = F.expr(f"if(array_contains({cuts}, k), array(array_position({cuts}, k) % {len(tops)}), array())")
+    # two levels of about sqrt(buckets) ids each, so that a row looks at few of them
+    width = max(1, math.isqrt(len(tops)))
+    literal = lambda ids: "array(" + ", ".join(f"{i}L" if i != NO_ID else "(-9223372036854775807L - 1L)" for i in ids) + ")"
+    groups = [tops[i : i + width] for i in range(0, len(tops), width)]
+    base = base.withColumn("_g", F.expr(f"size(filter({literal([g[-1] for g in groups])}, c -> c < k))"))
+    base = base.withColumn("_cuts", F.expr(f"get(array({', '.join(map(literal, groups))}), _g)")).withColumn("_in", F.expr("size(filter(_cuts, c -> c < k))"))
+    own = F.expr(f"_g * {width} + _in")
+    above = F.expr(f"if(get(_cuts, _in) = k, array((_g * {width} + _in + 1) % {len(tops)}), array())")
     places = F.concat(F.array(F.struct(own.cast("long").alias("bucket"), F.lit(1).alias("mine"))), F.transform(above, lambda b: F.struct(b.cast("long").alias("bucket"), F.lit(0).alias("mine"))))
     t = base.withColumn("_p", F.explode(places)).select("doc_id", "k", "text", "_p.bucket", "_p.mine")
     t = with_fingerprint(t.repartition(shuffle_partitions(docs.sparkSession), "bucket").withColumn("th", F.xxhash64("text")), "text", "fp")
