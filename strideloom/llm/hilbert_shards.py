@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strideloom.llm.common import table, with_rank
+from strideloom.llm.common import broadcast_small, stage, table, with_range_parts, with_rank
 
 BITS = 4
 #: Relative error of the quantiles that bound the cells is 1/ACCURACY.
@@ -47,29 +47,46 @@ def digits(coords: list[str], bits: int) -> str:
     return "array(" + ", ".join(" | ".join(f"shiftleft(shiftright({c}, {b}) & 1, {j})" for j, c in enumerate(coords)) for b in reversed(range(bits))) + ")"
 
 
-def _code(c: Column, kind: str) -> Column:
-    """An order-keeping number: dates and numbers as they are, strings by their first seven bytes."""
-    if kind == "string":
-        return F.conv(F.rpad(F.hex(F.substring(c.cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("double")
-    return F.when(~F.isnan(c.cast("double")), c.cast("double"))
+def string_cells(df: DataFrame, col: str, bits: int) -> DataFrame:
+    """(value, cell) of each distinct string of df's ``col``: the share of rows with lesser values, in 2^bits steps.
+
+    Distinct values with their counts are range-sorted, and prefix sums are sums of ranges first, so there may be as many
+    as rows, and no prefix of a value stands for it.
+    """
+    each = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    t = with_range_parts(each, [F.col("value")], "values")
+    ahead = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    parts = t.groupBy("_pid").agg(F.sum("n").alias("_sum"))
+    parts = parts.select("_pid", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_before"), F.sum("_sum").over(Window.partitionBy()).alias("_total"))
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("_pid").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    t = t.withColumn("_inside", inside).join(F.broadcast(parts), "_pid")  # one row for each range
+    return stage(t.select("value", F.expr(f"cast((_before + _inside) * {1 << bits} div _total as int)").alias("cell")), "cells")
 
 
 def quantised(df: DataFrame, dims: dict[str, Column], bits: int) -> DataFrame:
-    """df with the cell of each dimension in ``_c0``, ``_c1``, ...: 0 to 2^bits - 1 by approximate quantiles; null is cell 0.
+    """df with the cell of each dimension in ``_c0``, ``_c1``, ...: 0 to 2^bits - 1; null is cell 0.
 
-    The quantiles are mergeable sketches of fixed size, taken over all rows in one pass.
+    Numbers and dates go by approximate quantiles, mergeable sketches of fixed size, taken over all rows in one
+    pass; strings by the rank of their distinct values.
     """
     kinds = dict(df.select(*(c.alias(f"k{i}") for i, c in enumerate(dims.values()))).dtypes)
-    df = df.select("*", *(_code(c, kinds[f"k{i}"]).alias(f"_v{i}") for i, c in enumerate(dims.values())))
+    text = [i for i in range(len(dims)) if kinds[f"k{i}"] == "string"]
+    code = lambda i, c: c if i in text else F.when(~F.isnan(c.cast("double")), c.cast("double"))
+    df = df.select("*", *(code(i, c).alias(f"_v{i}") for i, c in enumerate(dims.values())))
+    numbers = [i for i in range(len(dims)) if i not in text]
     cuts = [k / (1 << bits) for k in range(1, 1 << bits)]
-    bounds = df.agg(*(F.percentile_approx(f"_v{i}", cuts, ACCURACY).alias(f"b{i}") for i in range(len(dims)))).first()
+    bounds = df.agg(F.count(F.lit(1)), *(F.percentile_approx(f"_v{i}", cuts, ACCURACY).alias(f"b{i}") for i in numbers)).first()
 
     def cell(i: int) -> Column:
         # equal cuts all count, so that a column of few values spreads over the whole range of cells
-        over = [(F.col(f"_v{i}") > F.lit(float(b))).cast("int") for b in bounds[i] or []]
+        over = [(F.col(f"_v{i}") > F.lit(float(b))).cast("int") for b in bounds[f"b{i}"] or []]
         return F.coalesce(reduce(lambda a, b: a + b, over, F.lit(0)), F.lit(0)).alias(f"_c{i}")
 
-    return df.select("*", *(cell(i) for i in range(len(dims)))).drop(*(f"_v{i}" for i in range(len(dims))))
+    out = df
+    for i in text:
+        of = broadcast_small(string_cells(df, f"_v{i}", bits)).withColumnsRenamed({"value": f"_v{i}", "cell": f"_c{i}"})
+        out = out.join(of, f"_v{i}", "left").withColumn(f"_c{i}", F.coalesce(f"_c{i}", F.lit(0)))
+    return out.select("*", *(cell(i) for i in numbers)).drop(*(f"_v{i}" for i in range(len(dims))))
 
 
 def hilbert_shards(df: DataFrame, dims: dict[str, Column], shards: int, ties: list[str], bits: int = BITS) -> DataFrame:
@@ -101,6 +118,9 @@ def write_shards(sharded: DataFrame, path: str) -> None:
 def document_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
     """Documents' ids in shards by source, language, length and id; equal texts of a cell stay together.
 
+    Shards differ by one row at most, and the curve has the id as a dimension, so a group of equal texts is spread over
+    shards as its ids are; ``text_crc32`` shows it.
+
     Null text: size 1, crc32 0. Null ids, sources or languages go to the lowest cell.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
