@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -87,23 +89,32 @@ def build_index(vectors: DataFrame, pivots: np.ndarray, norm: float) -> tuple[Da
     return stage(packed_blocks, "index"), blocks
 
 
+def one_each(vectors: DataFrame) -> DataFrame:
+    """One row (id, v) for each id, that of least hash; an id's repeated rows are the same vector in the ordinary case."""
+    return vectors.groupBy("id").agg(F.min_by("v", F.struct(*key128(F.col("v")))).alias("v"))
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int, rerank: float = RERANK) -> DataFrame:
     """vectors(id, v), queries(id, v) to (query_id, rank, vec_id, score): the k of largest inner product found for each query, its own id left out.
 
-    Ties go to the smaller id; all vectors if there are fewer than k. Vectors null, zero, with null or
-    non-finite components, or not of the most frequent length take no part, nor do null ids. Repeated rows of an id count as copies.
-    Scores are inner products of the vectors in double precision.
+    Ties go to the smaller id; all vectors if there are fewer than k. Vectors null, zero, or with null or
+    non-finite components take no part, nor do null ids. Queries meet vectors of their own length; there is an index for each length of a query, so
+    lengths should be few. Rows of one id count once, the vector of least hash. Scores are inner products of the vectors in double precision.
 
     The index is fitted on PIVOTS vectors; all vectors are posted. Query blocks meet index blocks by block number: a
     query is searched in every block and its finds are merged. Equal queries are searched once.
     """
     vectors, queries = (x.filter(usable(F.col("v")) & F.col("id").isNotNull()).select("id", F.col("v").cast("array<double>").alias("v")) for x in (vectors, queries))
-    sizes = vectors.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    empty = "query_id long, rank int, vec_id long, score double"
-    if sizes is None:
-        return vectors.sparkSession.createDataFrame([], empty)
-    vectors, queries = (x.filter(F.size("v") == sizes["d"]) for x in (vectors, queries))
-    norm = float(vectors.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()[0])
+    vectors, queries = stage(one_each(vectors), "all"), stage(one_each(queries), "asked")
+    sizes = sorted(r["d"] for r in queries.select(F.size("v").alias("d")).distinct().collect())
+    if not sizes:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    found = [_search(*(x.filter(F.size("v") == d) for x in (vectors, queries)), k, rerank) for d in sizes]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _search(vectors: DataFrame, queries: DataFrame, k: int, rerank: float) -> DataFrame:
+    norm = float(vectors.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()[0] or 0)
     unique = stage(distinct_vectors(vectors, k + 1), "vectors")
     pivots = lifted(np.array([r["v"] for r in unique.orderBy(F.xxhash64("k1", "k2"), "k1", "k2").limit(PIVOTS).select("v").collect()], np.float64), norm)
     index, blocks = build_index(unique, pivots, norm)

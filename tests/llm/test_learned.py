@@ -52,6 +52,16 @@ def test_search_few_and_none(spark):
     assert permutation_index.search(df.limit(0), df.limit(0), 20).count() == 0
 
 
+def test_search_repeated_rows_and_other_lengths(spark):
+    """A repeated row of a query or a candidate counts once; vectors of another length have an index of their own."""
+    rows = [(i, [float(i + 1), 1.0]) for i in range(30)] + [(0, [1.0, 1.0])] * 2 + [(5, [6.0, 1.0])] + [(100 + i, [float(i), 1.0, 2.0]) for i in range(5)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    got = defaultdict(list)
+    for r in permutation_index.search(df, df.filter("id in (0, 100)"), 20).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.rank, r.vec_id))
+    assert got == {0: [(n + 1, 29 - n) for n in range(20)], 100: [(n + 1, 101 + n) for n in range(4)]}
+
+
 def test_search_recall(spark):
     """At the smallest scale the block's least number of candidates is half of all vectors."""
     e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")

@@ -72,6 +72,27 @@ def test_shards(spark):
     assert sorted((r["size"], r.text_crc32) for r in got) == want
 
 
+def test_strings_are_told_apart_beyond_their_start(spark):
+    rows = [(i, "x", f"https://example.org/{i % 4}") for i in range(64)]
+    q = hilbert_shards.quantised(docs(spark, rows), {"source": F.col("source"), "doc_id": F.col("doc_id")}, 2)
+    assert {(r.source[-1], r._c0) for r in q.collect()} == {("0", 0), ("1", 1), ("2", 2), ("3", 3)}
+
+
+def test_shards_like_a_plain_sort(spark):
+    """Cells, curve, ties and cuts together."""
+    rows = [(i, "t" * (i * 7 % 90), f"source {i % 3}") for i in range(150)] + [(3, "tie", "source 1")] * 2
+    t = docs(spark, rows)
+    got = {(r.doc_id, r["size"], r.shard, r.slot) for r in hilbert_shards.document_shards(t, 7).collect()}
+    dims = {"source": F.col("source"), "lang": F.col("lang"), "size": F.octet_length("text") + 1, "doc_id": F.col("doc_id")}
+    cells = hilbert_shards.quantised(t, dims, hilbert_shards.BITS).withColumn("h", hilbert_shards.hilbert_index(hilbert_shards.digits([f"_c{i}" for i in range(4)], hilbert_shards.BITS), 4))
+    flat = sorted((r.h, zlib.crc32(r.text.encode()), r.doc_id, len(r.text) + 1) for r in cells.collect())
+    want, n = set(), len(flat)
+    for rank, (_, _, i, size) in enumerate(flat):
+        shard = rank * 7 // n
+        want.add((i, size, shard, rank - next(x for x in range(n) if x * 7 // n == shard)))
+    assert got == want
+
+
 def test_shards_of_few_rows_and_none(spark):
     assert sorted((r.shard, r.slot) for r in hilbert_shards.document_shards(docs(spark, AWKWARD[:3])).collect()) == [(0, 0), (5, 0), (10, 0)]
     assert hilbert_shards.document_shards(docs(spark, [])).count() == 0
@@ -284,7 +305,8 @@ def test_license_of_rewrapped_text(spark):
 # fingerprints
 
 def brute_fingerprint(spark, texts, k=winnowing.K, window=winnowing.WINDOW):
-    """From the engine's own gram hashes: windows one by one."""
+    """Rolling hashes by their recurrence, windows one by one; the chosen grams' hashes from the engine."""
+    prime, base = winnowing.PRIME, winnowing.BASE
     out = []
     for t in texts:
         words = re.split(r"[\x20\x09-\x0D]+", (t or "").strip(BLANK).lower())
@@ -296,7 +318,10 @@ def brute_fingerprint(spark, texts, k=winnowing.K, window=winnowing.WINDOW):
         grams = [hs[i : i + k] for i in range(max(1, len(hs) - k + 1))]
         df = spark.createDataFrame([(i, *(g + [None] * (k - len(g)))) for i, g in enumerate(grams)], "i long, " + ", ".join(f"h{j} long" for j in range(k)))
         g = [r.g for r in df.orderBy("i").select(F.xxhash64(*(f"h{j}" for j in range(k))).alias("g")).collect()]
-        rank = [(x & (2**64 - 1)) >> 33 for x in g]
+        v = [h % prime for h in hs] + [0] * k
+        rank = [sum(v[j] * base ** (k - 1 - j) for j in range(k)) % prime]
+        for i in range(len(g) - 1):
+            rank.append(((rank[i] - v[i] * base ** (k - 1)) * base + v[i + k]) % prime)
         chosen = set()
         for a in range(max(1, len(g) - window + 1)):
             w = range(a, min(len(g), a + window))
@@ -312,6 +337,8 @@ def test_fingerprints(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
     got = [[(x.hash, x.pos) for x in r.fp] for r in winnowing.with_fingerprint(df, "text", "fp").orderBy("i").collect()]
     assert got == brute_fingerprint(spark, texts)
+    got = [[(x.hash, x.pos) for x in r.fp] for r in winnowing.with_fingerprint(df.filter("i > 6"), "text", "fp", 7, 4).orderBy("i").collect()]
+    assert got == brute_fingerprint(spark, texts[7:], 7, 4)
 
 
 def test_shared_run_of_words_is_found(spark):
