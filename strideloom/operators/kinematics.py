@@ -76,9 +76,13 @@ def strike_features(strikes: DataFrame, kinematics: DataFrame, clamp: bool = Fal
     return at.join(kinematics.select("video", "side", F.col("idx").alias("frame_idx"), *STRIKE_METRICS), ["video", "side", "frame_idx"])
 
 
-def legacy_strike_features(peaks: DataFrame, kinematics: DataFrame) -> DataFrame:
-    """Features at peaks (video, side, frame): the downward tibial angle, and what precedes the strike only from the fourth row on."""
-    t = kinematics.select(
+def legacy_strike_features(peaks: DataFrame, kinematics: DataFrame, smooth: str = "ankle_y") -> DataFrame:
+    """Features at peaks (video, side, frame): the downward tibial angle, and what precedes the strike only from the fourth row on.
+
+    The velocity before the strike is that of ``smooth``, the smoothed ankle height, two rows earlier.
+    """
+    before = F.lag("_vel", 2).over(series())
+    t = kinematics.withColumn("_vel", gradient(F.col(smooth))).withColumn("ankle_velocity_pre_strike", before).select(
         "video", "side", "frame", F.col("tibial_angle_down").alias("tibial_angle"), "knee_flexion_angle", "ankle_hip_horizontal_offset", "trunk_angle",
         *(F.when(F.col("idx") >= 3, F.col(c)).alias(c) for c in ("ankle_velocity_pre_strike", "ankle_approach_angle")))
     return peaks.join(t, ["video", "side", "frame"])

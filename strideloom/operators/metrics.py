@@ -58,12 +58,17 @@ def run_summary(strikes: DataFrame) -> DataFrame:
         F.avg(judged).alias("overstriding_rate"))
 
 
-def frames_by_video(strikes: DataFrame) -> DataFrame:
-    """(video, frames): each video's strike frames in order of frame and side."""
-    rows = F.array_sort(F.collect_list(F.struct("frame", "side")))
+def frames_by_video(strikes: DataFrame, position: str) -> DataFrame:
+    """(video, frames): each video's strike frames in order of ``position``, their place in the store."""
+    rows = F.array_sort(F.collect_list(F.struct(F.col(position).alias("at"), "frame")))
     return strikes.groupBy("video").agg(F.transform(rows, lambda r: r["frame"]).alias("frames"))
 
 
+def sorted_frames(strikes: DataFrame) -> DataFrame:
+    """(video, frames): the union of both sides' strike frames, each once, ascending."""
+    return strikes.groupBy("video").agg(F.array_sort(F.collect_set("frame")).alias("frames"))
+
+
 def counts(frames: DataFrame, strikes: DataFrame) -> DataFrame:
     """(video, frames, strikes): detected frames of both sides and labelled strikes."""
     f = frames.groupBy("video").agg(F.count(F.lit(1)).alias("frames"))
@@ -71,6 +76,20 @@ def counts(frames: DataFrame, strikes: DataFrame) -> DataFrame:
     return f.join(s, "video", "left").withColumn("strikes", F.coalesce("strikes", F.lit(0)))
 
 
+def resampled(window: DataFrame, cols: list[str], steps: int = 12) -> DataFrame:
+    """strike_window's rows to ``steps`` of each strike: (video, side, strike_frame, t, cols), linear between the frames that are there.
+
+    The method is ours, as only the length is given.
+    """
+    keys = [*KEYS, "strike_frame"]
+    t = window.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("step", *cols))).alias("w"))
+    t = t.select(*keys, "w", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("t"))
+    t = t.withColumn("x", F.col("t") * (F.size("w") - 1) / (steps - 1)).withColumn("lo", F.floor("x").cast("int"))
+    at = lambda i, c: F.get("w", i).getField(c)
+    hi = F.least(F.col("lo") + 1, F.size("w") - 1)
+    return t.select(*keys, "t", *((at(F.col("lo"), c) + (F.col("x") - F.col("lo")) * (at(hi, c) - at(F.col("lo"), c))).alias(c) for c in cols))
+
+
 def strike_window(frames: DataFrame, strikes: DataFrame, cols: list[str], before: int = 8, after: int = 4) -> DataFrame:
     """The ``before`` frames up to each strike and ``after`` from it on, as far as there are: (video, side, strike_frame, step, cols)."""
     at = strikes.select(*KEYS, F.col("frame").alias("strike_frame"))

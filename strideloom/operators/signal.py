@@ -44,19 +44,22 @@ def savgol(df: DataFrame, col: str, out: str, keys: tuple[str, ...] = ("video",
 def peaks(df: DataFrame, col: str, keys: tuple[str, ...] = ("video", "side"), at: str = "frame", distance: int = DISTANCE) -> DataFrame:
     """keys and ``at`` of the peaks of ``col``: strict local maxima, plateaus at their middle, none at the ends, higher peaks first suppressing those nearer than ``distance``.
 
-    Positions must be dense. Of equal heights the later goes first.
+    Positions must be dense. Of equal heights the later goes first. Candidates on either side of a gap of ``distance`` or more do not touch each
+    other, so they are chosen among within the stretches between gaps.
     """
     w = Window.partitionBy(*keys).orderBy(at)
     runs = df.withColumn("_new", (F.lag(col).over(w) != F.col(col)).cast("int")).withColumn("_run", F.sum(F.coalesce("_new", F.lit(0))).over(w))
     runs = runs.groupBy(*keys, "_run").agg(F.min(at).alias("_a"), F.max(at).alias("_b"), F.first(col).alias("_v"))
     r = Window.partitionBy(*keys).orderBy("_run")
     tops = runs.withColumns({"_before": F.lag("_v").over(r), "_after": F.lead("_v").over(r)}).filter("_v > _before and _v > _after")
-    tops = tops.select(*keys, F.struct("_v", F.floor((F.col("_a") + F.col("_b")) / 2).alias("p")).alias("_c"))
+    tops = tops.select(*keys, "_run", F.struct("_v", F.floor((F.col("_a") + F.col("_b")) / 2).alias("p")).alias("_c"))
+    tops = tops.withColumn("_far", (F.col("_c.p") - F.lag("_c.p").over(r) >= distance).cast("int"))
+    tops = tops.withColumn("_stretch", F.sum(F.coalesce("_far", F.lit(0))).over(r))
     ordered = F.reverse(F.array_sort(F.collect_list("_c")))
     kept = F.aggregate(
         F.transform("_o", lambda c: c["p"]), F.array().cast("array<bigint>"),
         lambda acc, p: F.when(F.exists(acc, lambda a: F.abs(a - p) < distance), acc).otherwise(F.array_append(acc, p)))
-    return tops.groupBy(*keys).agg(ordered.alias("_o")).select(*keys, F.explode(kept).alias(at))
+    return tops.groupBy(*keys, "_stretch").agg(ordered.alias("_o")).select(*keys, F.explode(kept).alias(at))
 
 
 def peak_pairs(peaks_: DataFrame, keys: tuple[str, ...] = ("video", "side"), at: str = "frame") -> DataFrame:

@@ -11,6 +11,8 @@ from strideloom.schemas import JOINTS
 
 #: Held-out videos.
 TEST_VIDEOS = (3, 9, 13, 15)
+#: Those of the older flattener.
+LEGACY_TEST_VIDEOS = (4, 18, 20, 26, 27)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,5 +63,5 @@ def video_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.select("video", F.lit(30).alias("fps"), "frame_count")
 
 
-def test_videos(spark: SparkSession) -> DataFrame:
-    return spark.range(1).select(F.explode(F.array(*(F.lit(v).cast("long") for v in TEST_VIDEOS))).alias("video"))
+def test_videos(spark: SparkSession, videos: tuple[int, ...] = TEST_VIDEOS) -> DataFrame:
+    return spark.range(1).select(F.explode(F.array(*(F.lit(v).cast("long") for v in videos))).alias("video"))

@@ -96,9 +96,9 @@ def strike_features_clamped(spark, d):
 
 
 def legacy_strike_features(spark, d):
-    frames = kinematics.frame_kinematics(b.pose_frames(spark, d))
-    found = signal.peaks(frames.select(*ID, "ankle_y"), "ankle_y", distance=5)
-    t = kinematics.legacy_strike_features(found, frames)
+    frames = signal.savgol(kinematics.frame_kinematics(b.pose_frames(spark, d)), "ankle_y", "smooth")
+    found = signal.peaks(rounded(frames.select(*ID, "smooth"), "smooth"), "smooth")
+    t = kinematics.legacy_strike_features(found, frames, "smooth")
     return rounded(t, *(c for c in t.columns if c not in ID))
 
 
@@ -133,7 +133,8 @@ def cadence(spark, d):
 
 
 def _oscillation(spark, d):
-    return metrics.vertical_oscillation(b.signal_frames(spark, d), peaks(spark, d), "hip_y")
+    hips = signal.savgol(b.signal_frames(spark, d).select(*ID, "hip_y"), "hip_y", "smooth_hip")
+    return metrics.vertical_oscillation(hips, peaks(spark, d), "smooth_hip")
 
 
 def vertical_oscillation(spark, d):
@@ -144,13 +145,31 @@ def mean_oscillation(spark, d):
     return rounded(metrics.mean_oscillation(_oscillation(spark, d)), "vo")
 
 
+def mean_oscillation_cm(spark, d):
+    """For runners of 170 cm who are 101 px high."""
+    t = metrics.mean_oscillation(_oscillation(spark, d))
+    return rounded(t.select("video", metrics.centimetres(F.col("vo"), F.lit(101.0), F.lit(170.0)).alias("vo_cm")), "vo_cm")
+
+
+def _placed(spark, d):
+    """Strikes with their place in the log of keys."""
+    return b.strikes(spark, d).join(b.label_keys(spark, d).select(*ID, "event_id"), ID)
+
+
+def _joined(t):
+    return t.select("video", F.array_join(F.col("frames").cast("array<string>"), ",").alias("frames"))
+
+
 def run_summary(spark, d):
     return rounded(metrics.run_summary(b.strikes(spark, d)), "overstriding_rate")
 
 
 def frames_by_video(spark, d):
-    t = metrics.frames_by_video(b.strikes(spark, d))
-    return t.select("video", F.array_join(F.col("frames").cast("array<string>"), ",").alias("frames"))
+    return _joined(metrics.frames_by_video(_placed(spark, d), "event_id"))
+
+
+def sorted_frames(spark, d):
+    return _joined(metrics.sorted_frames(b.strikes(spark, d)))
 
 
 def video_counts(spark, d):
@@ -161,6 +180,10 @@ def strike_window(spark, d):
     return metrics.strike_window(b.signal_frames(spark, d), b.strikes(spark, d), ["ankle_y", "hip_y"])
 
 
+def strike_window_resampled(spark, d):
+    return rounded(metrics.resampled(strike_window(spark, d), ["ankle_y", "hip_y"]), "ankle_y", "hip_y")
+
+
 def _side(df, s):
     return df.filter(F.col("side") == s)
 
@@ -177,8 +200,7 @@ def strike_frames(spark, d):
 
 def strike_order(spark, d):
     """Strikes with the place of their video by first appearance, in order of video, side and frame."""
-    keyed = b.strikes(spark, d).join(b.label_keys(spark, d).select(*ID, "event_id"), ID)
-    return sets.with_video_order(keyed, "event_id").select(*ID, "video_ord").orderBy("video_ord", "side", "frame")
+    return sets.with_video_order(_placed(spark, d), "event_id").select(*ID, "video_ord").orderBy("video_ord", "side", "frame")
 
 
 def distinct_videos(spark, d):
@@ -193,6 +215,24 @@ def test_split(spark, d):
     return sets.test_split(b.strikes(spark, d), b.test_videos(spark))
 
 
+def legacy_train_split(spark, d):
+    return sets.train_split(b.strikes(spark, d), b.test_videos(spark, b.LEGACY_TEST_VIDEOS))
+
+
+def legacy_test_split(spark, d):
+    return sets.test_split(b.strikes(spark, d), b.test_videos(spark, b.LEGACY_TEST_VIDEOS))
+
+
+def shuffled_strikes(spark, d):
+    """All strikes in random order."""
+    return sets.shuffled(b.strikes(spark, d), seed=7)
+
+
+def strikes_head(spark, d):
+    """The first five, as a display shows them."""
+    return b.strikes(spark, d).orderBy(*ID).limit(5)
+
+
 def contact_predictions(spark, d):
     t = b.contact_logits(spark, d)
     return rounded(t.select(*ID, (1 / (1 + F.exp(-F.col("logit")))).alias("probability"), "pred"), "probability")
@@ -203,8 +243,7 @@ def class_balance(spark, d):
 
 
 def masked_bce(spark, d):
-    t = b.contact_logits(spark, d)
-    return rounded(evaluation.masked_bce(t, ["video"], evaluation.class_balance(t)), "loss")
+    return rounded(evaluation.masked_bce(b.contact_logits(spark, d), ["video"]), "loss")
 
 
 def classification_report(spark, d):
@@ -215,7 +254,8 @@ QUERIES = {f.__name__: f for f in (
     label_fsm, legacy_cycles, prev_strike, gait_cycles, contact_labels, cycle_slices, zscore_frames, cycle_tensor, relabel_apply, legacy_store,
     frame_kinematics, gradient, strike_features, strike_features_clamped, legacy_strike_features, savgol_smooth, ankle_peaks, peak_pairs, video_meta, cadence,
     vertical_oscillation, mean_oscillation, run_summary, frames_by_video, video_counts, strike_window, strike_union, strike_frames, strike_order,
-    distinct_videos, train_split, test_split, contact_predictions, class_balance, masked_bce, classification_report)}
+    distinct_videos, train_split, test_split, contact_predictions, class_balance, masked_bce, classification_report,
+    mean_oscillation_cm, sorted_frames, strike_window_resampled, legacy_train_split, legacy_test_split, shuffled_strikes, strikes_head)}
 QUERIES |= {
     "tibial_a": _metric("tibial_angle"), "tibial_b": _metric("tibial_angle_down"), "knee_flexion": _metric("knee_flexion_angle"), "trunk_angle": _metric("trunk_angle"),
     "approach_angle": _metric("ankle_approach_angle"), "ankle_hip_offset": _metric("ankle_hip_horizontal_offset"), "pre_strike_velocity": _metric("ankle_velocity_pre_strike")}

@@ -95,27 +95,28 @@ def peaks(source: str, name: str, col: str, distance: int) -> str:
   from (select video, side, v, (a + b) // 2 as p from {name}_tops where v > v0 and v > v1) group by video, side)"""
 
 
-def _savgol() -> str:
+def savgol(source: str, name: str, col: str, out: str, more: str = "") -> str:
     h, half = savgol_weights(), WIDTH // 2
     terms = []
     for d in range(1 - WIDTH, WIDTH):
         case = " ".join(f"when {p} then {float(h[p, p + d])!r}::double" for p in range(WIDTH) if 0 <= p + d < WIDTH)
         if case:
-            y = "ankle_y" if d == 0 else f"{'lead' if d > 0 else 'lag'}(ankle_y, {abs(d)}) over {W}"
+            y = col if d == 0 else f"{'lead' if d > 0 else 'lag'}({col}, {abs(d)}) over {W}"
             terms.append(f"coalesce(case place {case} end * {y}, 0.0)")
-    return f"""counted as (select *, row_number() over {W} - 1 as i, count(*) over (partition by video, side) as n from signal),
-placed as (select *, case when i < {half} then i when i >= n - {half} then i - n + {WIDTH} else {half} end as place from counted),
-smoothed as (select video, side, frame, round({' + '.join(terms)}, 6) as smooth from placed)"""
+    return f"""{name}_counted as (select *, row_number() over {W} - 1 as i, count(*) over (partition by video, side) as size from {source}),
+{name}_placed as (select *, case when i < {half} then i when i >= size - {half} then i - size + {WIDTH} else {half} end as place from {name}_counted),
+{name} as (select video, side, frame{more}, {' + '.join(terms)} as {out} from {name}_placed)"""
 
 
-SMOOTH = f"{SIGNAL},\n{_savgol()}"
+SMOOTH = f"{SIGNAL},\n{savgol('signal', 'smooth_ankle', 'ankle_y', 'raw')},\nsmoothed as (select video, side, frame, round(raw, 6) as smooth from smooth_ankle)"
 PEAKS = f"{SMOOTH},\n{peaks('smoothed', 'tops', 'smooth', 14)}"
 META = "meta as (select video, 30 as fps, max(frame) + 1 as frame_count from signal group by 1)"
-OSCILLATION = PEAKS + """,
+OSCILLATION = PEAKS + f""",
+{savgol('signal', 'smooth_hip', 'hip_y', 'hip')},
 pairs as (select *, lead(frame) over (partition by video, side order by frame) as next_frame from tops),
 ranges as (
-  select p.video, p.side, p.frame, max(s.hip_y) - min(s.hip_y) as span
-  from pairs p join signal s on s.video = p.video and s.side = p.side and s.frame between p.frame and p.next_frame group by 1, 2, 3),
+  select p.video, p.side, p.frame, max(s.hip) - min(s.hip) as span
+  from pairs p join smooth_hip s on s.video = p.video and s.side = p.side and s.frame between p.frame and p.next_frame group by 1, 2, 3),
 vo as (
   select t.video, t.side, count(*) as peaks, coalesce(sum(r.span), 0.0) / count(*) as vo, sum(r.span) / count(r.span) as vo_per_pair
   from tops t left join ranges r using (video, side, frame) group by 1, 2)"""
@@ -168,10 +169,12 @@ select video, frame, side, name, round(value, 6) as value from (
     "strike_features_clamped": f"""with {STRIKES}, {KINEMATICS}, last as (select video, side, max(idx) as last from kin group by 1, 2)
 select s.video, s.side, s.frame, k.idx as frame_idx, {_r(METRICS)} from strikes s join last using (video, side)
 join kin k on k.video = s.video and k.side = s.side and k.idx = least(s.frame, last.last)""",
-    "legacy_strike_features": f"""with {KINEMATICS}, {peaks('kin', 'found', 'ankle_y', 5)}
+    "legacy_strike_features": f"""with {KINEMATICS}, {savgol('kin', 'lowest', 'ankle_y', 'raw', ', idx, tibial_angle_down, knee_flexion_angle, ankle_hip_horizontal_offset, trunk_angle, ankle_approach_angle')},
+lows as (select video, side, frame, round(raw, 6) as smooth from lowest), {peaks('lows', 'found', 'smooth', 14)},
+speeds as (select *, {gradient('raw')} as vel from lowest), earlier as (select *, lag(vel, 2) over {W} as ankle_velocity_pre_strike from speeds)
 select video, side, frame, round(tibial_angle_down, 6) as tibial_angle, {_r(['knee_flexion_angle', 'ankle_hip_horizontal_offset', 'trunk_angle'])},
        round(case when idx >= 3 then ankle_velocity_pre_strike end, 6) as ankle_velocity_pre_strike, round(case when idx >= 3 then ankle_approach_angle end, 6) as ankle_approach_angle
-from found join kin using (video, side, frame)""",
+from found join earlier using (video, side, frame)""",
     "savgol_smooth": f"with {SMOOTH} select * from smoothed",
     "ankle_peaks": f"with {PEAKS} select * from tops",
     "peak_pairs": f"with {PEAKS} select * from (select *, lead(frame) over (partition by video, side order by frame) as next_frame from tops) where next_frame is not null",
@@ -184,7 +187,15 @@ from meta left join n using (video)""",
     "run_summary": f"""with {STRIKES} select video, count(*) as strikes, count(*) filter (strike_pattern = 'heel') as heel, count(*) filter (strike_pattern = 'midfoot') as midfoot,
        count(*) filter (strike_pattern = 'forefoot') as forefoot, round(avg(case when overstriding <> 'skip' then (overstriding = 'overstriding')::int end), 6) as overstriding_rate
 from strikes group by video""",
-    "frames_by_video": f"with {STRIKES} select video, string_agg(frame::varchar, ',' order by frame, side) as frames from strikes group by video",
+    "frames_by_video": f"with {STRIKES} select video, string_agg(frame::varchar, ',' order by k.event_id) as frames from strikes join keys k using (video, side, frame) group by video",
+    "sorted_frames": f"with {STRIKES} select video, string_agg(frame::varchar, ',' order by frame) as frames from (select distinct video, frame from strikes) group by video",
+    "mean_oscillation_cm": f"with {OSCILLATION} select video, round((max(case when side = 'L' then vo end) + max(case when side = 'R' then vo end)) / 2 * 170 / 101, 6) as vo_cm from vo group by video",
+    "strike_window_resampled": f"""with {STRIKES},
+w as (select s.video, s.side, s.frame as strike_frame, list(f.ankle_y order by f.frame) as a, list(f.hip_y order by f.frame) as h, count(*) as n
+      from strikes s join signal f on f.video = s.video and f.side = s.side and f.frame between s.frame - 8 and s.frame + 3 group by 1, 2, 3),
+g as (select *, t * (n - 1) / 11.0::double as x from (select *, unnest(range(12)) as t from w)),
+i as (select *, floor(x)::bigint as lo, least(floor(x)::bigint + 1, n - 1) as hi from g)
+select video, side, strike_frame, t::int as t, round(a[lo + 1] + (x - lo) * (a[hi + 1] - a[lo + 1]), 6) as ankle_y, round(h[lo + 1] + (x - lo) * (h[hi + 1] - h[lo + 1]), 6) as hip_y from i""",
     "video_counts": f"""with {STRIKES}, f as (select video, count(*) as frames from signal group by 1), s as (select video, count(*) as strikes from strikes group by 1)
 select video, frames, coalesce(strikes, 0) as strikes from f left join s using (video)""",
     "strike_window": f"""with {STRIKES} select s.video, s.side, s.frame as strike_frame, (f.frame - s.frame)::int as step, f.ankle_y, f.hip_y
@@ -196,6 +207,10 @@ select video, side, frame, min(event_id) over (partition by video) as video_ord
     "distinct_videos": f"with {STRIKES} select distinct video from strikes",
     "train_split": f"with {STRIKES} select * from strikes where video not in (3, 9, 13, 15)",
     "test_split": f"with {STRIKES} select * from strikes where video in (3, 9, 13, 15)",
+    "legacy_train_split": f"with {STRIKES} select * from strikes where video not in (4, 18, 20, 26, 27)",
+    "legacy_test_split": f"with {STRIKES} select * from strikes where video in (4, 18, 20, 26, 27)",
+    "shuffled_strikes": f"with {STRIKES} select * from strikes",
+    "strikes_head": f"with {STRIKES} select * from strikes order by video, side, frame limit 5",
     "contact_predictions": f"with {LOGITS} select video, side, frame, round(probability, 6) as probability, pred::bigint as pred from preds",
     "class_balance": f"with {BALANCE} select negatives, positives, round(pos_weight, 6) as pos_weight from balance",
     "masked_bce": f"""with {BALANCE} select video, round(sum(case when mask then (1 - label) * logit + (1 + (pos_weight - 1) * label) * (ln(1 + exp(-abs(logit))) + greatest(-logit, 0.0)) end)

@@ -8,40 +8,40 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from strideloom.functions.labels import side
-from strideloom.schemas import FRAMES, STRIKES
+from strideloom.schemas import FRAMES, RELABELS, STRIKES
 
 #: Indices of the joints in a person's 17 keypoints.
 KEYPOINTS = {"shoulder": (5, 6), "hip": (11, 12), "knee": (13, 14), "ankle": (15, 16)}
 EXTENSIONS = (".mp4", ".MOV")
 
 
-def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A JSON array of records, or JSON lines; no rows if nothing is there."""
+def read_or_empty(spark: SparkSession, path: str, schema: T.StructType, lines: bool = False) -> DataFrame:
+    """JSON arrays of records, or with ``lines`` a record a line; no rows if nothing is there."""
     try:
-        return spark.read.schema(schema).option("multiLine", True).json(path)
+        return spark.read.schema(schema).option("multiLine", not lines).json(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
 
 
-def strikes(spark: SparkSession, path: str) -> DataFrame:
+def strikes(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Strikes with side as L or R."""
-    return read_or_empty(spark, path, STRIKES).withColumn("side", side(F.col("side")))
+    return read_or_empty(spark, path, STRIKES, lines).withColumn("side", side(F.col("side")))
 
 
-def frame_tables(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON object of video to table: the union of the tables, rows with nulls or NaN dropped, side as L or R."""
+def frame_tables(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """JSON objects of video to table, each file one or with ``lines`` each line: the union of the tables, rows with nulls or NaN dropped, side as L or R."""
     kind = T.MapType(T.StringType(), T.ArrayType(FRAMES))
-    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", kind).alias("m"))
+    whole = spark.read.text(path, wholetext=not lines).select(F.from_json("value", kind).alias("m"))
     rows = whole.select(F.explode("m").alias("k", "rows")).select(F.inline("rows"))
     return rows.na.drop("any").withColumn("side", side(F.col("side")))
 
 
-def legacy_frames(spark: SparkSession, path: str) -> DataFrame:
-    """Video to frame to [[name, value], ..., side]: (video, frame, side, features: map of name to value)."""
+def legacy_frames(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Objects of video to frame to [[name, value], ..., side], each file one or with ``lines`` each line: (video, frame, side, features: map of name to value)."""
     kind = T.MapType(T.StringType(), T.MapType(T.StringType(), T.ArrayType(T.StringType())))
-    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", kind).alias("m"))
+    whole = spark.read.text(path, wholetext=not lines).select(F.from_json("value", kind).alias("m"))
     t = whole.select(F.explode("m").alias("video", "frames")).select("video", F.explode("frames").alias("frame", "values"))
     pair = lambda v: F.from_json(v, "array<string>")
     pairs = F.transform(F.slice("values", 1, F.size("values") - 1), lambda v: F.struct(F.element_at(pair(v), 1), F.element_at(pair(v), 2).cast("double")))
@@ -83,6 +83,25 @@ def append_lines(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def write_legacy(rows: DataFrame, path: str) -> None:
+    """Rows (video, frame, side, name, value) in the nested form that legacy_frames reads, a video a line."""
+    each = F.struct(F.concat(F.lit("["), F.to_json(F.array("name")).substr(F.lit(2), F.length(F.to_json(F.array("name"))) - 2), F.lit(","), F.col("value").cast("string"), F.lit("]")).alias("pair"))
+    frames = rows.groupBy("video", "frame", "side").agg(F.array_join(F.transform(F.array_sort(F.collect_list(each)), lambda x: x["pair"]), ",").alias("pairs"))
+    entry = F.concat(F.lit('"'), F.col("frame").cast("string"), F.lit('":['), "pairs", F.lit(',"'), "side", F.lit('"]'))
+    videos = frames.groupBy("video").agg(F.array_join(F.collect_list(entry), ",").alias("frames"))
+    videos.select(F.concat(F.lit('{"'), F.col("video").cast("string"), F.lit('":{'), "frames", F.lit("}}")).alias("value")).write.mode("overwrite").text(path)
+
+
+def append_relabels(df: DataFrame, path: str, run: int) -> None:
+    """Add one session's relabels (video, frame, label); a later run's label counts before an earlier one's."""
+    df.select("video", "frame", "label").withColumn("run", F.lit(run)).write.mode("append").partitionBy("run").json(path)
+
+
+def relabels(spark: SparkSession, path: str) -> DataFrame:
+    """All sessions' relabels with their ``run``; no rows if nothing is there."""
+    return read_or_empty(spark, path, T.StructType([*RELABELS.fields, T.StructField("run", T.IntegerType())]), lines=True)
+
+
 def report(df: DataFrame, key: str) -> DataFrame:
     """key and ``json``: each row as one JSON document."""
     return df.select(key, F.to_json(F.struct(*df.columns)).alias("json"))

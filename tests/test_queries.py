@@ -9,17 +9,19 @@ from strideloom.plans import bindings
 from strideloom.plans.learned import LEARNED
 from strideloom.plans.queries import FEATURES, QUERIES, cycle_tensor
 from strideloom.plans.sql import SQL
+from strideloom.plans.store_queries import STORE_QUERIES
+from strideloom.plans.store_sql import STORE_SQL
 
 SF = "/root/testdata/sf0.001"
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) == set(SQL) and set(STORE_QUERIES) == set(STORE_SQL)
 
 
-@pytest.mark.parametrize("name", sorted(SQL))
+@pytest.mark.parametrize("name", sorted(SQL | STORE_SQL))
 def test_parity(spark, name):
-    got, want = QUERIES[name](spark, SF).toPandas(), connect(SF).sql(SQL[name]).df()
+    got, want = (QUERIES | STORE_QUERIES)[name](spark, SF).toPandas(), connect(SF).sql((SQL | STORE_SQL)[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
 
