@@ -14,14 +14,16 @@ from strideloom.llm.repeat_anchors import BEFORE, GRAM, LENGTH, anchors
 from strideloom.llm.suffix_runs import Run, front_coded, merge
 
 #: Suffixes in a sorted run and, on average, in a part of the order; sampled suffixes that part it.
-RUN, PART, SAMPLE = 20_000, 100_000, 20_000
-#: Suffixes of one gram that one task may hold (under 200 MB); those of a more frequent gram go by their strings.
+RUN, PART, SAMPLE = 20_000, 50_000, 20_000
+#: Suffixes of one gram that one task may hold (about half a GB at a time, with their contexts); those of a more frequent gram go by their strings.
 GRAM_MOST = 1_000_000
 #: Stands for a null doc_id: after all others.
 NO_ID = 2**63 - 1
 #: Low bits of ``at``: the position in the text; above it 31 bits of the text's hash, which tell apart rows of one doc_id.
 POS = (1 << 32) - 1
 BATCH_BYTES = 8 << 20
+#: Over the number of strings of one anchor.
+MORE = 128
 
 
 def _tag(text: Column) -> Column:
@@ -56,9 +58,9 @@ def later(keys: tuple[np.ndarray, ...], doc: np.ndarray, at: np.ndarray) -> np.n
 
 
 def found_anchors(texts: DataFrame) -> DataFrame:
-    """texts(doc, tag, bytes) to (h, ctx, doc, at, sure), an anchor's gram and context hash and its place.
+    """texts(doc, tag, bytes) to (h, doc, at, sure), an anchor's gram hash and its place.
 
-    Of a batch's anchors alike in both hashes all but the earliest surely repeat: they are marked and get a hash of
+    Of a batch's anchors alike in gram and whole context, by hash, all but the earliest surely repeat: they are marked and get a hash of
     their own, so that no gram brings more than one row from a batch to its task for each context.
     """
 
@@ -77,24 +79,20 @@ def found_anchors(texts: DataFrame) -> DataFrame:
                 doc, at = docs[i:j][d], (tags[i:j][d] << 32) | p
                 sure = later((h, c), doc, at)
                 h = np.where(sure, mixed(doc.view(np.uint64) ^ mixed(at.view(np.uint64))), h)
-                c[sure] = 0
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), c.view(np.int64), doc, at, sure)], names=["h", "ctx", "doc", "at", "sure"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), doc, at, sure)], names=["h", "doc", "at", "sure"])
 
-    return texts.mapInArrow(run, "h long, ctx long, doc long, at long, sure boolean")
+    return texts.mapInArrow(run, "h long, doc long, at long, sure boolean")
 
 
 def hits(found: DataFrame, partitions: int) -> DataFrame:
-    """By text (doc, tag): ``old``, anchors whose context occurs earlier, and ``open``, the first of a context whose gram has others.
+    """By text (doc, tag): ``old``, anchors that repeat one of their own batch, and ``open``, those of grams that occur again.
 
-    A context holds all strings of LENGTH bytes with the anchor's gram in its place, so an old anchor's
-    strings all repeat. Only contexts' first anchors of grams in several contexts need to be compared.
+    All open anchors go to the sorted runs. Before, a batch's anchors alike in their whole context are one: the map side of
+    the exchange, so that no group of copies brings more than a row a batch to its gram. Only short rows meet here by gram, and they spill.
     """
-    by_gram, by_ctx = Window.partitionBy("h"), Window.partitionBy("h", "ctx")
-    t = found.repartition(partitions, "h").withColumn("n", F.count(F.lit(1)).over(by_gram)).filter("n > 1 or sure")
-    t = t.withColumn("first", F.min(F.struct("doc", "at")).over(by_ctx)).withColumn("is_first", F.col("first") == F.struct("doc", "at"))
-    t = t.withColumn("contexts", F.sum(F.col("is_first").cast("long")).over(by_gram))
-    t = t.withColumn("kind", F.when(F.col("sure") | ~F.col("is_first"), 0).when(F.col("contexts") > 1, F.when(F.col("contexts") > GRAM_MOST, 2).otherwise(1)))
-    t = t.filter("kind is not null").select("doc", F.shiftright("at", 32).alias("tag"), "kind", F.col("at").bitwiseAND(F.lit(POS)).cast("int").alias("pos"))
+    t = found.repartition(partitions, "h").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("h"))).filter("n > 1 or sure")
+    t = t.withColumn("kind", F.when(F.col("sure"), 0).when(F.col("n") > GRAM_MOST, 2).otherwise(1))
+    t = t.select("doc", F.shiftright("at", 32).alias("tag"), "kind", F.col("at").bitwiseAND(F.lit(POS)).cast("int").alias("pos"))
     pick = lambda k, name: F.collect_list(F.when(F.col("kind") == k, F.col("pos"))).alias(name)
     return stage(t.groupBy("doc", "tag").agg(pick(0, "old"), pick(1, "open"), pick(2, "frequent")), "hits")
 
@@ -164,15 +162,15 @@ def sorted_runs(found: DataFrame, cuts: list[bytes]) -> DataFrame:
     return found.mapInArrow(run, "part int, shared binary, lengths binary, rest binary, lefts binary, left_lens binary, docs binary, ats binary")
 
 
-def repeats(shared: np.ndarray, lengths: np.ndarray, left: np.ndarray, left_len: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Strings of LENGTH bytes that start earlier as well: document and start of each, from suffixes in order.
+def repeats(shared: np.ndarray, lengths: np.ndarray, left: np.ndarray, left_len: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Strings of LENGTH bytes that start earlier as well, from suffixes in order: document, start of the first and number of the others of each unbroken row of starts.
 
     A string that starts ``o`` bytes before an anchor is its last o bytes of left context and the first LENGTH - o
     of its suffix. Suffixes that share so many stand together, between shared prefixes that are shorter.
     """
     n = len(shared)
     tail = np.full(n, MIX[1])  # hash of the last o bytes of left context
-    docs, starts = [], []
+    again = np.zeros((n, BEFORE + 1), bool)
     for o in range(BEFORE + 1):
         if o:
             tail = mixed(tail ^ left[:, BEFORE - o].astype(np.uint64))
@@ -181,14 +179,15 @@ def repeats(shared: np.ndarray, lengths: np.ndarray, left: np.ndarray, left_len:
             continue
         group = np.cumsum(shared < LENGTH - o)[here]
         key = mixed(mixed(group.astype(np.uint64)) + tail[here])
-        again = later((key,), doc[here], at[here])
-        docs.append(doc[here[again]])
-        starts.append(at[here[again]] - o)
-    return (np.concatenate(docs), np.concatenate(starts)) if docs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        again[here, o] = later((key,), doc[here], at[here])
+    edge = np.diff(np.pad(again, ((0, 0), (1, 1))).view(np.int8), axis=1)
+    row, nearest = np.nonzero(edge == 1)
+    farthest = np.nonzero(edge == -1)[1] - 1
+    return doc[row], at[row] - farthest, farthest - nearest
 
 
 def merged(runs: DataFrame) -> DataFrame:
-    """Runs to the places (doc, at) where a repeated string starts: each part's runs meet in one loser tree."""
+    """Runs to the places (doc, at) where a repeated string starts, and so do ``more`` right after it: each part's runs meet in one loser tree."""
 
     def combine(key, t):
         cols = {c: t.column(c).to_pylist() for c in t.column_names if c != "part"}
@@ -198,10 +197,10 @@ def merged(runs: DataFrame) -> DataFrame:
         at = first[run] + place
         flat = lambda c, kind: np.frombuffer(b"".join(cols[c]), kind)[at]
         left = np.frombuffer(b"".join(cols["lefts"]), np.uint8).reshape(-1, BEFORE)[at]
-        doc, start = repeats(shared, flat("lengths", np.uint8).astype(np.int64), left, flat("left_lens", np.uint8).astype(np.int64), flat("docs", np.int64), flat("ats", np.int64))
-        return pa.table({"doc": pa.array(doc, pa.int64()), "at": pa.array(start, pa.int64())})
+        doc, start, more = repeats(shared, flat("lengths", np.uint8).astype(np.int64), left, flat("left_lens", np.uint8).astype(np.int64), flat("docs", np.int64), flat("ats", np.int64))
+        return pa.table({"doc": pa.array(doc, pa.int64()), "at": pa.array(start, pa.int64()), "more": pa.array(more, pa.int64())})
 
-    return runs.groupBy("part").applyInArrow(combine, "doc long, at long")
+    return runs.groupBy("part").applyInArrow(combine, "doc long, at long, more long")
 
 
 def by_strings(found: DataFrame) -> DataFrame:
@@ -211,11 +210,11 @@ def by_strings(found: DataFrame) -> DataFrame:
     string = F.concat(F.expr("substring(left, octet_length(left) - o + 1, o)"), F.expr(f"substring(right, 1, {LENGTH} - o)"))
     t = stage(t.select("doc", (F.col("at") - F.col("o")).alias("at"), F.md5(string).alias("key")), "strings")
     first = t.groupBy("key").agg(F.min(F.struct("doc", "at")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return lookup_join(t, first, ["key"], "n", t.count()).filter(F.col("first") != F.struct("doc", "at")).select("doc", "at")
+    return lookup_join(t, first, ["key"], "n", t.count()).filter(F.col("first") != F.struct("doc", "at")).select("doc", "at", F.lit(0).cast("long").alias("more"))
 
 
 def repeated_starts(texts: DataFrame, hit: DataFrame) -> DataFrame:
-    """(doc, tag, starts): where the strings start that repeat, of those an open anchor's context holds."""
+    """(doc, tag, starts): where the strings start that repeat, of those an open anchor's context holds: a position times MORE and the number of starts right after it."""
     places = None
     found = stage(contexts(texts, hit, "open"), "contexts")
     n = found.count()
@@ -230,7 +229,7 @@ def repeated_starts(texts: DataFrame, hit: DataFrame) -> DataFrame:
         places = more if places is None else places.unionByName(more)
     if places is None:
         return None
-    at = F.col("at").bitwiseAND(F.lit(POS)).cast("int")
+    at = F.col("at").bitwiseAND(F.lit(POS)) * MORE + F.col("more")
     return places.groupBy("doc", F.shiftright("at", 32).alias("tag")).agg(F.collect_list(at).alias("starts"))
 
 
@@ -239,7 +238,7 @@ def _spans(size: int, old: list[int], starts: list[int]) -> np.ndarray:
     o, s = np.array(old or [], np.int64), np.array(starts or [], np.int64)
     lo, hi = np.maximum(o - BEFORE, 0), np.minimum(o + LENGTH, size)
     whole = hi - lo >= LENGTH
-    lo, hi = np.concatenate([lo[whole], s]), np.concatenate([hi[whole], s + LENGTH])
+    lo, hi = np.concatenate([lo[whole], s // MORE]), np.concatenate([hi[whole], s // MORE + s % MORE + LENGTH])
     if not len(lo):
         return np.zeros((0, 2), np.int64)
     order = np.argsort(lo, kind="stable")
@@ -257,8 +256,8 @@ def dedup_strings(docs: DataFrame) -> DataFrame:
     document if their texts are equal, else ordered by hash of text. An empty table gives no rows.
 
     1. Of each such string the 32-byte gram of least hash is an anchor, so equal strings have equal anchors
-       in the same place. Anchors meet by gram hash. Those whose whole context came earlier are settled.
-    2. The suffixes at the other anchors of repeated grams are sorted in runs, front-coded, exchanged by
+       in the same place. Of a batch's anchors with equal contexts one is left. Anchors meet by gram hash.
+    2. The suffixes at all anchors of repeated grams are sorted in runs, front-coded, exchanged by
        range of gram, and merged by loser trees. Shared prefixes and left contexts give the repeats.
     3. Each text's runs are cut out.
     Hashes are of 64 bits within groups of equal 64-bit gram hashes.
@@ -269,7 +268,7 @@ def dedup_strings(docs: DataFrame) -> DataFrame:
     starts = repeated_starts(packed(texts), hit)
     cut = hit.select("doc", "tag", "old")
     if starts is None:
-        cut = cut.withColumn("starts", F.lit(None).cast("array<int>"))
+        cut = cut.withColumn("starts", F.lit(None).cast("array<long>"))
     else:
         cut = cut.join(stage(starts, "starts"), ["doc", "tag"], "left")
 
