@@ -21,6 +21,8 @@ GROUP_WORDS = 400_000
 STARS, FEW = 2, 32
 #: Ratio of neighbouring size classes, and hash classes in which shingles are counted to tell rare from common ones.
 SIZE_STEP, CLASSES = 1.06, 1 << 18
+#: Longs of a bag's parity bits.
+MARKS = 32
 #: Rows in which those counts come to the driver.
 COUNT_ROWS = 64
 
@@ -159,9 +161,9 @@ def banded(texts: DataFrame) -> DataFrame:
 
 
 def bag_sets(texts: DataFrame) -> DataFrame:
-    """texts(id, words) to (id, bag): each shingle's copies told apart by number, so that sets of them meet as the multisets do.
+    """texts(id, words) to (id, bag, marks): each shingle's copies told apart by number, so that sets of them meet as the multisets do.
 
-    A bag has the upper 32 bits of its 64-bit hashes: two texts of 1,000 shingles have one alike by chance in 4,000 pairs,
+    ``marks`` are the parities of the numbers of elements in 64 * MARKS hash classes (see ``can_meet``). A bag has the upper 32 bits of its 64-bit hashes: two texts of 1,000 shingles have one alike by chance in 4,000 pairs,
     which moves their similarity by 0.0006.
     """
 
@@ -175,9 +177,13 @@ def bag_sets(texts: DataFrame) -> DataFrame:
                 ends = np.cumsum(np.bincount(d[each], minlength=j - i))
                 short = (key >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), short)
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), lists], names=["id", "bag"])
+                bit = short.view(np.uint32).astype(np.int64) % (64 * MARKS)
+                marks = np.zeros((j - i, MARKS), np.uint64)
+                np.bitwise_xor.at(marks, (d[each], bit // 64), np.uint64(1) << (bit % 64).astype(np.uint64))
+                marks = pa.ListArray.from_arrays(np.arange(j - i + 1, dtype=np.int32) * MARKS, marks.view(np.int64).ravel())
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), lists, marks], names=["id", "bag", "marks"])
 
-    return texts.mapInArrow(run, "id long, bag array<int>")
+    return texts.mapInArrow(run, "id long, bag array<int>, marks array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
@@ -198,6 +204,17 @@ def can_be(size: Column, other: Column, similar: float) -> Column:
     return (size >= other * (similar - 1e-9)) & (other >= size * (similar - 1e-9))
 
 
+def can_meet(x: str, y: str, similar: float) -> Column:
+    """Whether multisets with the columns ``size`` and ``marks``, named with prefixes x and y, can be so similar.
+
+    Two multisets of a and b elements are so similar if at most (a + b) (1 - similar) / (1 + similar) are in one alone. Each of
+    those turns one parity, so at least as many are in one alone as parities differ: no pair that is similar enough is refused.
+    """
+    differ = F.zip_with(f"{x}marks", f"{y}marks", lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    apart = F.aggregate(differ, F.lit(0), lambda n, k: n + k)
+    return apart <= (F.col(f"{x}size") + F.col(f"{y}size")) * ((1 - similar) / (1 + similar) + 1e-9)
+
+
 def pair(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
@@ -226,9 +243,14 @@ def to_centres(members: DataFrame, similar: float) -> DataFrame:
 
 
 def across(members: DataFrame, similar: float) -> DataFrame:
-    """Pairs (a, b) of different labels in a bucket, of which one at least is not of the bucket's most frequent label."""
-    other = members.filter("label <> most").select("bucket", F.col("id").alias("x"), F.col("label").alias("x_label"), F.col("size").alias("x_size"))
-    met = other.join(members, "bucket").filter("label <> x_label and (label = most or x < id)").filter(can_be(F.col("size"), F.col("x_size"), similar))
+    """Pairs (a, b) of different labels in a bucket that can be of the wanted similarity, one at least not of the bucket's most frequent label.
+
+    members(bucket, id, size, label, most, marks)
+    """
+    of_other = (F.col(c).alias(f"x_{c}") for c in ("label", "size", "marks"))
+    other = members.filter("label <> most").select("bucket", F.col("id").alias("x"), *of_other)
+    met = other.join(members, "bucket").filter("label <> x_label and (label = most or x < id)")
+    met = met.filter(can_be(F.col("size"), F.col("x_size"), similar)).filter(can_meet("", "x_", similar))
     return met.select(*pair("x", "id")).distinct()
 
 
@@ -288,15 +310,18 @@ def rare_pairs(members: DataFrame, sets: DataFrame, similar: float) -> DataFrame
     A key's most frequent label is not paired with itself, so a key that a whole class has costs no more than its members
     for each outsider.
     """
-    of = members.select("id", "label").distinct()
-    bags = stage(sets.select("id", "bag").join(of, "id"), "bags")
+    of = members.select("id", "label", "size").distinct()
+    bags = stage(sets.select("id", "bag", "marks").join(of, "id"), "bags")
     posts = stage(prefixes(bags.select("id", "label", "bag"), class_counts(bags), similar), "posts")
     each = posts.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("key")
     keys = each.agg(F.max_by("label", F.struct("k", "label")).alias("most"), (F.sum("k") - F.max("k")).alias("others")).filter("others > 0")
-    shared = stage(posts.join(stage(keys.select("key", "most"), "keys"), "key"), "shared")
-    other = shared.filter("label <> most").select("key", F.col("id").alias("x"), F.col("label").alias("x_label"), F.col("side").alias("x_side"))
+    shared = posts.join(stage(keys.select("key", "most"), "keys"), "key")
+    shared = stage(shared.join(bags.select("id", "size", "marks"), "id"), "shared")
+    of_other = (F.col(c).alias(f"x_{c}") for c in ("label", "side", "size", "marks"))
+    other = shared.filter("label <> most").select("key", F.col("id").alias("x"), *of_other)
     facing = (F.col("x_side") != F.col("side")) | (F.col("side") == 2)
     met = other.join(shared, "key").filter("label <> x_label and (label = most or x < id)").filter(facing)
+    met = met.filter(can_meet("", "x_", similar))
     return met.select(*pair("x", "id")).distinct()
 
 
@@ -315,7 +340,7 @@ def linked(members: DataFrame, sets: DataFrame, similar: float) -> DataFrame | N
     compared with a centre, STARS times, which joins most of a group of copies at the cost of its size. In buckets
     that still hold several classes, members outside the largest are compared with all others if they are FEW at most, so
     that the cost is still in proportion to the bucket. Other buckets give up their members to an exact search by
-    rare shingles, whose finds must share a bucket as well. So every candidate pair is compared, or shown to be too
+    rare shingles, whose finds must share a bucket as well. Neither lists pairs whose parities show them too unlike. So every candidate pair is compared, or shown to be too
     unlike, or in one class already: no link between classes is lost, and no group's pairs are listed.
     """
     members, links, seen = members.withColumn("label", F.col("id")), None, None
@@ -333,7 +358,8 @@ def linked(members: DataFrame, sets: DataFrame, similar: float) -> DataFrame | N
         joined = members.select("bucket", "id", "size", F.col("label").alias("own")).join(hubs(links), "id", "left")
         members = joined.select("bucket", "id", "size", F.coalesce("hub", "own").alias("label"))
     members = live(members)
-    pairs = across(members.filter(F.col("others") <= FEW), similar)
+    few = members.filter(F.col("others") <= FEW).join(sets.select("id", "marks"), "id")
+    pairs = across(few, similar)
     many = members.filter(F.col("others") > FEW)
     if not many.isEmpty():
         pairs = pairs.unionByName(rare_pairs(many, sets, similar)).distinct()
