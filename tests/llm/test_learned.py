@@ -341,6 +341,21 @@ def test_each_way_alone_finds_all_pairs(spark, monkeypatch):
         assert sorted((r.doc_id, r.class_id) for r in got) == brute_classes(rows)
 
 
+def test_parities_refuse_no_similar_pair(spark):
+    """Of all pairs none that is similar enough is refused, repeated words and long texts included; most others are."""
+    rng = random.Random(15)
+    long = [f"l{rng.randrange(10**5)}" for _ in range(6000)]
+    rows = near_rows() + [(400, " ".join(long)), (401, edits(rng, long, 90)), (402, edits(rng, long, 500))]
+    words = docs(spark, rows).filter("doc_id not in (300, 301, 302)").select(F.col("doc_id").alias("id"), bag_minhash.word_hashes(F.col("text")).alias("words"))
+    sets = bag_minhash.bag_sets(words).withColumn("size", F.size("bag"))
+    other = sets.select(*(F.col(c).alias(f"x_{c}") for c in sets.columns))
+    both = F.size(F.array_intersect("bag", "x_bag"))
+    pairs = other.join(sets, F.col("x_id") < F.col("id"))
+    pairs = pairs.select((both / (F.col("size") + F.col("x_size") - both)).alias("s"), bag_minhash.can_meet("", "x_", 0.8).alias("may")).collect()
+    assert all(p.may for p in pairs if p.s >= 0.8) and sum(p.s >= 0.8 for p in pairs) > 100
+    assert sum(p.may for p in pairs if p.s < 0.7) < 0.02 * len(pairs)
+
+
 def test_near_classes_of_awkward_rows(spark):
     """A doc_id with different texts has the class of one of them, in any order of rows; very long texts and other columns do no harm."""
     rng = random.Random(12)
