@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from strideloom.llm.bag_minhash import op10_bag_minhash
+from strideloom.llm.filter_audit import OP11_SQL, op11_filter_audit
 from strideloom.llm.hilbert_shards import op3_hilbert_shards
 from strideloom.llm.language_crf import op6_language_crf
 from strideloom.llm.license_scan import op8_license_digests, op8_sql
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_license_digests": op8_license_digests,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_bag_minhash": op10_bag_minhash,
+    "op11_filter_audit": op11_filter_audit,
 }
-SQL = {"op4_source_mix": OP4_SQL, "op7_line_dedup": OP7_SQL, "op8_license_digests": op8_sql()}
+SQL = {"op4_source_mix": OP4_SQL, "op7_line_dedup": OP7_SQL, "op8_license_digests": op8_sql(), "op11_filter_audit": OP11_SQL}
