@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from strideloom.llm.bag_minhash import op10_bag_minhash
+from strideloom.llm.conversation_repair import op12_conversation_repair
 from strideloom.llm.filter_audit import OP11_SQL, op11_filter_audit
 from strideloom.llm.hilbert_shards import op3_hilbert_shards
 from strideloom.llm.language_crf import op6_language_crf
@@ -26,5 +27,6 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_bag_minhash": op10_bag_minhash,
     "op11_filter_audit": op11_filter_audit,
+    "op12_conversation_repair": op12_conversation_repair,
 }
 SQL = {"op4_source_mix": OP4_SQL, "op7_line_dedup": OP7_SQL, "op8_license_digests": op8_sql(), "op11_filter_audit": OP11_SQL}
