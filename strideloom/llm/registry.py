@@ -12,6 +12,7 @@ from strideloom.llm.line_dedup import OP7_SQL, op7_line_dedup
 from strideloom.llm.mixing import OP4_SQL, op4_source_mix
 from strideloom.llm.permutation_index import op1_permutation_index
 from strideloom.llm.piece_codec import op5_piece_codec
+from strideloom.llm.progressive_jpeg import op13_progressive_jpeg
 from strideloom.llm.suffix_dedup import op9_suffix_dedup
 from strideloom.llm.winnowing import op2_winnowing
 
@@ -28,5 +29,6 @@ QUERIES = {
     "op10_bag_minhash": op10_bag_minhash,
     "op11_filter_audit": op11_filter_audit,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_progressive_jpeg": op13_progressive_jpeg,
 }
 SQL = {"op4_source_mix": OP4_SQL, "op7_line_dedup": OP7_SQL, "op8_license_digests": op8_sql(), "op11_filter_audit": OP11_SQL}
