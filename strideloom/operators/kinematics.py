@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from strideloom.functions import angles
+from strideloom.operators import blocks
 from strideloom.schemas import JOINTS, SIDES, STRIKE_METRICS
 
 
@@ -41,21 +42,28 @@ def approach_angle(w: WindowSpec | None = None) -> Column:
     return F.atan2(move("ankle_y"), move("ankle_x"))
 
 
-def frame_kinematics(pose: DataFrame) -> DataFrame:
+def frame_kinematics(pose: DataFrame, block: int | None = None) -> DataFrame:
     """All metrics of STRIKE_METRICS at every frame and side, and n, the number of detected frames.
 
-    One shuffle by (video, side) serves all windows. A (video, side) is one recording, so its frames fit a task.
+    One shuffle by (video, side) serves all windows; the frames of one recording then meet in a task. With ``block`` they go by blocks of so many
+    frames, each with the three frames before and the one after that its metrics reach for.
     """
     xy = [F.col(f"{j}_{c}") for j in ("knee", "ankle") for c in "xy"]
     t = by_side(pose)
+    if block:
+        t, w = blocks.haloed(blocks.indexed(t, block=block), 3, 1, block), blocks.window()
+        place = {"idx": F.col("_i"), "n": F.col("_n")}
+    else:
+        w = series()
+        place = {"idx": F.row_number().over(w) - 1, "n": F.count(F.lit(1)).over(Window.partitionBy("video", "side"))}
     t = t.withColumns({
-        "ankle_x_vel": gradient(F.col("ankle_x")), "ankle_y_vel": gradient(F.col("ankle_y")),
-        "shin_velocity": gradient(F.col("knee_x") - F.col("ankle_x")),
-        "ankle_approach_angle": approach_angle(),
-        "idx": F.row_number().over(series()) - 1,
-        "n": F.count(F.lit(1)).over(Window.partitionBy("video", "side"))})
+        "ankle_x_vel": gradient(F.col("ankle_x"), w), "ankle_y_vel": gradient(F.col("ankle_y"), w),
+        "shin_velocity": gradient(F.col("knee_x") - F.col("ankle_x"), w),
+        "ankle_approach_angle": approach_angle(w), **place})
+    t = t.withColumn("ankle_velocity_pre_strike", clamped_lag(F.col("ankle_y_vel"), 2, w))
+    if block:
+        t = t.filter("_own").drop("_i", "_n", "_block", "_own")
     return t.withColumns({
-        "ankle_velocity_pre_strike": clamped_lag(F.col("ankle_y_vel"), 2),
         "tibial_angle": angles.tibial_up(*xy),
         "tibial_angle_down": angles.tibial_down(*xy),
         "knee_flexion_angle": angles.knee_flexion(F.col("hip_x"), F.col("hip_y"), *xy),

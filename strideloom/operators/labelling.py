@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from strideloom.functions import labels
+from strideloom.operators import blocks
 from strideloom.operators.ranges import range_join
 
 KEYS = ["video", "side"]
@@ -15,37 +16,53 @@ SHORTEST, LONGEST = max(1, Q1 - 3 * (Q3 - Q1) // 2), Q3 + 3 * (Q3 - Q1) // 2
 STEPS = 40
 
 
-def series() -> WindowSpec:
-    return Window.partitionBy(*KEYS).orderBy("frame")
+def series(order: tuple[str, ...] = ("frame",)) -> WindowSpec:
+    return Window.partitionBy(*KEYS).orderBy(*order)
 
 
-def label_fsm(keys: DataFrame) -> DataFrame:
+def _before(df: DataFrame, values: dict[str, Column], order: tuple[str, ...], how: str, block: int | None) -> DataFrame:
+    """df with the max or sum of each value over the rows of the series before, by a window or by blocks."""
+    if block:
+        return blocks.carried(df, values, tuple(KEYS), order, how, block)
+    upto = series(order).rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    return df.withColumns({k: F.max(v).over(upto) if how == "max" else F.coalesce(F.sum(v).over(upto), zero) for k, v in values.items()})
+
+
+def label_fsm(keys: DataFrame, order: tuple[str, ...] = ("frame",), block: int | None = None) -> DataFrame:
     """label_keys (video, side, frame, key, strike_key, overstride_key) to strikes.
 
     u notes the toe-off frame, a later one replaces it; d ends the swing and resets it, and makes a strike if its strike
-    key is h, m or f; c ends the series. So the last u since the last d counts, over all d, kept or not.
+    key is h, m or f; c ends the series. So the last u since the last d counts, over all d, kept or not. ``order`` says which of
+    several keys at one frame came first (frame and an ordinal). With ``block`` a series goes by blocks of so many frames, and only the last u, d and c
+    of each pass to the next.
     """
-    upto = series().rowsBetween(Window.unboundedPreceding, -1)
-    last = lambda k: F.max(F.when(F.col("key") == k, F.col("frame"))).over(upto)
-    t = keys.withColumns({"_u": last("u"), "_d": last("d"), "_c": last("c")}).filter("key = 'd' and _c is null")
-    t = t.withColumn("u_frame", F.when(F.col("_u") > F.coalesce("_d", F.lit(-1)), F.col("_u")))
+    place = F.struct(*order)
+    last = {f"_{k}": F.when(F.col("key") == k, place) for k in "udc"}
+    t = _before(keys, last, order, "max", block).filter("key = 'd' and _c is null")
+    t = t.withColumn("u_frame", F.when(F.col("_d").isNull() | (F.col("_u") > F.col("_d")), F.col("_u.frame")))
     t = t.withColumns({"strike_pattern": labels.strike_pattern(F.col("strike_key")), "overstriding": labels.overstriding(F.col("overstride_key"))})
     return t.filter("strike_pattern is not null").select(*KEYS, "frame", "strike_pattern", "overstriding", "u_frame")
 
 
-def legacy_cycles(keys: DataFrame) -> DataFrame:
-    """Cycles (video, side, u_frame, frame) that hold exactly one u before their d; others are left out."""
-    upto = series().rowsBetween(Window.unboundedPreceding, -1)
-    t = keys.filter("key in ('u', 'd')").withColumn("_g", F.coalesce(F.sum((F.col("key") == "d").cast("int")).over(upto), F.lit(0)))
+def legacy_cycles(keys: DataFrame, order: tuple[str, ...] = ("frame",), block: int | None = None) -> DataFrame:
+    """Cycles (video, side, u_frame, frame) that hold exactly one u before their d; others are left out. ``order`` and ``block`` as in label_fsm."""
+    t = _before(keys.filter("key in ('u', 'd')"), {"_g": (F.col("key") == "d").cast("int")}, order, "sum", block)
     t = t.groupBy(*KEYS, "_g").agg(
         F.count_if(F.col("key") == "u").alias("us"), F.max(F.when(F.col("key") == "u", F.col("frame"))).alias("u_frame"),
         F.max(F.when(F.col("key") == "d", F.col("frame"))).alias("frame"))
     return t.filter("us = 1 and frame is not null").select(*KEYS, "u_frame", "frame")
 
 
-def prev_strike(strikes: DataFrame) -> DataFrame:
-    """strikes with ``prev_frame``, the last strike of a strictly smaller frame: equal frames do not precede each other."""
-    return strikes.withColumn("prev_frame", F.max("frame").over(series().rangeBetween(Window.unboundedPreceding, -1)))
+def prev_strike(strikes: DataFrame, block: int | None = None) -> DataFrame:
+    """strikes with ``prev_frame``, the last strike of a strictly smaller frame: equal frames do not precede each other.
+
+    With ``block`` the distinct frames of a series go by blocks, and the last one of each passes to the next.
+    """
+    if not block:
+        return strikes.withColumn("prev_frame", F.max("frame").over(series().rangeBetween(Window.unboundedPreceding, -1)))
+    frames = blocks.carried(strikes.select(*KEYS, "frame").distinct(), {"prev_frame": F.col("frame")}, tuple(KEYS), block=block)
+    return strikes.join(frames, [*KEYS, "frame"])
 
 
 def labelled(strikes: DataFrame) -> DataFrame:
@@ -53,26 +70,25 @@ def labelled(strikes: DataFrame) -> DataFrame:
     return strikes.na.drop("any")
 
 
-def gait_cycles(strikes: DataFrame, shortest: int = SHORTEST, longest: int = LONGEST) -> DataFrame:
+def gait_cycles(strikes: DataFrame, shortest: int = SHORTEST, longest: int = LONGEST, block: int | None = None) -> DataFrame:
     """(video, side, start_frame, u_frame, end_frame) from each strike's predecessor to the frame before it, of usual duration."""
-    t = prev_strike(labelled(strikes)).filter("prev_frame is not null")
+    t = prev_strike(labelled(strikes), block).filter("prev_frame is not null")
     t = t.select(*KEYS, F.col("prev_frame").alias("start_frame"), "u_frame", (F.col("frame") - 1).alias("end_frame"))
     return t.filter(F.col("end_frame") >= F.col("start_frame")).filter((F.col("end_frame") - F.col("start_frame")).between(shortest, longest))
 
 
-def contact_intervals(strikes: DataFrame) -> DataFrame:
-    """(video, side, lo, hi, label, seq): 0 from toe-off to strike, 1 from the strike before to toe-off; a later seq overwrites."""
-    t = prev_strike(labelled(strikes)).withColumn("_n", F.row_number().over(series()))
-    both = F.array(
-        F.struct(F.col("u_frame").alias("lo"), F.col("frame").alias("hi"), F.lit(0).alias("label"), (F.col("_n") * 2).alias("seq")),
-        F.struct(F.col("prev_frame").alias("lo"), F.col("u_frame").alias("hi"), F.lit(1).alias("label"), (F.col("_n") * 2 + 1).alias("seq")))
+def contact_intervals(strikes: DataFrame, block: int | None = None) -> DataFrame:
+    """(video, side, lo, hi, label, seq): 0 from toe-off to strike, 1 from the strike before to toe-off; a later seq, the strike's frame and the label, overwrites."""
+    t = prev_strike(labelled(strikes), block)
+    span = lambda lo, hi, label: F.struct(F.col(lo).alias("lo"), F.col(hi).alias("hi"), F.lit(label).alias("label"), F.struct(F.col("frame"), F.lit(label)).alias("seq"))
+    both = F.array(span("u_frame", "frame", 0), span("prev_frame", "u_frame", 1))
     return t.select(*KEYS, F.explode(both).alias("i")).select(*KEYS, "i.*").filter("lo is not null")
 
 
-def contact_labels(frames: DataFrame, strikes: DataFrame) -> DataFrame:
+def contact_labels(frames: DataFrame, strikes: DataFrame, block: int | None = None) -> DataFrame:
     """(video, side, frame, label) of each distinct frame: 1 in contact, 0 not, null where no interval reaches; the last writer wins."""
     points = frames.select(*KEYS, "frame").distinct()
-    t = range_join(points, contact_intervals(strikes), KEYS, "frame", "lo", "hi", "left")
+    t = range_join(points, contact_intervals(strikes, block), KEYS, "frame", "lo", "hi", "left")
     return t.groupBy(*KEYS, "frame").agg(F.max_by("label", "seq").cast("int").alias("label"))
 
 

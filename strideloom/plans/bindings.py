@@ -47,7 +47,7 @@ def label_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def strikes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return label_fsm(label_keys(spark, sf_dir))
+    return label_fsm(label_keys(spark, sf_dir), ("frame", "event_id"))
 
 
 def contact_logits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -250,7 +250,44 @@ def classification_report(spark, d):
     return rounded(evaluation.classification_report(b.contact_logits(spark, d)), "precision", "recall", "f1")
 
 
+#: Frames of a block in the queries by block: the series at hand are short.
+SHORT = 24
+
+
+def blocked_kinematics(spark, d):
+    """frame_kinematics with each recording cut into blocks."""
+    cols = [*STRIKE_METRICS, "tibial_angle_down"]
+    return rounded(kinematics.frame_kinematics(b.pose_frames(spark, d), block=SHORT).select(*ID, *cols), *cols)
+
+
+def blocked_smooth(spark, d):
+    """savgol_smooth by blocks."""
+    return rounded(signal.savgol(b.signal_frames(spark, d).select(*ID, "ankle_y"), "ankle_y", "smooth", block=SHORT).select(*ID, "smooth"), "smooth")
+
+
+def blocked_peaks(spark, d):
+    """ankle_peaks in rounds over blocks."""
+    return signal.peaks(blocked_smooth(spark, d), "smooth", block=SHORT)
+
+
+def blocked_strikes(spark, d):
+    """Strikes with the strike before, both from state that passes from block to block."""
+    t = labelling.label_fsm(b.label_keys(spark, d), ("frame", "event_id"), SHORT)
+    return labelling.prev_strike(labelling.labelled(t), SHORT).select(*ID, "strike_pattern", "overstriding", "u_frame", "prev_frame")
+
+
+def blocked_legacy_cycles(spark, d):
+    """legacy_cycles by blocks."""
+    return labelling.legacy_cycles(b.label_keys(spark, d), ("frame", "event_id"), SHORT)
+
+
+def blocked_contact_labels(spark, d):
+    """contact_labels by blocks."""
+    return labelling.contact_labels(b.signal_frames(spark, d), labelling.label_fsm(b.label_keys(spark, d), ("frame", "event_id"), SHORT), SHORT)
+
+
 QUERIES = {f.__name__: f for f in (
+    blocked_kinematics, blocked_smooth, blocked_peaks, blocked_strikes, blocked_legacy_cycles, blocked_contact_labels,
     label_fsm, legacy_cycles, prev_strike, gait_cycles, contact_labels, cycle_slices, zscore_frames, cycle_tensor, relabel_apply, legacy_store,
     frame_kinematics, gradient, strike_features, strike_features_clamped, legacy_strike_features, savgol_smooth, ankle_peaks, peak_pairs, video_meta, cadence,
     vertical_oscillation, mean_oscillation, run_summary, frames_by_video, video_counts, strike_window, strike_union, strike_frames, strike_order,

@@ -233,3 +233,6 @@ SQL |= {
     for name, col in {
         "tibial_a": "tibial_angle", "tibial_b": "tibial_angle_down", "knee_flexion": "knee_flexion_angle", "trunk_angle": "trunk_angle",
         "approach_angle": "ankle_approach_angle", "ankle_hip_offset": "ankle_hip_horizontal_offset", "pre_strike_velocity": "ankle_velocity_pre_strike"}.items()}
+SQL |= {
+    "blocked_kinematics": SQL["frame_kinematics"], "blocked_smooth": SQL["savgol_smooth"], "blocked_peaks": SQL["ankle_peaks"], "blocked_legacy_cycles": SQL["legacy_cycles"],
+    "blocked_contact_labels": SQL["contact_labels"], "blocked_strikes": f"with {PREV} select video, side, frame, strike_pattern, overstriding, u_frame, prev_frame from prev"}

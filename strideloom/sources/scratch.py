@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
 
@@ -20,3 +20,10 @@ def scratch(spark: SparkSession, name: str) -> str:
             _own.append("file://" + tempfile.mkdtemp(prefix="strideloom-"))
         base = _own[0]
     return f"{base.rstrip('/')}/stores/{uuid.uuid4().hex}/{name}"
+
+
+def scratched(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the scratch folder and read back: a cut in its lineage that outlives executors."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
