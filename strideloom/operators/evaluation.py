@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strideloom.functions.angles import bce_with_logits
+from strideloom.sources.scratch import scratched
 
 
 def class_balance(df: DataFrame) -> DataFrame:
@@ -18,13 +19,14 @@ def masked_bce(df: DataFrame, by: list[str], pos_weight: DataFrame | None = None
     """by and ``loss``: the mean of the weighted loss over masked steps; padding targets count as 0 before they are masked out.
 
     The loss is linear in the weight, so that the sums of both parts, and the classes' counts if no ``pos_weight`` (one row) is
-    given, come from one pass over df.
+    given, come from one pass over df; a row for each group is then written, as both the loss and the weight need it.
     """
     y = F.when(F.col("mask"), F.col("label").cast("double")).otherwise(0.0)
     part = lambda w: F.sum(F.when(F.col("mask"), bce_with_logits(F.col("logit"), y, F.lit(w))))
     count = lambda k: F.count_if(F.col("mask") & (F.col("label") == k))
     sums = df.groupBy(*by).agg(part(0.0).alias("_rest"), (part(1.0) - part(0.0)).alias("_each"), F.count_if("mask").alias("_n"), count(0).alias("_neg"), count(1).alias("_pos"))
     if pos_weight is None:
+        sums = scratched(sums, "sums")
         neg, pos = F.sum("_neg"), F.sum("_pos")
         pos_weight = sums.agg(F.when(pos > 0, neg / pos).alias("pos_weight"))
     t = sums.crossJoin(F.broadcast(pos_weight.select("pos_weight")))  # one row

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strideloom.operators.labelling import contact_labels, label_fsm
 from strideloom.functions.angles import sigmoid_over
 from strideloom.schemas import JOINTS
+from strideloom.sources.scratch import scratched
 
 #: Held-out videos.
 TEST_VIDEOS = (3, 9, 13, 15)
@@ -38,23 +39,37 @@ def signal_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keys_of(signal_frames(spark, sf_dir))
+
+
+def keys_of(frames: DataFrame) -> DataFrame:
     key = F.when(F.col("event_type") == "view", "u").when(F.col("event_type") == "purchase", "d")
     strike, over = F.col("event_id") % 5, F.col("event_id") % 3
-    return signal_frames(spark, sf_dir).select(
+    return frames.select(
         "video", "side", "frame", key.alias("key"),
         F.when(strike.isin(0, 3), "h").when(strike == 1, "m").when(strike == 2, "f").otherwise("s").alias("strike_key"),
         F.when(over == 0, "o").when(over == 1, "n").otherwise("s").alias("overstride_key"), "event_id")
 
 
 def strikes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return label_fsm(label_keys(spark, sf_dir), ("frame", "event_id"))
+    return strikes_of(label_keys(spark, sf_dir))
+
+
+def strikes_of(keys: DataFrame) -> DataFrame:
+    return label_fsm(keys, ("frame", "event_id"))
+
+
+def prepared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """signal_frames and strikes, worked out once and written: for queries that need them more than once."""
+    frames = scratched(signal_frames(spark, sf_dir), "frames")
+    return frames, scratched(strikes_of(keys_of(frames)), "strikes")
 
 
 def contact_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(video, side, frame, logit, pred, label, mask): a logit for each frame and the truth from contact labelling."""
-    frames = signal_frames(spark, sf_dir)
+    frames, found = prepared(spark, sf_dir)
     logit = (F.col("ankle_y") - 50) / 25
-    t = frames.select("video", "side", "frame", logit.alias("logit")).join(contact_labels(frames, strikes(spark, sf_dir)), ["video", "side", "frame"])
+    t = frames.select("video", "side", "frame", logit.alias("logit")).join(contact_labels(frames, found), ["video", "side", "frame"])
     return t.withColumns({"pred": sigmoid_over(F.col("logit")), "mask": F.col("label").isNotNull()})
 
 

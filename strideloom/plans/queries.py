@@ -18,9 +18,10 @@ def rounded(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.round(c, DIGITS) for c in cols})
 
 
-def features(spark: SparkSession, d: str) -> DataFrame:
+def features(spark: SparkSession, d: str, frames: DataFrame | None = None) -> DataFrame:
     """Signal frames with their velocities."""
-    return b.signal_frames(spark, d).select(*ID, "ankle_y", "hip_y", kinematics.gradient(F.col("ankle_y")).alias("ankle_y_vel"), kinematics.gradient(F.col("hip_y")).alias("hip_y_vel"))
+    frames = b.signal_frames(spark, d) if frames is None else frames
+    return frames.select(*ID, "ankle_y", "hip_y", kinematics.gradient(F.col("ankle_y")).alias("ankle_y_vel"), kinematics.gradient(F.col("hip_y")).alias("hip_y_vel"))
 
 
 def label_fsm(spark, d):
@@ -53,8 +54,8 @@ def zscore_frames(spark, d):
 
 def cycle_tensor(spark, d):
     """The whole preparation: keys to strikes to cycles, labelled standardised frames, padded to 40 steps."""
-    strikes = b.strikes(spark, d)
-    frames = normalize.zscore(features(spark, d), FEATURES).join(labelling.contact_labels(b.signal_frames(spark, d), strikes), ID)
+    signals, strikes = b.prepared(spark, d)
+    frames = normalize.zscore(features(spark, d, signals), FEATURES).join(labelling.contact_labels(signals, strikes), ID)
     cut = labelling.cycle_frames(frames, labelling.gait_cycles(strikes))
     return rounded(labelling.padded(cut, FEATURES), *FEATURES)
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strideloom.functions.labels import side
-from strideloom.ml import contact_lstm
+from strideloom.ml import contact_lstm, forward
 from strideloom.operators import labelling, metrics
 from strideloom.plans import bindings as b
+from strideloom.plans.learned import fixed_network
 from strideloom.plans.queries import FEATURES, ID, QUERIES, features, rounded
 from strideloom.schemas import FRAMES, STRIKES
 from strideloom.sources import stores
@@ -66,6 +66,17 @@ def read_legacy_frames(spark, d):
     return rounded(t, "value")
 
 
+def legacy_round_trip(spark, d):
+    """The nested store of awkward rows: names with quotes and backslashes, null values, rows that are there twice."""
+    t = b.signal_frames(spark, d).select(
+        F.concat(F.lit('q"v\\'), F.col("video").cast("string")).alias("video"), "frame", F.concat(F.lit("s'"), "side").alias("side"),
+        F.explode(F.array(F.struct(F.lit('a"b').alias("name"), F.when(F.col("frame") % 5 > 0, F.col("ankle_y")).alias("value")), F.struct(F.lit("é, [n]").alias("name"), F.col("hip_y").alias("value")))).alias("p"))
+    t = t.select("video", "frame", "side", "p.*")
+    path = scratch(spark, "awkward")
+    stores.write_legacy(t.unionByName(t.filter("frame % 3 = 0")), path)
+    return stores.legacy_frames(spark, path, lines=True).select("video", "frame", "side", F.explode("features").alias("name", "value"))
+
+
 def pose_ingest(spark, d):
     """Detections of 17 keypoints, none in every seventh frame and two persons in others, to eight joints and a dense index."""
     x = lambda start: F.transform(F.sequence(F.lit(start), F.lit(start + 16)), lambda i: F.struct(
@@ -152,14 +163,10 @@ def video_store(spark, d):
 
 
 def weights_store(spark, d):
-    """A contact model's weights, of fixed values, saved and loaded."""
-    model = contact_lstm.ContactLstm(len(FEATURES))
-    for k, w in model.weights.items():
-        model.weights[k] = ((np.arange(w.size) * 37 % 101 - 50) / 100).reshape(w.shape)
+    """Logits of all cycles by a network whose weights were saved and loaded."""
     path = scratch(spark, "weights")
-    contact_lstm.save(spark, model, path)
-    rows = [(k, int(i), float(x)) for k, w in contact_lstm.load(spark, path).weights.items() for i, x in enumerate(w.ravel())]
-    return spark.createDataFrame(rows, "name string, i long, value double")
+    contact_lstm.save(spark, fixed_network(), path)
+    return rounded(forward.logits(QUERIES["cycle_tensor"](spark, d), contact_lstm.load(spark, path), FEATURES), "logit").drop("mask")
 
 
 def streamed_labels(spark, d):
@@ -173,5 +180,5 @@ def streamed_labels(spark, d):
 
 
 STORE_QUERIES = {f.__name__: f for f in (
-    read_strikes, side_names, read_missing, read_frame_tables, read_legacy_frames, pose_ingest, video_paths, append_twice, replace_twice, overwrite_meta,
+    read_strikes, side_names, read_missing, read_frame_tables, read_legacy_frames, legacy_round_trip, pose_ingest, video_paths, append_twice, replace_twice, overwrite_meta,
     relabel_store, lines_of_two_runs, report_store, video_store, weights_store, streamed_labels)}

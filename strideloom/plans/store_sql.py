@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from strideloom.ml.contact_lstm import HIDDEN
-from strideloom.plans.sql import FEATURE_ROWS, FEATURES, KEYS, META, SIGNAL, SQL, STRIKES
+from strideloom.plans.learned_sql import FORWARD
+from strideloom.plans.sql import FEATURE_ROWS, KEYS, META, SIGNAL, SQL, STRIKES
 
 # Indices of the joints among the 17 keypoints.
 JOINTS = {"left_shoulder": 5, "right_shoulder": 6, "left_hip": 11, "right_hip": 12, "left_knee": 13, "right_knee": 14, "left_ankle": 15, "right_ankle": 16}
-_sizes = {f"{w}{way}": n for way in "fb" for w, n in (("w", len(FEATURES) * 4 * HIDDEN), ("u", HIDDEN * 4 * HIDDEN), ("c", 4 * HIDDEN))} | {"out": 2 * HIDDEN, "bias": 1}
 _points = ", ".join(f"round(embedding[{i + 1}]::double, 6) as {j}_x, round(embedding[{i + 18}]::double, 6) as {j}_y" for j, i in JOINTS.items())
 
 STORE_SQL = {
@@ -18,6 +17,10 @@ STORE_SQL = {
 select video, frame, side, round(ankle_y_vel, 6) as ankle_x_vel, round(hip_y, 6) as tibial_angle, round(ankle_y, 6) as shin_velocity, round(hip_y_vel, 6) as ankle_y_vel
 from features where frame % 5 > 0 and ankle_y_vel is not null and hip_y_vel is not null""",
     "read_legacy_frames": SQL["legacy_store"],
+    "legacy_round_trip": f"""with {SIGNAL}, least as (select video, frame, min(side) as side from signal group by 1, 2),
+t as (select 'q"v\\' || s.video as video, frame::int as frame, 's''' || side as side, ankle_y, hip_y from signal s join least using (video, frame, side))
+select video, frame, side, 'a"b' as name, case when frame % 5 > 0 then ankle_y end as value from t
+union all select video, frame, side, 'é, [n]', hip_y from t""",
     "pose_ingest": f"""select label as video, vec_id as frame, (row_number() over (partition by label order by vec_id) - 1)::int as idx, {_points} from embeddings where vec_id % 7 > 0""",
     "video_paths": f"""with {SIGNAL}, {META} select video, case video % 3 when 0 then 'runs/' || video || '.MOV' when 1 then 'runs/' || video || '.mp4' end as path from meta""",
     "append_twice": f"with {STRIKES} select video, 2 * count(*) as n from strikes group by video",
@@ -28,7 +31,7 @@ select video, frame, max_by(label, (run, label)) as label, count(*) as n from r
     "lines_of_two_runs": f"with c as ({SQL['cadence']}) select * from c union all select * from c",
     "report_store": f"""with s as ({SQL['run_summary']}), c as ({SQL['cadence']}), o as ({SQL['mean_oscillation']}) select * from s join c using (video) left join o using (video)""",
     "video_store": f"with {SIGNAL}, {META} select video, fps::double as fps, frame_count, round(frame_count / fps, 6) as duration from meta",
-    "weights_store": " union all ".join(f"select '{k}' as name, i, (i * 37 % 101 - 50) / 100 as value from range({n}) t(i)" for k, n in _sizes.items()),
+    "weights_store": f"{FORWARD} select video, side, start_frame, t, label, logit from preds",
     "streamed_labels": f"with {STRIKES} select video, side, frame, strike_pattern, overstriding, u_frame from strikes",
 }
 for _name in ("read_strikes", "read_frame_tables", "read_legacy_frames", "pose_ingest", "relabel_store"):

@@ -39,13 +39,19 @@ def frame_tables(spark: SparkSession, path: str, lines: bool = False) -> DataFra
 
 
 def legacy_frames(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Objects of video to frame to [[name, value], ..., side], each file one or with ``lines`` each line: (video, frame, side, features: map of name to value)."""
-    kind = T.MapType(T.StringType(), T.MapType(T.StringType(), T.ArrayType(T.StringType())))
-    whole = spark.read.text(path, wholetext=not lines).select(F.from_json("value", kind).alias("m"))
-    t = whole.select(F.explode("m").alias("video", "frames")).select("video", F.explode("frames").alias("frame", "values"))
-    pair = lambda v: F.from_json(v, "array<string>")
-    pairs = F.transform(F.slice("values", 1, F.size("values") - 1), lambda v: F.struct(F.element_at(pair(v), 1), F.element_at(pair(v), 2).cast("double")))
-    return t.select("video", F.col("frame").cast("int").alias("frame"), F.element_at("values", -1).alias("side"), F.map_from_entries(pairs).alias("features"))
+    """Objects of video to frame to [[name, value], ..., side], each file one or with ``lines`` each line: (video, frame, side, features: map of name to value).
+
+    Lists of pairs and a name are read as variants. A value may be null; of a name that a frame has twice the later counts.
+    """
+    rows = spark.read.text(path, wholetext=not lines).select(F.parse_json("value").alias("v"))
+    videos = rows.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select(F.col("key").alias("video"), F.col("value").alias("frames"))
+    frames = videos.lateralJoin(spark.tvf.variant_explode(F.col("frames").outer())).select("video", F.col("key").cast("int").alias("frame"), F.col("value").cast("array<variant>").alias("entry"))
+    read = lambda v: F.struct(F.variant_get(v, "$[0]", "string").alias("name"), F.variant_get(v, "$[1]", "double").alias("value"))
+    pairs = F.transform(F.slice("entry", 1, F.size("entry") - 1), read)
+    later = lambda i: F.slice("pairs", i + 2, F.size("pairs"))
+    last = F.filter("pairs", lambda p, i: ~F.exists(later(i), lambda q: q["name"] == p["name"]))
+    t = frames.select("video", "frame", F.variant_get(F.element_at("entry", -1), "$", "string").alias("side"), pairs.alias("pairs"))
+    return t.select("video", "frame", "side", F.map_from_entries(last).alias("features"))
 
 
 def pose_frames(detections: DataFrame) -> DataFrame:
@@ -84,12 +90,18 @@ def append_lines(df: DataFrame, path: str) -> None:
 
 
 def write_legacy(rows: DataFrame, path: str) -> None:
-    """Rows (video, frame, side, name, value) in the nested form that legacy_frames reads, a video a line."""
-    each = F.struct(F.concat(F.lit("["), F.to_json(F.array("name")).substr(F.lit(2), F.length(F.to_json(F.array("name"))) - 2), F.lit(","), F.col("value").cast("string"), F.lit("]")).alias("pair"))
-    frames = rows.groupBy("video", "frame", "side").agg(F.array_join(F.transform(F.array_sort(F.collect_list(each)), lambda x: x["pair"]), ",").alias("pairs"))
-    entry = F.concat(F.lit('"'), F.col("frame").cast("string"), F.lit('":['), "pairs", F.lit(',"'), "side", F.lit('"]'))
-    videos = frames.groupBy("video").agg(F.array_join(F.collect_list(entry), ",").alias("frames"))
-    videos.select(F.concat(F.lit('{"'), F.col("video").cast("string"), F.lit('":{'), "frames", F.lit("}}")).alias("value")).write.mode("overwrite").text(path)
+    """Rows (video, frame, side, name, value) in the nested form that legacy_frames reads, a video a line.
+
+    Null values, repeated rows and names of any characters are kept. The form has one side for each frame: where rows have two, the lesser, as in ``legacy_store``.
+    A line holds a video's frames, as the form asks.
+    """
+    pairs = rows.groupBy("video", "frame", "side").agg(F.array_sort(F.collect_list(F.struct("name", "value"))).alias("pairs"))
+    frames = pairs.groupBy("video", "frame").agg(F.min(F.struct("side", "pairs")).alias("one"))
+    variant = lambda c: c.cast("variant")
+    pair = F.transform("one.pairs", lambda p: variant(F.array(variant(p["name"]), variant(p["value"]))))
+    entry = F.struct(F.col("frame").cast("string"), F.array_append(pair, variant(F.col("one.side"))))
+    videos = frames.groupBy("video").agg(F.map_from_entries(F.collect_list(entry)).alias("frames"))
+    videos.select(F.to_json(F.create_map(F.col("video").cast("string"), "frames"), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
 
 
 def append_relabels(df: DataFrame, path: str, run: int) -> None:

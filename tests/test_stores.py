@@ -29,6 +29,16 @@ def test_legacy_frames(spark, tmp_path):
     assert (r.video, r.frame, r.side, r.features) == ("Video1", 12, "L", {"m": 1.5, "n": -2.0})
 
 
+def test_legacy_store_keeps_what_it_is_given(spark, tmp_path):
+    """Nulls, quotes, repeated rows, both sides at one frame."""
+    rows = [('q"v', 1, "L", "m", None), ('q"v', 1, "L", 'n"\\', 2.5), ('q"v', 1, "L", "m", None), ("w", 1, "R", "m", 1.0), ("w", 1, "L", "m", 3.0), ("w", 2, "R", "x", -1e-9)]
+    stores.write_legacy(spark.createDataFrame(rows, "video string, frame int, side string, name string, value double"), str(tmp_path / "l"))
+    docs = {k: v for f in (tmp_path / "l").glob("part-*") for line in f.read_text().splitlines() for k, v in json.loads(line).items()}
+    assert docs['q"v'] == {"1": [["m", None], ["m", None], ['n"\\', 2.5], "L"]}
+    got = {(r.video, r.frame): (r.side, r.features) for r in stores.legacy_frames(spark, str(tmp_path / "l"), lines=True).collect()}
+    assert got == {('q"v', 1): ("L", {"m": None, 'n"\\': 2.5}), ("w", 1): ("L", {"m": 3.0}), ("w", 2): ("R", {"x": -1e-9})}
+
+
 def test_pose_frames_skip_and_take_the_first_person(spark):
     person = lambda k: [{"x": float(i + k), "y": 0.0} for i in range(17)]
     df = spark.createDataFrame([("a", 0, [person(0)]), ("a", 1, []), ("a", 2, [person(5), person(9)])], PERSONS)
@@ -72,3 +82,14 @@ def test_entry_without_the_text_subpackage(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, capture_output=True, text=True, env=env)
     assert out.returncode == 0, out.stderr
+
+
+def test_entry_where_a_module_lacks_that_the_text_subpackage_needs():
+    import os
+    import subprocess
+    import sys
+
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import sys; sys.modules['sentencepiece'] = sys.modules['zstandard'] = None; import __spark_entry__ as e; print(*e.queries())"
+    out = subprocess.run([sys.executable, "-c", code], cwd=here, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": here})
+    assert out.returncode == 0 and "cycle_tensor" in out.stdout, out.stderr
