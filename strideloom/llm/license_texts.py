@@ -72,8 +72,8 @@ subject to the following restrictions:
    misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution."""
 
-# Licence texts without their copyright lines, with and without their titles; all that the SQL knows.
-BASIC_LICENSES = {
+# Licence texts without their copyright lines, some with their titles.
+SHORT_LICENSES = {
     "MIT": _MIT,
     "MIT (titled)": f"MIT License\n\n{_MIT}",
     "MIT-0": f"{_MIT_GRANT}.\n\n{_MIT_WARRANTY}",
@@ -83,8 +83,6 @@ BASIC_LICENSES = {
     "BSD-3-Clause": _BSD_CONDITIONS + _BSD_NAMES + _BSD_WARRANTY,
     "Zlib": _ZLIB,
     "Zlib (titled)": f"zlib License\n\n{_ZLIB}",
-    "MIT (line)": "Released under the MIT License.",
-    "Apache-2.0 (line)": "Licensed under the Apache License, Version 2.0.",
 }
 
 _TITLES = {
@@ -97,10 +95,6 @@ _TITLES = {
     "Zlib": ["The zlib License"],
     "Unlicense": ["The Unlicense", "Unlicense"],
 }
-_LINES = {
-    "GPL-3.0 (line)": "This work is licensed under the GNU General Public License, version 3.",
-    "CC-BY-NC-4.0 (line)": "Licensed under CC BY-NC 4.0.",
-}
 _END = "END OF TERMS AND CONDITIONS"
 
 
@@ -121,7 +115,7 @@ def _titled(texts: dict[str, str]) -> dict[str, str]:
 
 
 # All known texts.
-LICENSES = BASIC_LICENSES | _LINES | _full_texts()
+LICENSES = SHORT_LICENSES | _full_texts()
 LICENSES |= _titled(LICENSES)
 
 # Spellings taken as equal, as runs of lower-case words.

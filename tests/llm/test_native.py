@@ -7,6 +7,7 @@ import textwrap
 import zlib
 from pathlib import Path
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -268,7 +269,7 @@ def test_full_and_titled_licenses(spark):
         assert len(text.splitlines()) >= lines, name
         rows.append((i, text, name))
     rows += [(100, "BSD 3-Clause License\n\nCopyright (c) 2020, X\n\n" + LICENSES["BSD-3-Clause"], "BSD-3-Clause"), (101, "ISC License\n\nCopyright (c) 2020 X\n\n" + LICENSES["ISC"], "ISC")]
-    rows += [(102, "Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"), (103, (FULL / "GPL-3.0.txt").read_text() + " and more", None)]
+    rows += [(102, "Licensed under CC BY-NC 4.0.", None), (103, (FULL / "GPL-3.0.txt").read_text() + " and more", None)]
     got = {r.doc_id: r.license_id for r in license_scan.scan(docs(spark, [(i, t, None) for i, t, _ in rows]), license_scan.known_licenses(spark)).collect()}
     assert {i: g and g.split(" (")[0] for i, g in got.items()} == {i: name for i, _, name in rows}
 
@@ -284,15 +285,36 @@ def test_license_notices(spark):
     notices = ["Copyright Google LLC", "Copyright The Foo Authors 2020", "Portions Copyright (c) 2019 X, Inc.", "Copyright (c) 2020 X, Inc. and Y. All rights reserved.", "(c) 2020 X", "# Copyright: X"]
     assert license_ids(spark, [f"{n}\n\n{t}" for n in notices for t in (mit, bsd)]) == ["MIT", "BSD-3-Clause"] * len(notices)
     assert license_ids(spark, ["Copyright (c) 2020 X. " + one, "MIT License Copyright (c) 2020 X " + one, "Copyright Google LLC. All rights reserved. " + one]) == ["MIT"] * 3
-    more = ["Это другой текст", "其他条款适用", "Copyright (c) 2020 X. You may not use this at all.", "Copyright (c) 2020 X. " + "Other terms. " * 30, "copyright notice to come"]
+    more = ["Это другой текст", "其他条款适用", "Copyright (c) 2020 X. You may not use this at all.", "Copyright (c) 2020 X.\n" + "Other terms. " * 30, "copyright notice to come"]
     assert license_ids(spark, [f"{mit}\n\n{m}" for m in more]) == [None] * len(more)
     known = license_scan.known_licenses(spark).collect()
     empty = hashlib.sha256(b"").hexdigest()
     assert not any(r.digest == empty for r in known)
-    forms = [r.w for r in spark.createDataFrame([("Это текст",), ("其他条款",)], "t string").select(license_scan.whole(F.col("t")).alias("w")).collect()]
+    forms = [r.w for r in spark.createDataFrame([("Это текст",), ("其他条款",)], "t string").select(license_scan.canonical(F.col("t")).alias("w")).collect()]
     assert forms == ["это текст", "其他条款"]
 
 
+def test_long_notices(spark):
+    """A notice may be as long as its line, and many may stand on one."""
+    mit = LICENSES["MIT"]
+    one = " ".join(mit.split())
+    holders = "Copyright (c) 2020 " + ", ".join(f"Holder {i} of Some Works" for i in range(20_000))
+    assert license_ids(spark, [f"{holders}\n\n{mit}", f"{holders} {one}", "Copyright (c) 2020 X " * 20_000 + one, "MIT License " + "Copyright (c) 2020 X, " * 5000 + one, one + " Copyright (c) 2020 X " * 5000]) == ["MIT"] * 4 + [None]
+
+
+def test_license_sql_knows_the_same_texts(spark, tmp_path):
+    """The query and its SQL on a table with planted whole licences, long notices, other scripts and nulls."""
+    texts = [*LICENSES.values(), *(f"Copyright (c) 2001-2020 {'Some Holder, ' * 40}\n\n{t}".replace("a copy", "A-COPY") for t in LICENSES.values())]
+    texts += [None, "", " \t\n", "Это текст © 2020", "MIT License Copyright (c) 2020 X " + " ".join(LICENSES["MIT"].split()), "some parts of this work are copyright 2020 X\nand more", "the copyright holder is", "copyright holders are", "A line\r\n(c) 2020 Y\r\nB"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.canonical_sha256, r.license_id) for r in registry.QUERIES["op8_license_digests"](spark, str(tmp_path)).collect()}
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert {d: (x, i) for d, x, i in c.sql(f"select doc_id, canonical_sha256, license_id from ({registry.SQL['op8_license_digests']})").fetchall()} == got
+    n = len(LICENSES)
+    assert all(got[i][1] and got[i] == got[n + i] for i in range(n))
+
+
 def test_license_of_rewrapped_text(spark):
     """A text's lines may break anywhere, and be one."""
     names = [n for n in LICENSES if "\n" in LICENSES[n] and not re.search(r"copyright[ \t]*(\(c\)|©|\[)", LICENSES[n], re.I)]
