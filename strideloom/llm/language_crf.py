@@ -30,6 +30,8 @@ CHUNK = 2_000_000
 #: Words seen so often in the sample are in the lexicon.
 LEXICON_MIN = 3
 TABLE_WORDS, GROUP_WORDS, BLOCK = 200_000, 300_000, 16
+#: Entries of the products of blocks that are held at once: 32 MB, and as much again while they are multiplied.
+PAIRS = 1 << 22
 WORD = re.compile(r"[^\W\d_]{1,32}")
 UNKNOWN = "und"
 
@@ -82,27 +84,29 @@ def posteriors(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> np
 
     Texts are cut into blocks. Products of a block's step matrices come first, for all blocks at once; then
     the messages into each block, from text start and text end, block after block; then the words within.
-    So a text of n words takes n / BLOCK + 2 BLOCK vector steps instead of n.
+    So a text of n words takes n / BLOCK + 2 BLOCK vector steps instead of n. Blocks are longer where their products, of one entry for each
+    pair of labels, would have over PAIRS entries.
     """
     n, k = scores.shape
-    per = -(-lengths // BLOCK)
+    block = max(BLOCK, -(-n * k * k // PAIRS))
+    per = -(-lengths // block)
     first = np.concatenate([[0], np.cumsum(per)])  # of each text's blocks
     nb = int(first[-1])
     text_at = np.concatenate([[0], np.cumsum(lengths)])[:-1]
     owner = np.repeat(np.arange(len(lengths)), lengths)
     place = np.arange(n) - text_at[owner]
-    row, col = first[owner] + place // BLOCK, place % BLOCK
-    emit = np.ones((nb, BLOCK, k))
+    row, col = first[owner] + place // block, place % block
+    emit = np.ones((nb, block, k))
     emit[row, col] = np.exp(scores - scores.max(1, keepdims=True))
-    real = np.zeros((nb, BLOCK), bool)
+    real = np.zeros((nb, block), bool)
     real[row, col] = True
     a = np.exp(moves)
     norm = lambda x, axes: x / x.sum(axes, keepdims=True)
 
     product = np.broadcast_to(np.eye(k), (nb, k, k)).copy()
-    for t in range(BLOCK):
-        ahead = norm((product.reshape(-1, k) @ a).reshape(nb, k, k) * emit[:, t, None, :], (1, 2))
-        product = np.where(real[:, t, None, None], ahead, product)
+    for t in range(block):
+        on = real[:, t]  # a block that has ended stays as it is
+        product[on] = norm((product[on].reshape(-1, k) @ a).reshape(-1, k, k) * emit[on, t, None, :], (1, 2))
 
     # longest texts first, so that those still going are always the first few
     order = np.argsort(-per, kind="stable")
@@ -116,13 +120,13 @@ def posteriors(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> np
         f[:m] = norm(np.einsum("nk,nkj->nj", f[:m], product[at]), 1)
         b[:m] = norm(np.einsum("nkj,nj->nk", product[end], b[:m]), 1)
 
-    forth = np.empty((nb, BLOCK, k))
+    forth = np.empty((nb, block, k))
     f = into
-    for t in range(BLOCK):
+    for t in range(block):
         f = np.where(real[:, t, None], norm((f @ a) * emit[:, t], 1), f)
         forth[:, t] = f
     b = back
-    for t in reversed(range(BLOCK)):
+    for t in reversed(range(block)):
         forth[:, t] *= b
         b = np.where(real[:, t, None], norm((b * emit[:, t]) @ a.T, 1), b)
     return norm(forth[row, col], 1)
@@ -260,7 +264,7 @@ def label(docs: DataFrame, crf: Crf, spans: bool = False) -> DataFrame:
     to the first name. certainty is the mean over the words of each one's greatest probability: high where several languages are
     mixed but each word's is plain. A null text or one without letters is ``und``, score and certainty 0, as are all texts when nothing was learned. spans
     is an array of (first word, number of words, lang). Columns of these names are replaced; repeated rows
-    stay; an empty table gives no rows. Texts are scored whole, in groups of bounded size.
+    stay; an empty table gives no rows. Texts are scored whole, in groups of bounded size; memory grows as words by languages, for the longest text of a group alone.
     """
     docs = docs.drop("lang_pred", "score", "certainty", "spans")
     shipped = docs.sparkSession.sparkContext.broadcast((crf.langs, crf.weights, crf.moves, crf.lexicon))  # half a MB a language, and the lexicon of the bounded sample
@@ -305,19 +309,27 @@ def label(docs: DataFrame, crf: Crf, spans: bool = False) -> DataFrame:
             pred, score, certain, runs = [UNKNOWN] * n, np.zeros(n), np.zeros(n), [[] for _ in range(n)]
             pending, lines, size = [], [], 0
             texts = batch.column("text")
+
+            def close() -> None:
+                nonlocal pending, lines, size
+                best, top, sure, cut = group(lines)
+                for j, g, s, c, r in zip(pending, best, top, sure, cut or [[]] * len(lines)):
+                    pred[j], score[j], certain[j], runs[j] = model.langs[g], s, c, r
+                pending, lines, size = [], [], 0
+
             for i in range(n + 1):
                 line = words_of(texts[i].as_py()) if i < n and k else []
                 if line and not all(map(str.isalpha, line)):
                     line = [w for w in line if any(map(str.isalpha, w))]
+                room = PAIRS // max(1, k * k)  # blocks of a group of several texts
+                if pending and line and (size + len(line)) // BLOCK + len(lines) >= room:
+                    close()
                 if line:
                     pending.append(i)
                     lines.append(line)
                     size += len(line)
                 if pending and (size >= GROUP_WORDS or i == n):
-                    best, top, sure, cut = group(lines)
-                    for j, g, s, c, r in zip(pending, best, top, sure, cut or [[]] * len(lines)):
-                        pred[j], score[j], certain[j], runs[j] = model.langs[g], s, c, r
-                    pending, lines, size = [], [], 0
+                    close()
             more = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(certain, pa.float64()), *([pa.array(runs, kind)] if spans else [])]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "lang_pred", "score", "certainty", *(["spans"] if spans else [])])
 

@@ -74,7 +74,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
     A document that the cut of its source's budget falls into is not split: it comes whole, so a source exceeds its target
     by less than one document. A document without words takes no part of any budget; it stays, once. Rows alike in doc_id, source and
-    text share their copies evenly, the first ones taking one more. Texts move once, by the hash of doc_id, source and text. Nulls
+    text share their copies evenly, those of least hash of all columns taking one more. Texts move once, by the hash of doc_id, source and text. Nulls
     as in ``mix``; columns of any name stay; an empty table gives no rows.
     """
     m = mix(docs, hashed=True)
@@ -83,7 +83,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     t = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("d"), F.col("source").alias("s"), F.xxhash64("text").alias("h"))
     on = F.col("d").eqNullSafe(F.col("doc_id")) & F.col("s").eqNullSafe(F.col("source")) & (F.col("h") == F.col("text_hash"))
     t = t.join(alike.filter("copies > 0").hint("merge"), on)
-    place = F.row_number().over(Window.partitionBy("doc_id", "source", "text_hash").orderBy(F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("doc_id", "source", "text_hash").orderBy(F.xxhash64("row")))
     t = t.withColumn("place", F.when(F.col("rows") > 1, place).otherwise(1))
     n = F.expr("copies div rows + if(place <= copies % rows, 1, 0)").cast("int")
     return t.select("row", n.alias("n")).filter("n > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")

@@ -145,6 +145,40 @@ def test_forward_backward_like_a_loop():
         at += n
 
 
+def test_forward_backward_with_many_languages(monkeypatch):
+    """Longer blocks give the same; a group of 100 languages takes no more than it should."""
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    lengths = np.array([700, 1, 40, 3])
+    scores, moves = rng.normal(size=(lengths.sum(), 5)), rng.normal(size=(5, 5))
+    want = language_crf.posteriors(scores, lengths, moves)
+    monkeypatch.setattr(language_crf, "PAIRS", 400)
+    assert np.allclose(language_crf.posteriors(scores, lengths, moves), want)
+    monkeypatch.undo()
+    k = 100
+    n = language_crf.PAIRS // (k * k) * language_crf.BLOCK
+    scores, moves = rng.normal(size=(n, k)), rng.normal(size=(k, k))
+    tracemalloc.start()
+    language_crf.posteriors(scores, np.array([n]), moves)
+    assert tracemalloc.get_traced_memory()[1] < 500e6
+    tracemalloc.stop()
+
+
+def test_op6_query(spark):
+    """The registered query: which documents are held out, what has no letter, and that most held-out labels are found."""
+    t = {r.doc_id: r for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    got = {r.doc_id: r for r in language_crf.op6_language_crf(spark, "/root/testdata/sf0.01").collect()}
+    assert set(got) == set(t)
+    right = []
+    for i, r in got.items():
+        assert r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) and 0 <= r.score <= 1
+        assert (r.lang_pred == "und") == (not any(map(str.isalpha, t[i].text or "")))
+        if r.held_out and t[i].lang is not None and r.lang_pred != "und":
+            right.append(r.lang_pred == t[i].lang)
+    assert len(right) > 100 and sum(right) > 0.9 * len(right)
+
+
 def test_gradient_like_differences():
     rng = np.random.default_rng(4)
     flat, owner = rng.integers(0, 12, 30), np.sort(rng.integers(0, 9, 30))

@@ -158,6 +158,28 @@ def test_mixed_documents_repeat(spark):
     assert {r.doc_id: r["count"] for r in got.groupBy("doc_id").count().collect()} == {i: n for i, n in m.items() if n}
 
 
+def test_mixed_documents_of_rows_alike_but_for_a_column(spark):
+    """Which of them comes once more does not hang on how the rows are dealt."""
+    rows = [(1, "a b c", "en", "s", 5, f"p{i}", "z", i) for i in range(7)] + [(2, "d " * 40, "en", "t", 5, "q", "z", 1)]
+    runs = {tuple(sorted((r.doc_id, r.extra) for r in mixing.mixed_documents(spark.createDataFrame(some, DOC).repartition(n)).collect())) for n, some in ((1, rows), (3, rows[::-1]), (7, rows))}
+    assert len(runs) == 1
+
+
+def test_op3_query_like_its_definition(spark):
+    """The registered query: sizes, checksums and slots; shards of nearly equal numbers that are runs of one curve."""
+    t = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    got = {r.doc_id: r for r in registry.QUERIES["op3_hilbert_shards"](spark, "/root/testdata/sf0.001").collect()}
+    assert set(got) == {r.doc_id for r in t}
+    for r in t:
+        raw = (r.text or "").encode()
+        assert (got[r.doc_id].size, got[r.doc_id].text_crc32) == (len(raw) + 1, zlib.crc32(raw))
+    shards = {}
+    for r in got.values():
+        shards.setdefault(r.shard, []).append(r.slot)
+    assert set(shards) == set(range(16)) and all(sorted(x) == list(range(len(x))) for x in shards.values())
+    assert {r.law for r in got.values()} == {"rows"} and max(map(len, shards.values())) - min(map(len, shards.values())) <= 1
+
+
 def test_mixed_documents_one_by_one(spark):
     """Repeated rows, null ids, columns of clashing names: copies are those of each row."""
     rows = [(None, "w " * 10, "a")] * 3 + [(7, "w " * 10, "a")] * 4 + [(8, None, "a"), (8, "", None)] + [(i, "w " * 30, "b") for i in range(20, 30)]
@@ -402,6 +424,25 @@ def test_edited(spark):
     assert winnowing.edited_fingerprints(docs(spark, [])).count() == 0
 
 
+def brute_likeness(a, b):
+    a, b = ({x.split("@")[0] for x in f.split()} for f in (a, b))
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_op2_likeness(spark):
+    """near_edited and near_next, from fingerprints of the same texts each worked out alone."""
+    got = {r.doc_id: r for r in registry.QUERIES["op2_winnowing"](spark, "/root/testdata/sf0.001").collect()}
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    order = sorted(texts, reverse=True)
+    for i, j in zip(order, order[1:] + order[:1]):
+        r = got[i]
+        assert r.near_edited == pytest.approx(brute_likeness(r.fingerprint, r.edited_fingerprint))
+        assert r.near_next == pytest.approx(brute_likeness(r.fingerprint, got[j].fingerprint))
+    edited = {i: texts[i][: len(texts[i]) - len(texts[i]) // 2] + texts[j][: len(texts[i]) // 2] for i, j in zip(order, order[1:] + order[:1])}
+    alone = winnowing.with_fingerprint(spark.createDataFrame(list(edited.items()), "doc_id long, text string"), "text", "fp")
+    assert {r.doc_id: r.f for r in alone.select("doc_id", winnowing.shown(F.col("fp")).alias("f")).collect()} == {i: r.edited_fingerprint for i, r in got.items()}
+
+
 def test_op2_digests(spark):
     t = {r.doc_id: r for r in registry.QUERIES["op2_winnowing"](spark, "/root/testdata/sf0.001").collect()}
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
