@@ -77,6 +77,24 @@ def gait_cycles(strikes: DataFrame, shortest: int = SHORTEST, longest: int = LON
     return t.filter(F.col("end_frame") >= F.col("start_frame")).filter((F.col("end_frame") - F.col("start_frame")).between(shortest, longest))
 
 
+def durations(strikes: DataFrame) -> DataFrame:
+    """(video, side, duration) of all cycles, usual or not: frames from a strike to the frame before the next."""
+    t = prev_strike(labelled(strikes)).filter("prev_frame is not null")
+    return t.select(*KEYS, (F.col("frame") - 1 - F.col("prev_frame")).alias("duration"))
+
+
+def duration_limits(cycles: DataFrame, by: list[str], k: int = 4096) -> DataFrame:
+    """by, cycles, q1, q3, shortest, longest: fences of 1.5 interquartile ranges about the quartiles of ``duration``, at least 1, in one pass.
+
+    Quartiles come from a mergeable sketch of ``k``: values of rank within about 1/k of a quarter, and exact for up to k cycles of a group. So a group of any size
+    is a sketch to whoever merges it.
+    """
+    t = cycles.groupBy(*by).agg(F.count(F.lit(1)).alias("cycles"), F.kll_sketch_agg_bigint(F.col("duration").cast("long"), k).alias("sketch"))
+    t = t.withColumns({q: F.kll_sketch_get_quantile_bigint("sketch", F.lit(x)) for q, x in (("q1", 0.25), ("q3", 0.75))})
+    reach = 1.5 * (F.col("q3") - F.col("q1"))
+    return t.select(*by, "cycles", "q1", "q3", F.greatest(F.lit(1.0), F.col("q1") - reach).alias("shortest"), (F.col("q3") + reach).alias("longest"))
+
+
 def contact_intervals(strikes: DataFrame, block: int | None = None) -> DataFrame:
     """(video, side, lo, hi, label, seq): 0 from toe-off to strike, 1 from the strike before to toe-off; a later seq, the strike's frame and the label, overwrites."""
     t = prev_strike(labelled(strikes), block)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideloom.operators import evaluation, kinematics, labelling, metrics, normalize, sets, signal
+from strideloom.operators import evaluation, kinematics, labelling, loader, metrics, normalize, sets, signal
 from strideloom.plans import bindings as b
 from strideloom.schemas import STRIKE_METRICS
 
@@ -251,6 +251,16 @@ def classification_report(spark, d):
     return rounded(evaluation.classification_report(b.contact_logits(spark, d)), "precision", "recall", "f1")
 
 
+def duration_limits(spark, d):
+    """Limits of a cycle's duration from the data, by side."""
+    return labelling.duration_limits(labelling.durations(b.strikes(spark, d)), ["side"])
+
+
+def epoch_batches(spark, d):
+    """All cycles in the order of an epoch, 32 to a batch."""
+    return loader.batches(labelling.gait_cycles(b.strikes(spark, d)), (F.col("video") * 31 + F.col("start_frame")) % 16, ["video", "side", "start_frame"], 32, epoch=3)
+
+
 #: Frames of a block in the queries by block: the series at hand are short.
 SHORT = 24
 
@@ -288,6 +298,7 @@ def blocked_contact_labels(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
+    duration_limits, epoch_batches,
     blocked_kinematics, blocked_smooth, blocked_peaks, blocked_strikes, blocked_legacy_cycles, blocked_contact_labels,
     label_fsm, legacy_cycles, prev_strike, gait_cycles, contact_labels, cycle_slices, zscore_frames, cycle_tensor, relabel_apply, legacy_store,
     frame_kinematics, gradient, strike_features, strike_features_clamped, legacy_strike_features, savgol_smooth, ankle_peaks, peak_pairs, video_meta, cadence,

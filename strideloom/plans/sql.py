@@ -236,3 +236,17 @@ SQL |= {
 SQL |= {
     "blocked_kinematics": SQL["frame_kinematics"], "blocked_smooth": SQL["savgol_smooth"], "blocked_peaks": SQL["ankle_peaks"], "blocked_legacy_cycles": SQL["legacy_cycles"],
     "blocked_contact_labels": SQL["contact_labels"], "blocked_strikes": f"with {PREV} select video, side, frame, strike_pattern, overstriding, u_frame, prev_frame from prev"}
+_start = (7 * 7919 + 3 * 104729) % 2147483647
+SQL |= {
+    "duration_limits": f"""with {PREV}, c as (select side, frame - 1 - prev_frame as duration from prev where prev_frame is not null),
+q as (select side, count(*) as cycles, quantile_disc(duration, 0.25) as q1, quantile_disc(duration, 0.75) as q3 from c group by 1)
+select side, cycles, q1, q3, greatest(1.0, q1 - 1.5 * (q3 - q1))::double as shortest, (q3 + 1.5 * (q3 - q1))::double as longest from q""",
+    "epoch_batches": f"""with recursive {CYCLES},
+numbered_cycles as (select *, row_number() over (order by (video * 31 + start_frame) % 16, video, side, start_frame) - 1 as id, count(*) over () as n from cycles),
+walk as (
+  select id, n, id as x, 0::bigint as r from numbered_cycles
+  union all
+  select id, n, case when (h * h + 12345 * (r + 1)) % 2147483647 // 1024 % 2 = 1 then other else x end, r + 1
+  from (select *, (greatest(x, other) * 48271 + r * 69621 + {_start}) % 2147483647 as h
+        from (select *, (((r * 48271 + {_start}) * 16807) % 2147483647 + n - x) % n as other from walk where r < 48)))
+select video, side, start_frame, u_frame, end_frame, x // 32 as batch, x % 32 as place from numbered_cycles join walk using (id) where r = 48"""}
