@@ -127,7 +127,8 @@ def marked(rows: DataFrame) -> DataFrame:
     t = t.select("*", (bare == "").alias("blank"), (~F.substring(bare, -1, 1).isin(*".!?")).alias("cut"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
     t = stage(t, "turns")
     same = ["conv_id", "role", "h1", "h2"]
-    first = t.groupBy(*same).agg(F.min(F.struct("turn")).alias("s")).select(*(F.col(c).alias(f"_{c}") for c in same), F.col("s.turn").alias("_turn"))
+    first = t.groupBy(*same).agg(F.when(F.count(F.lit(1)) == F.count("turn"), F.min("turn")).alias("turn"))  # null, if there, is first
+    first = first.select(*(F.col(c).alias(f"_{c}") for c in [*same, "turn"]))
     on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*same, "turn"]]
     return t.join(first, on, "left").select("conv_id", *ORDER, "n", "blank", "cut", F.col("_h1").isNotNull().alias("fresh"))
 
