@@ -16,6 +16,8 @@ BROADCAST_ROWS = 10_000
 BLANKS = " \t\n\x0b\x0c\r"
 
 _own_dir: list[str] = []
+#: The folder of this driver's staged tables.
+RUN = uuid.uuid4().hex
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,13 +33,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/strideloom/{uuid.uuid4().hex}/{name}"
+    return f"{shared_dir(spark)}/strideloom/{RUN}/{uuid.uuid4().hex}/{name}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what this driver has staged; results that were not written before can't be read any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/strideloom/{RUN}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, name: str = "t") -> DataFrame:
     """Write df to the shared folder and read it back: a cut in the lineage that outlives executors.
 
-    Files stay until the folder is cleared, as the caller's result may still read them.
+    Files stay until ``clear``, as the caller's result may still read them.
     """
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strideloom.llm import hilbert_shards, license_scan, line_dedup, mixing, registry, winnowing
+from strideloom.llm import common
 from strideloom.llm.common import lookup_join, with_rank
 from strideloom.llm.license_texts import LICENSES
 
@@ -451,3 +452,12 @@ def test_op2_digests(spark):
         half = len(texts[i]) // 2
         assert t[i].edited_sha256 == hashlib.sha256((texts[i][: len(texts[i]) - half] + texts[j][:half]).encode()).hexdigest()
     assert len({texts[i] for i in texts}) == len({r.fingerprint for r in t.values()})
+
+
+def test_staged_tables_are_cleared(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    t = common.stage(spark.range(5))
+    assert t.count() == 5 and list((tmp_path / "strideloom").iterdir())
+    common.clear(spark)
+    assert not list((tmp_path / "strideloom").iterdir())
+    common.clear(spark)
