@@ -47,7 +47,11 @@ def read_missing(spark, d):
     return spark.range(1).select(none.alias("before"), count().alias("after"))
 
 
-def read_frame_tables(spark, d):
+#: Bytes of a range in the queries that split files: the stores at hand are short.
+SHORT_RANGE = 1 << 18
+
+
+def read_frame_tables(spark, d, range_bytes=None):
     """Tables by video, some of whose rows lack a value."""
     t = features(spark, d).select(F.col("video").cast("string"), F.col("frame").cast("int"), F.when(F.col("side") == "L", "left").otherwise("right").alias("side"),
                                   F.col("ankle_y_vel").alias("ankle_x_vel"), F.col("hip_y").alias("tibial_angle"), F.col("ankle_y").alias("shin_velocity"),
@@ -55,17 +59,27 @@ def read_frame_tables(spark, d):
     path = scratch(spark, "tables")
     rows = t.groupBy("video").agg(F.collect_list(F.struct(*(f.name for f in FRAMES.fields))).alias("rows"))
     rows.select(F.to_json(F.create_map("video", "rows"), {"ignoreNullFields": "false"}).alias("value")).write.text(path)
-    return rounded(stores.frame_tables(spark, path, lines=True), "ankle_x_vel", "tibial_angle", "shin_velocity", "ankle_y_vel")
+    return rounded(stores.frame_tables(spark, path, True, range_bytes), "ankle_x_vel", "tibial_angle", "shin_velocity", "ankle_y_vel")
+
 
+def split_frame_tables(spark, d):
+    """read_frame_tables, each file read by ranges of bytes."""
+    return read_frame_tables(spark, d, SHORT_RANGE)
 
-def read_legacy_frames(spark, d):
+
+def read_legacy_frames(spark, d, range_bytes=None):
     """The nested store, written and flattened again."""
     path = scratch(spark, "legacy")
     stores.write_legacy(labelling.legacy_store(features(spark, d), labelling.legacy_cycles(b.label_keys(spark, d)), FEATURES), path)
-    t = stores.legacy_frames(spark, path, lines=True).select(F.col("video").cast("long").alias("video"), "frame", "side", F.explode("features").alias("name", "value"))
+    t = stores.legacy_frames(spark, path, True, range_bytes).select(F.col("video").cast("long").alias("video"), "frame", "side", F.explode("features").alias("name", "value"))
     return rounded(t, "value")
 
 
+def split_legacy_frames(spark, d):
+    """read_legacy_frames, each file read by ranges of bytes."""
+    return read_legacy_frames(spark, d, SHORT_RANGE)
+
+
 def legacy_round_trip(spark, d):
     """The nested store of awkward rows: names with quotes and backslashes, null values, rows that are there twice."""
     t = b.signal_frames(spark, d).select(
@@ -180,5 +194,5 @@ def streamed_labels(spark, d):
 
 
 STORE_QUERIES = {f.__name__: f for f in (
-    read_strikes, side_names, read_missing, read_frame_tables, read_legacy_frames, legacy_round_trip, pose_ingest, video_paths, append_twice, replace_twice, overwrite_meta,
+    read_strikes, side_names, read_missing, read_frame_tables, read_legacy_frames, split_frame_tables, split_legacy_frames, legacy_round_trip, pose_ingest, video_paths, append_twice, replace_twice, overwrite_meta,
     relabel_store, lines_of_two_runs, report_store, video_store, weights_store, streamed_labels)}

@@ -39,3 +39,4 @@ for _name in ("read_strikes", "read_frame_tables", "read_legacy_frames", "pose_i
 # stored videos are text
 for _name in ("read_strikes", "read_frame_tables", "pose_ingest", "video_paths"):
     STORE_SQL[_name] = f"select * replace (video::varchar as video) from ({STORE_SQL[_name]})"
+STORE_SQL |= {"split_frame_tables": STORE_SQL["read_frame_tables"], "split_legacy_frames": STORE_SQL["read_legacy_frames"]}

@@ -9,6 +9,7 @@ from pyspark.sql.utils import AnalysisException
 
 from strideloom.functions.labels import side
 from strideloom.schemas import FRAMES, RELABELS, STRIKES
+from strideloom.sources.split_json import json_entries
 
 #: Indices of the joints in a person's 17 keypoints.
 KEYPOINTS = {"shoulder": (5, 6), "hip": (11, 12), "knee": (13, 14), "ankle": (15, 16)}
@@ -30,22 +31,33 @@ def strikes(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     return read_or_empty(spark, path, STRIKES, lines).withColumn("side", side(F.col("side")))
 
 
-def frame_tables(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """JSON objects of video to table, each file one or with ``lines`` each line: the union of the tables, rows with nulls or NaN dropped, side as L or R."""
-    kind = T.MapType(T.StringType(), T.ArrayType(FRAMES))
-    whole = spark.read.text(path, wholetext=not lines).select(F.from_json("value", kind).alias("m"))
-    rows = whole.select(F.explode("m").alias("k", "rows")).select(F.inline("rows"))
+def frame_tables(spark: SparkSession, path: str, lines: bool = False, range_bytes: int | None = None) -> DataFrame:
+    """JSON objects of video to table, each file one or with ``lines`` each line: the union of the tables, rows with nulls or NaN dropped, side as L or R.
+
+    With ``range_bytes`` objects of any length, one or more a file, are read by a task for each range of so many bytes.
+    """
+    if range_bytes:
+        rows = json_entries(spark, path, 2, range_bytes).select(F.from_json("value", FRAMES).alias("r")).select("r.*")
+    else:
+        kind = T.MapType(T.StringType(), T.ArrayType(FRAMES))
+        whole = spark.read.text(path, wholetext=not lines).select(F.from_json("value", kind).alias("m"))
+        rows = whole.select(F.explode("m").alias("k", "rows")).select(F.inline("rows"))
     return rows.na.drop("any").withColumn("side", side(F.col("side")))
 
 
-def legacy_frames(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+def legacy_frames(spark: SparkSession, path: str, lines: bool = False, range_bytes: int | None = None) -> DataFrame:
     """Objects of video to frame to [[name, value], ..., side], each file one or with ``lines`` each line: (video, frame, side, features: map of name to value).
 
-    Lists of pairs and a name are read as variants. A value may be null; of a name that a frame has twice the later counts.
+    Lists of pairs and a name are read as variants. A value may be null; of a name that a frame has twice the later counts. ``range_bytes`` as in frame_tables:
+    no task then needs all frames of a video.
     """
-    rows = spark.read.text(path, wholetext=not lines).select(F.parse_json("value").alias("v"))
-    videos = rows.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select(F.col("key").alias("video"), F.col("value").alias("frames"))
-    frames = videos.lateralJoin(spark.tvf.variant_explode(F.col("frames").outer())).select("video", F.col("key").cast("int").alias("frame"), F.col("value").cast("array<variant>").alias("entry"))
+    if range_bytes:
+        t = json_entries(spark, path, 2, range_bytes).select(F.col("keys")[0].alias("video"), F.col("keys")[1].alias("key"), F.parse_json("value").alias("value"))
+    else:
+        rows = spark.read.text(path, wholetext=not lines).select(F.parse_json("value").alias("v"))
+        videos = rows.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select(F.col("key").alias("video"), F.col("value").alias("frames"))
+        t = videos.lateralJoin(spark.tvf.variant_explode(F.col("frames").outer())).select("video", "key", "value")
+    frames = t.select("video", F.col("key").cast("int").alias("frame"), F.col("value").cast("array<variant>").alias("entry"))
     read = lambda v: F.struct(F.variant_get(v, "$[0]", "string").alias("name"), F.variant_get(v, "$[1]", "double").alias("value"))
     pairs = F.transform(F.slice("entry", 1, F.size("entry") - 1), read)
     later = lambda i: F.slice("pairs", i + 2, F.size("pairs"))
