@@ -13,7 +13,8 @@ from strideloom.plans.learned import fixed_network
 from strideloom.plans.queries import FEATURES, ID, QUERIES, features, rounded
 from strideloom.schemas import FRAMES, STRIKES
 from strideloom.sources import stores
-from strideloom.sources.scratch import scratch
+from strideloom.sources.scratch import scratch, scratched
+from strideloom.streaming.event_time import contact_events, cycle_events, label_events, state_store
 from strideloom.streaming.labels import label_stream
 
 STRIKE = [*ID, "strike_pattern", "overstriding", "u_frame"]
@@ -193,6 +194,53 @@ def streamed_labels(spark, d):
     return spark.read.schema(stream.schema).parquet(sink)
 
 
+#: Batches of keys in the event-time queries.
+BATCHES = 4
+
+
+def _event_time_strikes(spark, d) -> DataFrame:
+    """Strikes of a stream whose keys come up to a quarter of the log's time after they were pressed."""
+    source, sink, place = (scratch(spark, x) for x in ("arrivals", "strikes", "progress"))
+    times = b.table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("at"))
+    keys = b.label_keys(spark, d).join(times, "event_id").withColumnRenamed("event_id", "ord")
+    us = F.unix_micros("at")
+    start, end = times.agg(F.min(us), F.max(us)).first()
+    if start is None:
+        start = end = 0
+    delay = (end - start) // BATCHES + 1
+    step = (end - start + delay) // BATCHES + 1
+    arrival = F.floor((us - F.lit(start) + F.pmod(F.xxhash64("ord"), F.lit(delay))) / step)
+    columns = [*ID, "ord", "at", "key", "strike_key", "overstride_key"]
+    keys = scratched(keys.withColumn("batch", arrival).select(*columns, "batch"), "batches")
+    # a last row, of no series, moves the watermark past all keys
+    closing = F.timestamp_micros(F.lit(end + 2 * delay))
+    last = spark.range(1).select(*(closing.alias(c) if c == "at" else F.lit(None).cast(keys.schema[c].dataType).alias(c) for c in columns))
+    place_of = lambda i: f"{source}/{i:03}"
+    out = None
+    with state_store(spark):
+        for i in range(BATCHES + 1):
+            (keys.filter(F.col("batch") == i).select(*columns) if i < BATCHES else last).write.parquet(place_of(i))
+            arrived = spark.readStream.schema(keys.select(*columns).schema).parquet(f"{source}/*")
+            out = label_events(arrived, f"{delay} microseconds")
+            out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", place).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(sink)
+
+
+def event_time_strikes(spark, d):
+    """Strikes with the strike before, from keys out of order."""
+    return _event_time_strikes(spark, d).filter("u_frame is not null")
+
+
+def event_time_cycles(spark, d):
+    """gait_cycles of that stream."""
+    return cycle_events(_event_time_strikes(spark, d), labelling.SHORTEST, labelling.LONGEST)
+
+
+def event_time_contacts(spark, d):
+    """Intervals of contact and swing of that stream."""
+    return contact_events(_event_time_strikes(spark, d))
+
+
 STORE_QUERIES = {f.__name__: f for f in (
     read_strikes, side_names, read_missing, read_frame_tables, read_legacy_frames, split_frame_tables, split_legacy_frames, legacy_round_trip, pose_ingest, video_paths, append_twice, replace_twice, overwrite_meta,
-    relabel_store, lines_of_two_runs, report_store, video_store, weights_store, streamed_labels)}
+    relabel_store, lines_of_two_runs, report_store, video_store, weights_store, streamed_labels, event_time_strikes, event_time_cycles, event_time_contacts)}

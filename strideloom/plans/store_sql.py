@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from strideloom.plans.learned_sql import FORWARD
-from strideloom.plans.sql import FEATURE_ROWS, KEYS, META, SIGNAL, SQL, STRIKES
+from strideloom.plans.sql import FEATURE_ROWS, KEYS, META, PREV, SIGNAL, SQL, STRIKES
 
 # Indices of the joints among the 17 keypoints.
 JOINTS = {"left_shoulder": 5, "right_shoulder": 6, "left_hip": 11, "right_hip": 12, "left_knee": 13, "right_knee": 14, "left_ankle": 15, "right_ankle": 16}
@@ -40,3 +40,7 @@ for _name in ("read_strikes", "read_frame_tables", "read_legacy_frames", "pose_i
 for _name in ("read_strikes", "read_frame_tables", "pose_ingest", "video_paths"):
     STORE_SQL[_name] = f"select * replace (video::varchar as video) from ({STORE_SQL[_name]})"
 STORE_SQL |= {"split_frame_tables": STORE_SQL["read_frame_tables"], "split_legacy_frames": STORE_SQL["read_legacy_frames"]}
+STORE_SQL |= {
+    "event_time_strikes": SQL["blocked_strikes"], "event_time_cycles": SQL["gait_cycles"],
+    "event_time_contacts": f"""with {PREV} select video, side, u_frame as lo, frame as hi, 0 as label from prev
+union all select video, side, prev_frame, u_frame, 1 from prev where prev_frame is not null"""}
