@@ -115,15 +115,20 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     before it (the text of least hash), and each gives a row. A single document is its own next.
 
     Ids alone are range-sorted and cut into buckets of consecutive ids. A text moves once, to its bucket; the highest
-    of a bucket moves to the bucket above as well, so that each document meets its next one where it is.
+    of a bucket moves to the bucket above as well, so that each document meets its next one where it is. Rows without an id, however many,
+    do not move: one of them goes to the bucket of the lowest id, and the next document of all, that of the highest id, is a scalar to them.
     """
-    base = docs.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("k"), F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    base = docs.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("k"), text.alias("text"))
     ring, n = with_rank(base.select("k").distinct(), [F.col("k")], "ring")
     rows = max(1, -(-n // (BUCKETS * shuffle_partitions(docs.sparkSession))))
     last = ring.filter((F.col("_rank") % rows == rows - 1) | (F.col("_rank") == n - 1)).orderBy("_rank")
     tops = [r["k"] for r in last.select("k").collect()]  # one for each bucket
     if not tops:
         tops = [0]
+    least = lambda rows: rows.select(text.alias("text")).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    nameless = docs.filter("doc_id is null")
+    base = base.filter("doc_id is not null").unionByName(least(nameless).filter("text is not null").select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.lit(NO_ID).alias("k"), "text"))
     # two levels of about sqrt(buckets) ids each, so that a row looks at few of them
     width = max(1, math.isqrt(len(tops)))
     literal = lambda ids: "array(" + ", ".join(f"{i}L" if i != NO_ID else "(-9223372036854775807L - 1L)" for i in ids) + ")"
@@ -140,7 +145,11 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     order = ("bucket", "mine", "k")
     before = F.lag(F.struct("text", "fp")).over(Window.partitionBy("bucket").orderBy("mine", "k", F.desc("th")))
     t = t.withColumn("_before", before)
-    t = t.withColumn("v", F.first("_before").over(Window.partitionBy(*order).orderBy(F.desc("th")))).filter("mine = 1").drop("_before")
+    t = t.withColumn("v", F.first("_before").over(Window.partitionBy(*order).orderBy(F.desc("th")))).filter("mine = 1 and doc_id is not null")
+    highest = nameless if tops[-1] == NO_ID else docs.filter(F.col("doc_id") == tops[-1])
+    after = with_fingerprint(least(highest), "text", "fp").select(F.struct("text", "fp").alias("v"))
+    rest = with_fingerprint(nameless.select("doc_id", text.alias("text")), "text", "fp").withColumn("v", after.scalar())
+    t = t.select("doc_id", "text", "fp", "v").unionByName(rest)
     t = t.withColumn("half", F.expr("cast(char_length(text) div 2 as int)"))
     t = t.withColumn("edited", F.expr("concat(substring(text, 1, char_length(text) - half), substring(v.text, 1, half))"))
     t = with_fingerprint(t, "edited", "edited_fp")

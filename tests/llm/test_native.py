@@ -430,6 +430,23 @@ def brute_likeness(a, b):
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
+@pytest.mark.parametrize("ids", [[9, 4, 4, 1], [], [7]])
+def test_edits_of_many_rows_without_an_id(spark, ids):
+    """Each has the edit by the highest id's text, and the lowest id has that by the text of least hash among them."""
+    rows = [(i, f"text {n} of {i} " + "w " * n, None) for n, i in enumerate(ids)] + [(None, f"nameless {n % 7} " + "v " * (n % 7), None) for n in range(40)] + [(None, None, None)]
+    t = docs(spark, rows)
+    hashes = {r.text: r.h for r in t.select(F.coalesce("text", F.lit("")).alias("text")).select("text", F.xxhash64("text").alias("h")).collect()}
+    least = lambda i: min((x or "" for j, x, _ in rows if j == i), key=hashes.get)
+    ring = [*sorted(set(ids), reverse=True), None]
+    want = []
+    for i, x, _ in rows:
+        x, after = x or "", least(ring[(ring.index(i) + 1) % len(ring)])
+        want.append((str(i), x, x[:len(x) - len(x) // 2] + after[:len(x) // 2]))
+    got = winnowing.edited_fingerprints(t).select("doc_id", "text", "edited", "near_next").collect()
+    assert sorted((str(r.doc_id), r.text, r.edited) for r in got) == sorted(want)
+    assert all(0 <= r.near_next <= 1 for r in got)
+
+
 def test_op2_likeness(spark):
     """near_edited and near_next, from fingerprints of the same texts each worked out alone."""
     got = {r.doc_id: r for r in registry.QUERIES["op2_winnowing"](spark, "/root/testdata/sf0.001").collect()}
