@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 KEYS = ["video", "side"]
+# Usual ranges as published. Cadence has none that holds for all runners: 180 a minute is what elite runners were seen at, no target.
+REFERENCES = {"vertical_oscillation_cm": (6.0, 13.0), "steps_per_min": (None, None)}
 
 
 def duration(videos: DataFrame) -> DataFrame:
@@ -50,6 +52,19 @@ def centimetres(px, body_px, height_cm):
     return px * height_cm / body_px
 
 
+def referenced(wide: DataFrame, references: dict[str, tuple[float | None, float | None]] = REFERENCES) -> DataFrame:
+    """(video, metric, value, low, high, standing): a row for each video and metric, a column of ``wide``, beside its usual range.
+
+    ``standing`` is below, within (both ends included) or above; null where there is no value (NaN counts as none) or no range. A range may have one end.
+    """
+    number = lambda x: F.lit(x).cast("double")
+    one = lambda m, low, high: F.struct(F.lit(m).alias("metric"), F.nanvl(F.col(m).cast("double"), number(None)).alias("value"), number(low).alias("low"), number(high).alias("high"))
+    t = wide.select("video", F.explode(F.array(*(one(m, low, high) for m, (low, high) in references.items()))).alias("m")).select("video", "m.*")
+    known = F.col("value").isNotNull() & F.coalesce("low", "high").isNotNull()
+    standing = F.when(F.col("value") < F.col("low"), "below").when(F.col("value") > F.col("high"), "above").when(known, "within")
+    return t.withColumn("standing", standing)
+
+
 def run_summary(strikes: DataFrame) -> DataFrame:
     """(video, strikes, heel, midfoot, forefoot, overstriding_rate); skipped judgements are not in the rate's denominator."""
     judged = F.when(F.col("overstriding") != "skip", (F.col("overstriding") == "overstriding").cast("double"))

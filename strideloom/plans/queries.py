@@ -152,6 +152,12 @@ def mean_oscillation_cm(spark, d):
     return rounded(t.select("video", metrics.centimetres(F.col("vo"), F.lit(101.0), F.lit(170.0)).alias("vo_cm")), "vo_cm")
 
 
+def referenced_metrics(spark, d):
+    """Cadence and oscillation of each video beside their usual ranges."""
+    t = cadence(spark, d).select("video", "steps_per_min").join(mean_oscillation_cm(spark, d).withColumnRenamed("vo_cm", "vertical_oscillation_cm"), "video", "left")
+    return metrics.referenced(t)
+
+
 def _placed(spark, d):
     """Strikes with their place in the log of keys."""
     return b.strikes(spark, d).join(b.label_keys(spark, d).select(*ID, "event_id"), ID)
@@ -304,7 +310,7 @@ QUERIES = {f.__name__: f for f in (
     frame_kinematics, gradient, strike_features, strike_features_clamped, legacy_strike_features, savgol_smooth, ankle_peaks, peak_pairs, video_meta, cadence,
     vertical_oscillation, mean_oscillation, run_summary, frames_by_video, video_counts, strike_window, strike_union, strike_frames, strike_order,
     distinct_videos, train_split, test_split, contact_predictions, class_balance, masked_bce, classification_report,
-    mean_oscillation_cm, sorted_frames, strike_window_resampled, legacy_train_split, legacy_test_split, shuffled_strikes, strikes_head)}
+    mean_oscillation_cm, referenced_metrics, sorted_frames, strike_window_resampled, legacy_train_split, legacy_test_split, shuffled_strikes, strikes_head)}
 QUERIES |= {
     "tibial_a": _metric("tibial_angle"), "tibial_b": _metric("tibial_angle_down"), "knee_flexion": _metric("knee_flexion_angle"), "trunk_angle": _metric("trunk_angle"),
     "approach_angle": _metric("ankle_approach_angle"), "ankle_hip_offset": _metric("ankle_hip_horizontal_offset"), "pre_strike_velocity": _metric("ankle_velocity_pre_strike")}

@@ -250,3 +250,6 @@ walk as (
   from (select *, (greatest(x, other) * 48271 + r * 69621 + {_start}) % 2147483647 as h
         from (select *, (((r * 48271 + {_start}) * 16807) % 2147483647 + n - x) % n as other from walk where r < 48)))
 select video, side, start_frame, u_frame, end_frame, x // 32 as batch, x % 32 as place from numbered_cycles join walk using (id) where r = 48"""}
+SQL["referenced_metrics"] = f"""with c as ({SQL['cadence']}), o as ({SQL['mean_oscillation_cm']}), t as (select video, steps_per_min, vo_cm from c left join o using (video))
+select video, 'steps_per_min' as metric, steps_per_min as value, null::double as low, null::double as high, null::varchar as standing from t
+union all select video, 'vertical_oscillation_cm', vo_cm, 6.0::double, 13.0::double, case when vo_cm < 6 then 'below' when vo_cm > 13 then 'above' when vo_cm is not null then 'within' end from t"""

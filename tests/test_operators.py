@@ -214,3 +214,14 @@ def test_lstm_weights_round_trip(spark, tmp_path):
     save(spark, net, str(tmp_path / "w"))
     x = np.ones((1, 3, 4))
     assert load(spark, str(tmp_path / "w")).logits(x) == pytest.approx(net.logits(x))
+
+
+def test_values_beside_their_usual_ranges(spark):
+    rows = [(1, 5.9, 180.0), (2, 6.0, 1.0), (3, 13.0, None), (4, 13.1, None), (5, None, 2.0), (6, float("nan"), 3.0)]
+    t = spark.createDataFrame(rows, "video long, vertical_oscillation_cm double, steps_per_min double")
+    got = {(r.video, r.metric): r.standing for r in metrics.referenced(t).collect()}
+    assert [got[v, "vertical_oscillation_cm"] for v in range(1, 7)] == ["below", "within", "within", "above", None, None]
+    assert len(got) == 12 and {s for (_, m), s in got.items() if m == "steps_per_min"} == {None}
+    one = metrics.referenced(t, {"steps_per_min": (None, 2.0)})
+    assert {r.video: r.standing for r in one.collect()} == {1: "above", 2: "within", 3: None, 4: None, 5: "within", 6: "above"}
+    assert metrics.referenced(t.limit(0)).count() == 0
