@@ -82,9 +82,11 @@ def label_events(keys: DataFrame, delay: str) -> DataFrame:
 
     ``at`` is the event's time, which does not fall as frames rise in a series; keys may come in any order. A key counts if it comes within ``delay`` of the latest key of
     all series in the batches before, or before a batch has taken the keys up to its time; others are left out, and late_keys counts them. A strike comes out when the watermark has passed its key. ``ord`` orders keys of one
-    frame. Rows whose key is null or without meaning only move the watermark; nulls in frame or at are not allowed for others. Needs ``state_store``.
+    frame. Rows whose key is null or without meaning only move the watermark; those without a time, and keys without a frame,
+    are left out; a null ord counts as 0. Needs ``state_store``.
     """
-    t = keys.select("video", "side", "frame", "ord", "at", "key", "strike_key", "overstride_key", F.unix_micros("at").alias("at_us")).withWatermark("at", delay)
+    t = keys.filter("at is not null and (key is null or frame is not null)").withColumn("ord", F.coalesce("ord", F.lit(0).cast("long")))
+    t = t.select("video", "side", "frame", "ord", "at", "key", "strike_key", "overstride_key", F.unix_micros("at").alias("at_us")).withWatermark("at", delay)
     return t.groupBy("video", "side").transformWithStateInPandas(_Labeller(), OUT, "Append", "EventTime")
 
 

@@ -68,3 +68,12 @@ def test_late_keys_are_counted_and_strikes_wait_for_the_watermark(spark, tmp_pat
 def test_no_keys(spark, tmp_path):
     got, late = _run(spark, str(tmp_path), [[_end(0)], [_key(0, "L", 5, 0, None), _end(50)]], "0 seconds")
     assert late == 0 and got.count() == 0 and contact_events(got).count() == 0
+
+
+def test_nulls(spark, tmp_path):
+    """No time, no frame, no ord, null strike and overstride keys, a key without meaning."""
+    timeless = (0, "L", 6, 0, None, "u", None, None)
+    frameless = (0, "L", None, 0, START + dt.timedelta(seconds=6), "u", None, None)
+    rows = [_key(0, "L", 5, None, "u"), timeless, frameless, _key(0, "L", 7, 0, "q"), _key(0, "L", 8, 0, "d", None), _key(0, "L", 9, 0, "d", "m", None)]
+    got, late = _run(spark, str(tmp_path), [rows, [_end(100)]], "0 seconds")
+    assert late == 0 and [(r.frame, r.strike_pattern, r.overstriding, r.u_frame) for r in got.collect()] == [(9, "midfoot", "skip", None)]
