@@ -9,13 +9,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strideloom.llm.common import key128, lookup_join, stage, table
+from strideloom.llm.common import key128, lookup_join, shuffle_partitions, stage, table
 
 #: Pivots, the vectors of least hash of id; ranks kept of each vector's nearest ones.
 PIVOTS, PREFIX = 256, 128
 #: Vectors of an index block, queries of a query block.
 BLOCK, QUERIES = 4096, 1024
-#: Share of a block's vectors, those of least footrule distance, whose inner products are computed; and at least so many.
+#: Index blocks and query blocks that meet in one group at most; queries whose files are summed at a time.
+HELD, ASKED, SLAB = 16, 32, 256
+#: Share of a block's vectors, those with the largest products of ranks, whose inner products are computed; and at least so many.
 RERANK, LEAST = 0.15, 250
 
 
@@ -51,7 +53,7 @@ def post(near: np.ndarray, pivots: int) -> np.ndarray:
 
 
 def footrule_order(near: np.ndarray, files: np.ndarray) -> np.ndarray:
-    """Rows by footrule distance to a query with these nearest pivots, equals by number.
+    """Rows by footrule distance to a query with these nearest pivots, equals by number; the search takes ``rank_products``.
 
     With ranks beyond the prefix taken as ``prefix`` the distance is a constant less twice the sum of prefix - max(rank, rank') over
     the pivots that both have, so only the query's pivots' files are read.
@@ -62,6 +64,18 @@ def footrule_order(near: np.ndarray, files: np.ndarray) -> np.ndarray:
     return np.argsort(np.uint16(65535) - shared, kind="stable")
 
 
+def rank_products(near: np.ndarray, files: np.ndarray) -> np.ndarray:
+    """For queries with these nearest pivots (rows) and all rows of the files, the sum of (prefix - rank) * (prefix - rank') over pivots.
+
+    It orders as Spearman's rho does with ranks beyond the prefix taken as ``prefix``, and reads the queries' pivots' files as one matrix product.
+    Sums are whole numbers under 2^24, so they are exact in float32 and in any order.
+    """
+    prefix = near.shape[1]
+    asked = np.zeros((len(near), len(files)), np.float32)
+    asked[np.arange(len(near))[:, None], near] = prefix - np.arange(prefix)
+    return asked @ files
+
+
 def distinct_vectors(vectors: DataFrame, copies: int) -> DataFrame:
     """vectors(id, v) to (k1, k2, v, ids): equal vectors once, with the least ``copies`` of their ids; no result needs more of them."""
     keyed = vectors.select("id", "v", *(k.alias(n) for k, n in zip(key128(F.col("v")), ("k1", "k2"))))
@@ -70,9 +84,22 @@ def distinct_vectors(vectors: DataFrame, copies: int) -> DataFrame:
     return least.groupBy("k1", "k2").agg(F.first("v").alias("v"), F.array_sort(F.collect_list("id")).alias("ids"))
 
 
-def build_index(vectors: DataFrame, pivots: np.ndarray, norm: float) -> tuple[DataFrame, int]:
-    """Blocks of distinct vectors (block, ids, vectors, files), staged, and their number. Every vector is in one."""
-    count = vectors.count()
+def choose_pivots(unique: DataFrame, count: int) -> np.ndarray:
+    """The PIVOTS vectors of least hash. A bound on the hash, which nearly always leaves enough, keeps the rows that reach the driver few."""
+    least = F.xxhash64("k1", "k2")
+    bound = F.lit(-(2**63) + (4 * PIVOTS * 2**64 - 1) // count) if count > 4 * PIVOTS else None
+    for some in [unique.filter(least <= bound), unique] if bound is not None else [unique]:
+        found = some.orderBy(least, "k1", "k2").limit(PIVOTS).select("v").collect()
+        if len(found) == min(PIVOTS, count):
+            break
+    return np.array([r["v"] for r in found], np.float64)
+
+
+def build_index(vectors: DataFrame, count: int, pivots: np.ndarray, norm: float) -> tuple[DataFrame, int]:
+    """Blocks of distinct vectors (block, ids, vectors, near), staged, and their number. Every vector is in one.
+
+    ``near`` has the numbers of each vector's nearest pivots in order, a byte each, from which ``post`` makes the block's inverted files.
+    """
     blocks = max(1, -(-count // BLOCK))
     prefix = min(PREFIX, len(pivots))
     dealt = vectors.withColumn("block", F.pmod(F.xxhash64("k1"), F.lit(blocks)).cast("int")).select("block", "v", "ids")
@@ -81,11 +108,11 @@ def build_index(vectors: DataFrame, pivots: np.ndarray, norm: float) -> tuple[Da
         order = np.argsort([x[0] for x in t.column("ids").to_pylist()], kind="stable")
         t = t.take(order)
         x = np.array(t.column("v").to_pylist(), np.float64)
-        files = post(nearest_pivots(lifted(x, norm), pivots, prefix), len(pivots))
+        near = nearest_pivots(lifted(x, norm), pivots, prefix).astype(np.uint8)
         return pa.table({"block": t.column("block").slice(0, 1), "ids": pa.array([t.column("ids").to_pylist()], pa.list_(pa.list_(pa.int64()))),
-                         "vectors": pa.array([packed(x)], pa.binary()), "files": pa.array([packed(files)], pa.binary())})
+                         "vectors": pa.array([packed(x)], pa.binary()), "near": pa.array([packed(near)], pa.binary())})
 
-    packed_blocks = dealt.groupBy("block").applyInArrow(pack, "block int, ids array<array<long>>, vectors binary, files binary")
+    packed_blocks = dealt.groupBy("block").applyInArrow(pack, "block int, ids array<array<long>>, vectors binary, near binary")
     return stage(packed_blocks, "index"), blocks
 
 
@@ -101,8 +128,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, rerank: float = RERAN
     non-finite components take no part, nor do null ids. Queries meet vectors of their own length; there is an index for each length of a query, so
     lengths should be few. Rows of one id count once, the vector of least hash. Scores are inner products of the vectors in double precision.
 
-    The index is fitted on PIVOTS vectors; all vectors are posted. Query blocks meet index blocks by block number: a
-    query is searched in every block and its finds are merged. Equal queries are searched once.
+    The index is fitted on PIVOTS vectors; all vectors are posted. A query is searched in every block and its finds are merged.
+    Groups of up to ASKED query blocks meet groups of up to HELD index blocks in a cogroup: only finds leave it, and neither
+    side can be broadcast, as a join's side might be that Spark takes for small before it is multiplied. Equal queries are searched once.
     """
     vectors, queries = (x.filter(usable(F.col("v")) & F.col("id").isNotNull()).select("id", F.col("v").cast("array<double>").alias("v")) for x in (vectors, queries))
     vectors, queries = stage(one_each(vectors), "all"), stage(one_each(queries), "asked")
@@ -116,39 +144,54 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, rerank: float = RERAN
 def _search(vectors: DataFrame, queries: DataFrame, k: int, rerank: float) -> DataFrame:
     norm = float(vectors.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()[0] or 0)
     unique = stage(distinct_vectors(vectors, k + 1), "vectors")
-    pivots = lifted(np.array([r["v"] for r in unique.orderBy(F.xxhash64("k1", "k2"), "k1", "k2").limit(PIVOTS).select("v").collect()], np.float64), norm)
-    index, blocks = build_index(unique, pivots, norm)
+    count = unique.count()
+    pivots = lifted(choose_pivots(unique, count), norm)
+    index, blocks = build_index(unique, count, pivots, norm)
     prefix = min(PREFIX, len(pivots))
 
     asked = stage(queries.select("id", "v", *(h.alias(n) for h, n in zip(key128(F.col("v")), ("k1", "k2")))), "queries")
     once = asked.groupBy("k1", "k2").agg(F.first("v").alias("v"), F.count(F.lit(1)).alias("n"))
     query_blocks = max(1, -(-once.count() // QUERIES))
+    # as many groups of index blocks as partitions, if there are so many blocks; a query is copied once for each
+    wide, high = max(-(-blocks // HELD), min(blocks, shuffle_partitions(vectors.sparkSession))), -(-query_blocks // ASKED)
     dealt = once.withColumn("part", F.pmod(F.xxhash64("k1"), F.lit(query_blocks)).cast("int")).groupBy("part").agg(F.collect_list(F.struct("k1", "k2", "v")).alias("queries"))
-    met = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(index, "block")
-
-    def find(t):
-        out = []
-        for row in range(t.num_rows):
-            one = {c: t.column(c)[row].as_py() for c in ("ids", "queries", "vectors", "files")}
+    across = dealt.select((F.col("part") % high).alias("row"), F.explode(F.sequence(F.lit(0), F.lit(wide - 1))).alias("column"), "queries")
+    down = index.select(F.explode(F.sequence(F.lit(0), F.lit(high - 1))).alias("row"), (F.col("block") % wide).alias("column"), "ids", "vectors", "near")
+
+    def find(blocks, parts):
+        keys, q, best = ([], []), [], []
+        if blocks.num_rows and parts.num_rows:
+            k1, k2, v = parts.column("queries").combine_chunks().flatten().flatten()
+            keys, q = (k1, k2), v.flatten().to_numpy().reshape(len(k1), -1)
+            near = nearest_pivots(np.column_stack([q, np.zeros(len(q))]), pivots, prefix)
+            best = [[] for _ in q]  # of each query, (-score, id) in order, k + 1 at most
+        for row in range(blocks.num_rows if len(q) else 0):
+            one = {c: blocks.column(c)[row].as_py() for c in ("ids", "vectors", "near")}
             ids, n = one["ids"], len(one["ids"])
             x = np.frombuffer(one["vectors"], np.float64).reshape(n, -1)
-            files = np.frombuffer(one["files"], np.uint8).reshape(-1, n)
-            q = np.array([y["v"] for y in one["queries"]], np.float64)
-            near = nearest_pivots(np.column_stack([q, np.zeros(len(q))]), pivots, prefix)
-            most = max(LEAST, int(np.ceil(rerank * n)))
-            for y, v, p in zip(one["queries"], q, near):
-                rows = footrule_order(p, files)[:most]
-                score = x[rows] @ v
-                best = np.lexsort((rows, -score))[: k + 1]
-                found = sorted((-float(score[b]), i) for b in best for i in ids[rows[b]])[: k + 1]
-                out += [(y["k1"], y["k2"], i, -s) for s, i in found]
-        k1, k2, i, s = zip(*out) if out else ([], [], [], [])
-        return pa.table({"k1": pa.array(k1, pa.int64()), "k2": pa.array(k2, pa.int64()), "vec_id": pa.array(i, pa.int64()), "score": pa.array(s, pa.float64())})
-
-    found = met.groupBy("block", "part").applyInArrow(find, "k1 long, k2 long, vec_id long, score double")
+            files = post(np.frombuffer(one["near"], np.uint8).reshape(n, -1), len(pivots)).astype(np.float32)
+            most = min(n, max(LEAST, int(np.ceil(rerank * n))))
+            for at in range(0, len(q), SLAB):
+                shared = rank_products(near[at : at + SLAB], files)
+                least = np.partition(shared, n - most, 1)[:, n - most]
+                for i, (products, low) in enumerate(zip(shared, least), at):
+                    rows = np.flatnonzero(products >= low)
+                    score = x[rows] @ q[i]
+                    score[np.isnan(score)] = -np.inf  # products of huge components
+                    low = np.partition(score, -k - 1)[-k - 1] if len(score) > k else -np.inf
+                    if len(best[i]) > k:
+                        low = max(low, -best[i][-1][0])
+                    found = np.flatnonzero(score >= low)
+                    if len(found):
+                        best[i] = sorted(best[i] + [(-s, y) for s, r in zip(score[found].tolist(), rows[found].tolist()) for y in ids[r]])[: k + 1]
+        of = np.repeat(np.arange(len(best)), [len(b) for b in best]) if best else []
+        k1, k2 = (pa.array(np.asarray(x)[of] if best else [], pa.int64()) for x in keys)
+        return pa.table({"k1": k1, "k2": k2, "vec_id": pa.array([y for b in best for _, y in b], pa.int64()), "score": pa.array([-s for b in best for s, _ in b], pa.float64())})
+
+    found = down.groupBy("row", "column").cogroup(across.groupBy("row", "column")).applyInArrow(find, "k1 long, k2 long, vec_id long, score double")
     order = F.row_number().over(Window.partitionBy("k1", "k2").orderBy(F.desc("score"), "vec_id"))
     best = found.withColumn("_n", order).filter(F.col("_n") <= k + 1).groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("_n", "vec_id", "score"))).alias("best"))
-    best = stage(best.join(once.select("k1", "k2", "n"), ["k1", "k2"]), "best")
+    best = stage(best.join(once.select("k1", "k2", "n").hint("merge"), ["k1", "k2"]), "best")
     out = lookup_join(asked.select(F.col("id").alias("query_id"), "k1", "k2"), best, ["k1", "k2"], "n", asked.count())
     kept = F.slice(F.filter("best", lambda b: b["vec_id"] != F.col("query_id")), 1, k)
     out = out.select("query_id", F.posexplode(kept).alias("pos", "b"))

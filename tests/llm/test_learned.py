@@ -91,6 +91,37 @@ def test_footrule_order_like_its_definition():
         assert list(permutation_index.footrule_order(near[q], files)) == list(np.argsort(distance, kind="stable"))
 
 
+def test_search_broadcasts_no_queries(spark, monkeypatch):
+    """Queries are copied for each group of blocks, so a side that looks small to Spark may be far larger than its limit for broadcasts."""
+    plans = []
+
+    def planned(df, name="t", then=permutation_index.stage):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return then(df, name)
+
+    monkeypatch.setattr(permutation_index, "stage", planned)
+    monkeypatch.setattr(permutation_index, "BLOCK", 64)
+    monkeypatch.setattr(permutation_index, "QUERIES", 4)
+    monkeypatch.setattr(permutation_index, "HELD", 2, raising=False)
+    monkeypatch.setattr(permutation_index, "ASKED", 2, raising=False)
+    rng = np.random.default_rng(4)
+    good = {i: [float(y) for y in x] for i, x in enumerate(rng.normal(size=(400, 8)))}
+    df = spark.createDataFrame(list(good.items()), "id long, v array<double>")
+    got = defaultdict(list)
+    for r in permutation_index.search(df, df.filter("id % 20 = 0"), 20).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert got == {q: [i for i, _ in nearest(good, q, 20)] for q in good if q % 20 == 0}
+    assert plans and not [p for p in plans if "BroadcastExchange" in p]
+
+
+def test_rank_products_like_their_definition():
+    rng = np.random.default_rng(1)
+    near = permutation_index.nearest_pivots(rng.normal(size=(50, 5)), rng.normal(size=(20, 5)), 6)
+    weight = np.zeros((50, 20))
+    np.put_along_axis(weight, near, 6.0 - np.arange(6)[None, :], 1)
+    assert (permutation_index.rank_products(near[:7], permutation_index.post(near, 20).astype(np.float32)) == weight[:7] @ weight.T).all()
+
+
 # SentencePiece
 
 TEXTS = ["", None, " ", "  a  b ", "word", "naïve façade\n\ttab", "▁ marks ▁▁ here▁", "日本語 текст 🙂 \x00 nul", "x" * 500 + " y", "a b " * 2000, "trailing  ", "\n"]
